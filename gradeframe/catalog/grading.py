@@ -295,6 +295,25 @@ def ingest_cells_mcq(spark, sf):
     )
 
 
+@query(
+    o.with_tables(
+        """SELECT q.qid, 'quoted' AS parse_status, CAST(count(a.qid) AS INT) AS n,
+        coalesce(string_agg(a.correct_label || ':' || a.mcq_generation, '|' ORDER BY a.attempt), '') AS votes
+        FROM fx_questions q LEFT JOIN fx_answers a ON a.qid = q.qid GROUP BY q.qid HAVING count(a.qid) > 0""",
+        "fx_answers",
+    )
+)
+def ingest_cells_quoted(spark, sf):
+    """Cells written with single quotes, as a Python program prints a list."""
+    quoted = F.replace(F.to_json("attempts"), F.lit('"'), F.lit("'"))
+    cells = fx.answers(spark, sf).withColumn("cell", quoted).filter(F.size("attempts") > 0)
+    read = ingest_cells(cells, "cell").withColumn("votes", as_attempts(F.col("value")))
+    votes = F.transform("votes", lambda v: F.concat(v["correct_label"], F.lit(":"), v["generation"]))
+    return read.select(
+        "qid", "parse_status", F.size("votes").alias("n"), F.array_join(votes, "|").alias("votes")
+    )
+
+
 @query(
     o.with_tables(
         """SELECT q.qid, 'fallback' AS parse_status, CAST(count(a.qid) AS INT) AS n,
@@ -304,9 +323,10 @@ def ingest_cells_mcq(spark, sf):
     )
 )
 def ingest_cells_fallback(spark, sf):
-    """Cells written with single quotes, which only the looser readings accept."""
+    """Cells that end in a comma, which is legal in Python only."""
     quoted = F.replace(F.to_json("attempts"), F.lit('"'), F.lit("'"))
-    cells = fx.answers(spark, sf).withColumn("cell", quoted).filter(F.size("attempts") > 0)
+    open_list = F.regexp_replace(quoted, r"\]$", ",]")
+    cells = fx.answers(spark, sf).withColumn("cell", open_list).filter(F.size("attempts") > 0)
     read = ingest_cells(cells, "cell").withColumn("votes", as_attempts(F.col("value")))
     votes = F.transform("votes", lambda v: F.concat(v["correct_label"], F.lit(":"), v["generation"]))
     return read.select(

@@ -3,10 +3,11 @@
 from pyspark.sql import functions as F
 
 from gradeframe.catalog import fixtures as fx, oracle as o
-from gradeframe.catalog.grading import KEY, _LONG
+from gradeframe.catalog.grading import KEY, _ARRAY, _ARRAY_MCQ, _LONG
 from gradeframe.catalog.registry import query
 from gradeframe.functions.metrics import rounded
 from gradeframe.operators import grading as G, joins as J, reports as R, rollouts as D
+from gradeframe.plans import evaluation as E
 
 _JOINED = f"""SELECT p.model, p.decision AS d, t.is_correct AS t
 FROM fx_questions p JOIN ({_LONG}) t ON p.qid = t.qid"""
@@ -261,3 +262,46 @@ REWARD_REPORT = o.with_tables(
 @query(REWARD_REPORT)
 def reward_report(spark, sf):
     return rounded(D.reward_report(_rewarded(spark, sf)))
+
+
+@query(
+    o.with_tables(
+        o.report(
+            f"SELECT p.model, p.decision AS d, t.is_correct AS t FROM fx_questions p JOIN ({_ARRAY}) t ON p.qid = t.qid",
+            "model",
+        ),
+        "fx_answers",
+    )
+)
+def evaluate_generations(spark, sf):
+    """Decisions against answers that are graded on the fly."""
+    answers = fx.answers(spark, sf)
+    return rounded(
+        E.evaluate_decisions(
+            fx.questions(spark, sf).select("qid", "model", "decision"),
+            grade_mode="generations",
+            answers=answers.select("qid", "source", "answer", "generation"),
+            generations="generation",
+            domain="math",
+            key=KEY,
+            by=["model"],
+        )
+    )
+
+
+_BEFORE_AFTER = f"""
+SELECT source, 'pre' AS phase, is_correct FROM ({_ARRAY})
+UNION ALL SELECT source, 'post', {o.majority('n_correct', 'n_attempts')} FROM ({_ARRAY_MCQ})
+"""
+
+
+@query(
+    o.with_tables(
+        _RATIO.format(by="source,", group="GROUP BY source", rows=_BEFORE_AFTER), "fx_answers"
+    )
+)
+def before_after(spark, sf):
+    """Two graded tables, here the math and the choice attempts, as before and after."""
+    pre = G.grade(fx.answers(spark, sf), "generation", "math")
+    post = G.grade(fx.answers(spark, sf), "attempts", "science")
+    return rounded(R.capability_ratio(R.before_after(pre, post, ["source"]), by=["source"]))

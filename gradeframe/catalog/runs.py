@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from gradeframe.catalog import fixtures as fx, oracle as o, stubs
 from gradeframe.catalog.registry import query
 from gradeframe.catalog.reports import REWARD_REPORT
-from gradeframe.catalog.sets import SHUFFLES
+from gradeframe.catalog.sets import SHUFFLES, _FORMATTED
 from gradeframe.catalog.training import _QUERY_MATH, _WORD, _mcq
 from gradeframe.functions import prompts as P
 from gradeframe.functions.metrics import rounded
@@ -17,6 +17,7 @@ from gradeframe.sources import tables as S
 from gradeframe.streaming import incremental as I
 
 _ANSWER = o.fill(P.ANSWER_MATH, question="question")
+_ANSWER_MCQ = o.fill(P.ANSWER_SCIENCE, question="question", choices=_FORMATTED)
 _DECIDE = o.fill(P.DECIDE_WITH_ANALYSIS, query=_QUERY_MATH)
 
 
@@ -47,7 +48,7 @@ def _hash(prompt: str) -> str:
     )
 )
 def generate_stub(spark, sf):
-    run = RUN.answer_math(fx.questions(spark, sf), stubs.number_model, 3)
+    run = RUN.answer_questions(fx.questions(spark, sf), stubs.number_model, "math", 3)
     return run.select(
         "qid",
         F.get("generation", 0).alias("first"),
@@ -64,10 +65,24 @@ def generate_stub(spark, sf):
     )
 )
 def generate_with_errors(spark, sf):
-    run = RUN.answer_math(fx.questions(spark, sf), stubs.failing_model, 1)
+    run = RUN.answer_questions(fx.questions(spark, sf), stubs.failing_model, "math", 1)
     return run.select("qid", F.get("generation", 0).alias("generation"))
 
 
+@query(
+    o.with_tables(
+        f"""SELECT qid, {_number(_ANSWER_MCQ, '0')} AS first, {_number(_ANSWER_MCQ, '0')} AS last FROM fx_mcq""",
+        "fx_mcq",
+    )
+)
+def generate_per_call(spark, sf):
+    """Two calls of one answer each per question, options in their given order."""
+    run = RUN.answer_questions(
+        _mcq(spark, sf), stubs.number_model, "science", 2, per_call=True
+    )
+    return run.select("qid", F.get("generation", 0).alias("first"), F.get("generation", 1).alias("last"))
+
+
 _SHUFFLED_PROMPT = o.fill(
     P.ANSWER_SCIENCE,
     question="question",
@@ -228,7 +243,7 @@ _ALL_ANSWERED = o.with_tables(
 
 
 def _answer(df):
-    run = RUN.answer_math(df, stubs.number_model, 1)
+    run = RUN.answer_questions(df, stubs.number_model, "math", 1)
     return run.select("qid", F.get("generation", 0).alias("generation"))
 
 

@@ -20,6 +20,9 @@ from gradeframe.schemas import require_columns
 BLANK_CELLS = ("", "nan", "none")
 UNESCAPED_BACKSLASH = r'\\(?!["\\/bfnrtu])'
 PYTHON_TO_JSON = (("None", "null"), ("True", "true"), ("False", "false"), ("'", '"'))
+# No double quote, and only escapes that JSON and Python literals share: such a cell may swap its
+# single quotes for double ones.
+PLAIN_QUOTED = r"\A(?:[^\"\\]|\\[\\nrtbf])*\z"
 # A single backslash before "boxed" or "frac" reads as a JSON control escape.
 CONTROL_ESCAPE = r"(?<!\\)(?:\\\\)*\\(?:boxed|frac)"
 
@@ -37,15 +40,18 @@ def _plain(value):
     return str(value)
 
 
+def _escaped(cell: str) -> str:
+    return re.sub(UNESCAPED_BACKSLASH, r"\\\\", cell)
+
+
 def _loose_readings(cell: str):
-    escaped = re.sub(UNESCAPED_BACKSLASH, r"\\\\", cell)
+    yield json.loads, cell
+    yield json.loads, _escaped(cell)
+    yield ast.literal_eval, cell
     as_json = cell
     for old, new in PYTHON_TO_JSON:
         as_json = as_json.replace(old, new)
-    yield json.loads, cell
-    yield json.loads, escaped
-    yield ast.literal_eval, cell
-    yield json.loads, re.sub(UNESCAPED_BACKSLASH, r"\\\\", as_json)
+    yield json.loads, _escaped(as_json)
 
 
 def read_loose_cell(cell: str) -> str | None:
@@ -78,29 +84,35 @@ def ingest_cells(df: DataFrame, col: str, out: str = "value", fallback: bool = T
     """``df`` plus VARIANT ``out`` and STRING ``parse_status``.
 
     Status is ``blank``, ``json``, ``json_control`` (read as JSON, but a lone backslash was taken
-    for a control escape), ``fallback`` or ``failed``.
+    for a control escape), ``quoted`` (single-quoted, read by the JVM), ``fallback`` (read by the
+    Arrow function) or ``failed``.
     """
     require_columns(df, [col])
     cell = strip(F.col(col).cast("string"))
     blank = cell.isNull() | F.lower(cell).isin(*BLANK_CELLS)
-    first = df.withColumn("_cell", F.when(~blank, cell)).withColumn(
-        "_json", _strict_json(F.col("_cell"))
+    swapped = F.replace("_cell", F.lit("'"), F.lit('"'))
+    simple = F.col("_json").isNull() & F.col("_cell").rlike(PLAIN_QUOTED)
+    first = (
+        df.withColumn("_cell", F.when(~blank, cell))
+        .withColumn("_json", _strict_json(F.col("_cell")))
+        .withColumn("_quoted", F.when(simple, _strict_json(swapped)))
     )
-    refused = F.when(F.col("_json").isNull(), F.col("_cell"))
+    refused = F.when(F.col("_json").isNull() & F.col("_quoted").isNull(), F.col("_cell"))
     loose = _read_loose(refused) if fallback else F.lit(None).cast("string")
     control = F.col("_cell").rlike(CONTROL_ESCAPE)
     status = (
         F.when(F.col("_cell").isNull(), "blank")
         .when(F.col("_json").isNotNull() & control, "json_control")
         .when(F.col("_json").isNotNull(), "json")
+        .when(F.col("_quoted").isNotNull(), "quoted")
         .when(F.col("_loose").isNotNull(), "fallback")
         .otherwise("failed")
     )
     return (
         first.withColumn("_loose", loose)
-        .withColumn(out, F.coalesce(F.col("_json"), F.try_parse_json("_loose")))
+        .withColumn(out, F.coalesce("_json", "_quoted", F.try_parse_json("_loose")))
         .withColumn("parse_status", status)
-        .drop("_cell", "_json", "_loose")
+        .drop("_cell", "_json", "_quoted", "_loose")
     )
 
 

@@ -13,6 +13,10 @@ INVALID = -1
 THINK_END = "</think>"
 ERROR_PREFIX = "Error"
 SPACE = r"[\s\x1c-\x1f]"
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 WORD = r"[\p{L}\p{N}_]"
 TAGGED_DECISION = rf"(?iU)<decision>{SPACE}*({SELF_SOLVE}|{DELEGATE})"
 BARE_DECISION = rf"(?iU)(?<!{WORD})({SELF_SOLVE}|{DELEGATE})(?!{WORD})"
@@ -35,7 +39,7 @@ def _last_hit(text: Column, pattern: str) -> Column:
 
 def strip(text: Column) -> Column:
     """Text without leading and trailing Unicode white space."""
-    return F.regexp_replace(text, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
+    return F.trim(text, F.lit(SPACES))
 
 
 def decision(text: Column) -> Column:

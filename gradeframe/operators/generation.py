@@ -5,6 +5,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType
 
 from gradeframe.functions.parsing import ERROR_PREFIX, is_error
 from gradeframe.operators.joins import remaining
@@ -81,22 +82,29 @@ def generate(
     n: int = 1,
     out: str = "generation",
     partitions: int | None = None,
+    retry: str = "null_or_error",
     **options,
 ) -> DataFrame:
     """``df`` with an array of ``n`` texts per prompt and ``avg_generation_time``.
 
-    The result must be written before it is used twice, since a second use calls the model again.
+    Where ``out`` exists already, only its missing or failed rows are asked. The result must be written before it is used twice, since a second use calls the model again.
     ``partitions`` spreads the prompts first: one call costs far more than moving a row.
     """
     require_columns(df, [prompt])
     spread = df.repartition(partitions) if partitions else df
-    outputs = model_outputs(F.array(prompt), model_factory, n, **options)
-    return (
-        spread.withColumn("_out", outputs)
-        .withColumn(out, F.col("_out.generation"))
-        .withColumn("avg_generation_time", _mean(F.col("_out.elapsed")))
-        .drop("_out")
-    )
+    asked = F.array(prompt)
+    if out in df.columns:
+        asked = F.when(_unfinished(df, out, retry), asked)
+    run = spread.withColumn("_out", model_outputs(asked, model_factory, n, **options))
+    fresh = {out: F.col("_out.generation"), "avg_generation_time": _mean(F.col("_out.elapsed"))}
+    return run.withColumns(
+        {
+            name: F.when(F.col("_out").isNull(), F.col(name)).otherwise(value)
+            if out in df.columns and name in df.columns
+            else value
+            for name, value in fresh.items()
+        }
+    ).drop("_out")
 
 
 def _mean(values: Column) -> Column:
@@ -132,9 +140,21 @@ def needs_output(value: Column, retry: str = "null_or_error") -> Column:
     return value.isNull() if retry == "null_only" else value.isNull() | is_error(value)
 
 
+def needs_outputs(values: Column, retry: str = "null_or_error") -> Column:
+    """``needs_output`` for an array of texts: missing, or with a captured error in it."""
+    one_of(retry, ("null_or_error", "null_only"), "retry")
+    failed = F.coalesce(F.exists(values, is_error), F.lit(False))
+    return values.isNull() if retry == "null_only" else values.isNull() | failed
+
+
+def _unfinished(df: DataFrame, output: str, retry: str) -> Column:
+    array = isinstance(df.schema[output].dataType, ArrayType)
+    return (needs_outputs if array else needs_output)(F.col(output), retry)
+
+
 def pending(df: DataFrame, output: str, retry: str = "null_or_error") -> DataFrame:
     """Rows without an output, or with a captured error unless ``retry="null_only"``."""
-    return df.filter(needs_output(F.col(output), retry))
+    return df.filter(_unfinished(df, output, retry))
 
 
 def pending_keys(
@@ -146,5 +166,5 @@ def pending_keys(
     **limits,
 ) -> DataFrame:
     """``pending`` for outputs kept in a table of their own."""
-    done = results.filter(~needs_output(F.col(output), retry))
+    done = results.filter(~_unfinished(results, output, retry))
     return remaining(inputs, done, key, **limits)

@@ -33,8 +33,11 @@ def normalise_gold(df: DataFrame, answer: str = "answer", source: str = "source"
 
 
 def math_scores(texts: Column, gold: Column) -> Column:
-    """0/1 per attempt of a text array."""
-    return F.transform(texts, lambda text: math_correct(text, gold))
+    """0/1 per attempt of a text array. The gold answer is bound once, not once per attempt."""
+    per_gold = F.transform(
+        F.array(gold), lambda g: F.transform(texts, lambda text: math_correct(text, g))
+    )
+    return F.get(per_gold, 0)
 
 
 def mcq_scores(attempts: Column) -> Column:
@@ -142,6 +145,19 @@ def collect_attempts(
 # ---- long form -----------------------------------------------------------------------------
 
 
+def _answer_key(text: Column) -> Column:
+    """Predicted answer as a join key that is never null: ``=answer``, or empty without a box.
+
+    A key that could be null would make the planner add a null filter below the aggregation and
+    so evaluate the patterns twice.
+    """
+    return F.coalesce(F.concat(F.lit("="), strip(boxed(text))), F.lit(""))
+
+
+def _gold_key(questions: DataFrame) -> Column:
+    return F.concat(F.lit("="), gold_column(questions))
+
+
 def grade_math_long(
     questions: DataFrame,
     attempts: DataFrame,
@@ -159,13 +175,12 @@ def grade_math_long(
     key = list(key)
     require_columns(questions, [*key, "answer"])
     predictions = (
-        attempts.select(*key, strip(boxed(F.col(text))).alias("_pred"))
+        attempts.select(*key, _answer_key(F.col(text)).alias("_pred"))
         .groupBy(*key, "_pred")
         .agg(F.count("*").alias("_n"))
     )
-    golds = questions.select(*key, *carry, gold_column(questions).alias("_pred"))
-    hits = predictions.filter(F.col("_pred").isNotNull())
-    graded = golds.join(hits, [*key, "_pred"], "left").select(
+    golds = questions.select(*key, *carry, _gold_key(questions).alias("_pred"))
+    graded = golds.join(predictions, [*key, "_pred"], "left").select(
         *key,
         *carry,
         F.col("_n").isNotNull().cast("int").alias("is_correct"),
@@ -203,11 +218,11 @@ def attempt_report_long(
     """Per attempt number: right answers, attempts and their share (math, long form)."""
     key = list(key)
     predictions = (
-        attempts.select(*key, attempt, strip(boxed(F.col(text))).alias("_pred"))
+        attempts.select(*key, attempt, _answer_key(F.col(text)).alias("_pred"))
         .groupBy(*key, "_pred", attempt)
         .agg(F.count("*").alias("_n"))
     )
-    golds = questions.select(*key, gold_column(questions).alias("_pred"), F.lit(1).alias("_hit"))
+    golds = questions.select(*key, _gold_key(questions).alias("_pred"), F.lit(1).alias("_hit"))
     matched = predictions.join(golds, [*key, "_pred"], "left")
     return _with_accuracy(
         matched.groupBy(attempt).agg(
@@ -226,7 +241,11 @@ def _with_accuracy(df: DataFrame) -> DataFrame:
 
 def attempt_report(scored: DataFrame, by: Sequence[str] = (), scores: str = "scores") -> DataFrame:
     """Per attempt number, over the rows that have it: right answers, attempts, share."""
-    long = scored.select(*by, F.posexplode(scores).alias("attempt", "score"))
+    # The outer form keeps the planner from testing the array's size below, which would compute
+    # the scores twice.
+    long = scored.select(*by, F.posexplode_outer(scores).alias("attempt", "score")).filter(
+        F.col("attempt").isNotNull()
+    )
     return _with_accuracy(
         long.groupBy(*by, "attempt").agg(
             F.sum("score").alias("n_correct"), F.count("*").alias("n")

@@ -89,6 +89,12 @@ def _with_cuts(
     df: DataFrame, thresholds: DataFrame, n_cuts: int, key: Sequence[str], by: Sequence[str], seed: int
 ) -> DataFrame:
     """``df`` with ``_h`` and one column ``_cut_i`` per cut."""
+    if not by:
+        last = {row["cut"]: row["last_hash"] for row in thresholds.collect()}
+        return df.withColumns(
+            {"_h": hash_order(key, seed)}
+            | {f"_cut_{i}": F.lit(last.get(i)).cast("string") for i in range(n_cuts)}
+        )
     per_group = thresholds.groupBy("_g").agg(
         *(
             F.max(F.when(F.col("cut") == i, F.col("last_hash"))).alias(f"_cut_{i}")

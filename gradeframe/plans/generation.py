@@ -27,11 +27,25 @@ def domain_query(df: DataFrame, domain: str) -> Column:
     )
 
 
-def answer_math(
-    questions: DataFrame, model_factory: ModelFactory, n: int = 5, out: str = "generation", **options
+def answer_questions(
+    questions: DataFrame,
+    model_factory: ModelFactory,
+    domain: str = "math",
+    n: int = 5,
+    out: str = "generation",
+    **options,
 ) -> DataFrame:
-    """``n`` answers per question as an array."""
-    prompted = questions.withColumn("_prompt", P.answer_prompt("math", F.col("question")))
+    """``n`` answers per question as an array, to options in their given order for science.
+
+    ``per_call=True`` makes each answer a call of its own, as hosted models need it.
+    """
+    prompt = P.answer_prompt(
+        check_domain(domain),
+        F.col("question"),
+        _optional(questions, "options"),
+        _optional(questions, "choices"),
+    )
+    prompted = questions.withColumn("_prompt", prompt)
     return generate(prompted, "_prompt", model_factory, n, out, **options).drop("_prompt")
 
 
