@@ -1,0 +1,137 @@
+import hashlib
+from collections import Counter
+
+import pytest
+from conftest import rows
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from gradeframe.functions import options as O
+from gradeframe.operators import sampling as S
+from gradeframe.operators.generation import expand_attempts
+from gradeframe.plans.question_sets import build_math_set, build_mcq_set
+
+LIMITS = [{}, {"max_groups": 0}, {"prefix": 1}, {"prefix": 1, "max_groups": 1}]
+
+
+def order(ids, seed=42):
+    return sorted(ids, key=lambda i: hashlib.md5(f"{seed}|{i}".encode()).hexdigest())
+
+
+def grouped(spark):
+    """A third of the rows in one group, some without a group."""
+    group = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 10 == 1, None).otherwise(
+        F.concat(F.lit("g"), (F.col("id") % 5).cast("string"))
+    )
+    return spark.range(400).withColumn("g", group)
+
+
+@pytest.mark.parametrize("limits", LIMITS)
+def test_sample_is_the_head_of_the_hash_order(spark, limits):
+    table = grouped(spark)
+    members = {}
+    for r in table.collect():
+        members.setdefault(r["g"], []).append(r["id"])
+    expected = {(i, g) for g, ids in members.items() for i in order(ids)[:7]}
+    got = S.sample_n(table.repartition(5), 7, ["id"], ["g"], **limits)
+    assert {tuple(r) for r in got.collect()} == expected
+    whole = S.sample_n(table, 50, ["id"], seed=3, **limits)
+    assert {r["id"] for r in whole.collect()} == set(order(range(400), 3)[:50])
+
+
+@pytest.mark.parametrize("limits", LIMITS)
+def test_splits_are_disjoint_and_exact(spark, limits):
+    table = grouped(spark)
+    got = S.split_counts(table, 30, 12, ["id"], **limits).collect()
+    ranked = order(range(400))
+    assert {r["id"] for r in got if r["split"] == "train"} == set(ranked[:30])
+    assert {r["id"] for r in got if r["split"] == "test"} == set(ranked[30:42])
+    short = S.split_counts(table, 390, 100, ["id"], **limits).groupBy("split").count()
+    assert rows(short) == [("test", 10), ("train", 390)]
+
+
+def test_too_small_a_table_is_an_error(spark):
+    table = grouped(spark)
+    with pytest.raises(ValueError):
+        S.sample_n(table, 401, ["id"])
+    with pytest.raises(ValueError):
+        S.sample_n(table, 100, ["id"], ["g"])
+    with pytest.raises(ValueError):
+        S.sample_n(table.filter("false"), 1, ["id"])
+    assert S.sample_n(table, 0, ["id"]).count() == 0
+    assert S.sample_n(table, 400, ["id"]).count() == 400
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.integers(1, 60), min_size=1, max_size=5), st.data())
+def test_stratified_sizes(spark, sizes, draw):
+    total = sum(sizes)
+    wanted = draw.draw(st.integers(0, total))
+    items = [(c, f"c{c}") for c, n in enumerate(sizes) for _ in range(n)]
+    table = spark.createDataFrame([(i, c) for i, (_, c) in enumerate(items)], "id long, category string")
+    exact = {f"c{c}": n * wanted / total for c, n in enumerate(sizes)}
+    results = []
+    for limits in ({}, {"max_groups": 0}):
+        got = S.stratified_split(table, ["category"], wanted, ["id"], **limits)
+        results.append(rows(got))
+        tests = Counter(r["category"] for r in got.collect() if r["split"] == "test")
+        assert got.count() == total and sum(tests.values()) == wanted
+        assert all(abs(tests[c] - share) < 1 for c, share in exact.items())
+    assert results[0] == results[1]
+
+
+def test_shuffle_keeps_all_rows_in_hash_order(spark):
+    got = [r["id"] for r in S.shuffle_rows(spark.range(50).repartition(4), ["id"]).collect()]
+    assert got == order(range(50))
+
+
+def test_math_set(spark):
+    def questions(start, n):
+        return spark.range(start, start + n).select(
+            "id",
+            F.concat(F.lit("q"), F.col("id").cast("string")).alias("question"),
+            F.when(F.col("id") % 10 != 0, "1").alias("answer"),
+            (F.lit(2000) + F.col("id") % 50).cast("int").alias("year"),
+        )
+
+    built = build_math_set(
+        questions(0, 100), questions(100, 50), questions(200, 60), questions(300, 40), questions(400, 20),
+        key=["id"], gsm8k_sizes=(20, 10), math500_sizes=(25, 15), last_year=2021,
+    )
+    counts = {(r["source"], r["split"]): r["count"] for r in built.groupBy("source", "split").count().collect()}
+    assert counts == {
+        ("GSM8K", "train"): 20, ("GSM8K", "test"): 10, ("MATH500", "train"): 25, ("MATH500", "test"): 15,
+        ("AIME", "train"): 19, ("AIME", "test"): 18,
+    }
+    assert built.filter("source <> 'MATH500' AND answer IS NULL").count() == 0
+
+
+def test_mcq_set(spark):
+    table = spark.createDataFrame(
+        [(i, f"q{i}", ["x", "é\"y"], 1, ["physics", "biology", "law"][i % 3], "why") for i in range(60)],
+        "id long, question string, options array<string>, answer_index int, category string, cot_content string",
+    )
+    built = build_mcq_set(table, 10, ["id"])
+    assert "cot_content" not in built.columns
+    assert rows(built.groupBy("category", "split").count()) == [
+        ("biology", "test", 5), ("biology", "train", 15), ("physics", "test", 5), ("physics", "train", 15),
+    ]
+    assert built.select(O.parse_options(F.col("options"))).first()[0] == ["x", "é\"y"]
+
+
+def test_option_shuffles_are_permutations(spark):
+    table = spark.createDataFrame([(i, list("abcde"), i % 5) for i in range(40)], "id long, options array<string>, answer_index int")
+    each = expand_attempts(table, 4).withColumn("order", O.shuffled_order(F.size("options"), F.col("id"), F.col("attempt"), 1))
+    found = each.withColumn("letter", O.remapped_letter(F.col("order"), F.col("answer_index"))).withColumn(
+        "shown", O.reorder(F.col("options"), F.col("order"))
+    )
+    for r in found.collect():
+        assert sorted(r["order"]) == [0, 1, 2, 3, 4]
+        assert r["shown"][ord(r["letter"]) - 65] == r["options"][r["answer_index"]]
+    assert found.select("order").distinct().count() > 50
+    with pytest.raises(Exception):
+        found.select(O.remapped_letter(F.col("order"), F.lit(9))).collect()
+    with pytest.raises(Exception):
+        spark.createDataFrame([(["x"] * 25,)], "o array<string>").select(O.format_options(F.col("o"))).collect()
+    empty = spark.createDataFrame([([],)], "o array<string>")
+    assert empty.select(O.shuffled_order(F.size("o"), F.lit(1), F.lit(0), 1)).first()[0] == []
