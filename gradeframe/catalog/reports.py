@@ -26,7 +26,7 @@ def _truth(spark, sf):
 )
 def attach_truth(spark, sf):
     preds = fx.questions(spark, sf).select("qid", "model", "decision")
-    return J.attach_truth(preds, _truth(spark, sf), KEY)
+    return J.attach_truth(preds, _truth(spark, sf), KEY, measure=preds.select("qid"))
 
 
 @query(
@@ -210,7 +210,8 @@ def diversified(spark, sf):
 )
 def restrict_to_diversified(spark, sf):
     kept = D.diversified(_diversity(spark, sf))
-    return J.restrict(fx.questions(spark, sf).select("qid", "question"), kept, KEY)
+    questions = fx.questions(spark, sf).select("qid", "question")
+    return J.restrict(questions, kept, KEY, measure=fx.attempts(spark, sf).select("qid"))
 
 
 @query(

@@ -20,9 +20,8 @@ from gradeframe.schemas import require_columns
 BLANK_CELLS = ("", "nan", "none")
 UNESCAPED_BACKSLASH = r'\\(?!["\\/bfnrtu])'
 PYTHON_TO_JSON = (("None", "null"), ("True", "true"), ("False", "false"), ("'", '"'))
-# No double quote, and only escapes that JSON and Python literals share: such a cell may swap its
-# single quotes for double ones.
-PLAIN_QUOTED = r"\A(?:[^\"\\]|\\[\\nrtbf])*\z"
+# Escapes that mean the same in JSON and in Python.
+SHARED_ESCAPE = r"\\[\\nrtbf]"
 # A single backslash before "boxed" or "frac" reads as a JSON control escape.
 CONTROL_ESCAPE = r"(?<!\\)(?:\\\\)*\\(?:boxed|frac)"
 
@@ -46,7 +45,9 @@ def _escaped(cell: str) -> str:
 
 def _loose_readings(cell: str):
     yield json.loads, cell
-    yield json.loads, _escaped(cell)
+    escaped = _escaped(cell)
+    if escaped != cell:
+        yield json.loads, escaped
     yield ast.literal_eval, cell
     as_json = cell
     for old, new in PYTHON_TO_JSON:
@@ -76,7 +77,7 @@ def _strict_json(cell: Column) -> Column:
     inside an array: no trailing text is legal in both.
     """
     in_object = F.try_parse_json(F.concat(F.lit('{"v":'), cell, F.lit("}")))
-    in_array = F.try_parse_json(F.concat(F.lit("["), cell, F.lit("]")))
+    in_array = F.json_array_length(F.concat(F.lit("["), cell, F.lit("]")))
     return F.when(in_array.isNotNull(), F.try_variant_get(in_object, "$.v", "variant"))
 
 
@@ -90,11 +91,15 @@ def ingest_cells(df: DataFrame, col: str, out: str = "value", fallback: bool = T
     require_columns(df, [col])
     cell = strip(F.col(col).cast("string"))
     blank = cell.isNull() | F.lower(cell).isin(*BLANK_CELLS)
+    # JSON without double quotes has no strings, hence no single quotes either.
+    single_quoted = ~F.col("_cell").contains('"') & F.col("_cell").contains("'")
+    # Without double quotes, and with shared escapes only, single quotes can but delimit strings.
     swapped = F.replace("_cell", F.lit("'"), F.lit('"'))
-    simple = F.col("_json").isNull() & F.col("_cell").rlike(PLAIN_QUOTED)
+    odd_escape = F.regexp_replace("_cell", SHARED_ESCAPE, "").contains("\\")
+    simple = F.col("_json").isNull() & single_quoted & ~odd_escape
     first = (
         df.withColumn("_cell", F.when(~blank, cell))
-        .withColumn("_json", _strict_json(F.col("_cell")))
+        .withColumn("_json", F.when(~single_quoted, _strict_json(F.col("_cell"))))
         .withColumn("_quoted", F.when(simple, _strict_json(swapped)))
     )
     refused = F.when(F.col("_json").isNull() & F.col("_quoted").isNull(), F.col("_cell"))
@@ -127,20 +132,13 @@ def as_list(value: Column) -> Column:
     )
 
 
-def _is_object(value: Column) -> Column:
-    return F.schema_of_variant(value).startswith("OBJECT")
-
-
 def _attempt(value: Column) -> Column:
-    """One attempt; a value that is no object can match no letter and so is a wrong vote."""
+    """One attempt; what is missing, or not an object at all, is null and so a wrong vote."""
     texts = F.try_variant_get(value, "$.generation", "array<string>")
-    generation = F.when(texts.isNotNull(), F.coalesce(F.get(texts, 0), F.lit(""))).otherwise(
-        F.coalesce(F.try_variant_get(value, "$.generation", "string"), F.lit(""))
-    )
-    label = F.coalesce(F.try_variant_get(value, "$.correct_label", "string"), F.lit(""))
-    known = _is_object(value)
+    text = F.when(texts.isNull(), F.try_variant_get(value, "$.generation", "string"))
     return F.struct(
-        F.when(known, label).alias("correct_label"), F.when(known, generation).alias("generation")
+        F.try_variant_get(value, "$.correct_label", "string").alias("correct_label"),
+        F.coalesce(F.get(texts, 0), text).alias("generation"),
     )
 
 

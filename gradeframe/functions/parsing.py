@@ -22,15 +22,11 @@ TAGGED_DECISION = rf"(?iU)<decision>{SPACE}*({SELF_SOLVE}|{DELEGATE})"
 BARE_DECISION = rf"(?iU)(?<!{WORD})({SELF_SOLVE}|{DELEGATE})(?!{WORD})"
 BOXED = r"(?d)\\boxed\{(.*?)\}"
 LONE_CAPITAL = rf"(?<!{WORD})([A-Z])(?!{WORD})"
-HASH_ANSWER = rf"(?dU)####{SPACE}*(.+)"
-MATH500_REWRITES = (
-    (rf"(?U)\\left{SPACE}*\(", "("),
-    (rf"(?U)\\right{SPACE}*\)", ")"),
-    (rf"(?U)\\left{SPACE}*\[", "["),
-    (rf"(?U)\\right{SPACE}*\]", "]"),
-    (rf"(?U)\({SPACE}+", "("),
-    (rf"(?U){SPACE}+\)", ")"),
-)
+HASH_MARK = "####"
+HASH_ANSWER = rf"(?dU){HASH_MARK}{SPACE}*(.+)"
+BOX_MARK = "\\boxed{"
+SIZED_BRACKET = rf"(?U)\\left{SPACE}*([(\[])|\\right{SPACE}*([)\]])"
+INNER_SPACE = rf"(?U)(?<=\(){SPACE}+|{SPACE}+(?=\))"
 
 
 def _last_hit(text: Column, pattern: str) -> Column:
@@ -66,17 +62,16 @@ def letter(text: Column) -> Column:
 
 def gsm8k_gold(answer: Column) -> Column:
     """The rest of the line after ``####`` without commas; other text unchanged."""
-    tail = F.regexp_extract(answer, HASH_ANSWER, 1)
-    return F.when(answer.rlike(HASH_ANSWER), F.replace(strip(tail), F.lit(","), F.lit(""))).otherwise(
-        answer
-    )
+    tail = F.get(F.regexp_extract_all(answer, F.lit(HASH_ANSWER), 1), 0)
+    bare = F.replace(strip(tail), F.lit(","), F.lit(""))
+    return F.when(answer.contains(HASH_MARK), F.coalesce(bare, answer)).otherwise(answer)
 
 
 def math500_gold(answer: Column) -> Column:
     """Sized brackets become plain ones; spaces just inside round brackets go."""
-    for pattern, plain in MATH500_REWRITES:
-        answer = F.regexp_replace(answer, pattern, plain)
-    return answer
+    sized = answer.contains("\\left") | answer.contains("\\right")
+    plain = F.when(sized, F.regexp_replace(answer, SIZED_BRACKET, "$1$2")).otherwise(answer)
+    return F.regexp_replace(plain, INNER_SPACE, "")
 
 
 def gold_answer(answer: Column, source: Column | None = None) -> Column:

@@ -10,7 +10,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeframe.functions.cells import as_attempts, as_list, first_attempt_correct, ingest_cells
 from gradeframe.functions.metrics import ratio
-from gradeframe.functions.parsing import boxed, gold_answer, math_correct, mcq_correct, strip
+from gradeframe.functions.parsing import (
+    BOX_MARK,
+    boxed,
+    gold_answer,
+    math_correct,
+    mcq_correct,
+    strip,
+)
 from gradeframe.schemas import check_domain, one_of, require_columns
 
 COLLECT_PART = 10_000
@@ -174,8 +181,10 @@ def grade_math_long(
     """
     key = list(key)
     require_columns(questions, [*key, "answer"])
+    # Only a boxed answer can be right; the other attempts matter for their number alone.
+    used = attempts if counts else attempts.filter(F.col(text).contains(BOX_MARK))
     predictions = (
-        attempts.select(*key, _answer_key(F.col(text)).alias("_pred"))
+        used.select(*key, _answer_key(F.col(text)).alias("_pred"))
         .groupBy(*key, "_pred")
         .agg(F.count("*").alias("_n"))
     )

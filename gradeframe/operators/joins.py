@@ -132,16 +132,21 @@ def latest_results(results: DataFrame, key: Sequence[str], error: Column, run: s
 
 
 def attach_truth(
-    preds: DataFrame, truth: DataFrame, key: Sequence[str], label: str = "is_correct"
+    preds: DataFrame,
+    truth: DataFrame,
+    key: Sequence[str],
+    label: str = "is_correct",
+    **limits,
 ) -> DataFrame:
     """Predictions with the label of their key; keys on one side only are left out.
 
-    Run ``alignment_report`` to see such keys.
+    Run ``alignment_report`` to see such keys. Give ``measure`` where the truth is computed and
+    not read, so that it is not computed once more to learn its size.
     """
     key = list(key)
     require_columns(preds, key)
     require_columns(truth, [*key, label])
-    return lookup_join(preds, truth.select(*key, label), key, "inner")
+    return lookup_join(preds, truth.select(*key, label), key, "inner", **limits)
 
 
 def alignment_report(preds: DataFrame, truth: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -162,13 +167,13 @@ def alignment_report(preds: DataFrame, truth: DataFrame, key: Sequence[str]) ->
 def restrict(df: DataFrame, keys: DataFrame, key: Sequence[str], **limits) -> DataFrame:
     """Rows of ``df`` whose key occurs in ``keys``."""
     wanted = keys.select(*key)
-    return lookup_join(df, wanted.distinct(), key, "left_semi", measure=wanted, **limits)
+    return lookup_join(df, wanted.distinct(), key, "left_semi", **{"measure": wanted} | limits)
 
 
 def remaining(inputs: DataFrame, results: DataFrame, key: Sequence[str], **limits) -> DataFrame:
     """Input rows whose key has no result yet."""
     done = results.select(*key)
-    return lookup_join(inputs, done.distinct(), key, "left_anti", measure=done, **limits)
+    return lookup_join(inputs, done.distinct(), key, "left_anti", **{"measure": done} | limits)
 
 
 def select_analysis(

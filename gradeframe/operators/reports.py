@@ -165,7 +165,7 @@ def value_counts(
     counts = present.groupBy(col).agg(F.count("*").alias("n"))
     if not normalize:
         return counts
-    total = present.agg(F.count("*")).scalar()
+    total = counts.agg(F.sum("n")).scalar()
     return counts.withColumn("share", F.round(ratio(F.col("n"), total), digits))
 
 

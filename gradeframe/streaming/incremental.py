@@ -25,7 +25,7 @@ def run_incremental(
 ) -> DataFrame:
     """Apply ``job`` to inputs without a good result, append its rows, return the newest per key.
 
-    Every call writes one ``run=N`` folder below ``path``. A call that dies leaves no folder
+    ``key`` must be unique in ``inputs``. Every call writes one ``run=N`` folder below ``path``. A call that dies leaves no folder
     behind that counts, and the next one takes up the same keys.
     """
     spark = inputs.sparkSession
@@ -35,7 +35,7 @@ def run_incremental(
     else:
         run = (earlier.agg(F.max("run")).first()[0] or 0) + 1
         done = earlier.filter(~needs_output(F.col(output), retry))
-        todo = remaining(inputs, done, key, **limits)
+        todo = remaining(inputs, done, key, **{"hot_rows": None} | limits)
     append_results(job(todo), path, run)
     return newest(spark, path, key, output, retry)
 

@@ -45,6 +45,12 @@ def test_known_cells(spark):
     assert read(spark, [c[0] for c in cases]) == [c[1:] for c in cases]
 
 
+def test_long_cells(spark):
+    text = "\\\\x 'y' " * 50_000
+    cells = [json.dumps([text]), repr([text.replace("'", "")]), repr([text + '"'])]
+    assert [status for status, _ in read(spark, cells)] == ["json", "quoted", "fallback"]
+
+
 def test_without_fallback_no_python_is_planned(spark, capsys):
     from conftest import plan_of
 
@@ -71,7 +77,7 @@ def test_attempt_cells(spark):
     out = ingest_cells(table, "c").select(as_attempts(F.col("value")).alias("a"), first_attempt_correct(F.col("value")).alias("r"))
     got = [([tuple(a) for a in r["a"]], r["r"]) for r in out.collect()]
     assert got == [
-        ([("A", "g1"), (None, None), ("", "A"), ("B", "")], 0),
+        ([("A", "g1"), (None, None), (None, "A"), ("B", None)], 0),
         ([("C", "C")], 1),
         ([], 0),
         ([], 0),
