@@ -191,12 +191,12 @@ _WORDS = r"len(regexp_extract_all({}, '\S+'))"
 
 @query(
     o.with_tables(
-        f"SELECT * FROM ({_SFT}) WHERE {_WORDS.format('prompt || completion')} <= 52", "fx_graded", "fx_pairs"
+        f"SELECT * FROM ({_SFT}) WHERE {_WORDS.format('prompt || completion')} <= 53", "fx_graded", "fx_pairs"
     )
 )
 def sft_pairs_short(spark, sf):
     return T.build_sft(
-        fx.graded(spark, sf), fx.pairs(spark, sf), max_tokens=52, keep=["qid"], spread_by=["qid"], **MARKUP
+        fx.graded(spark, sf), fx.pairs(spark, sf), max_tokens=53, keep=["qid"], spread_by=["qid"], **MARKUP
     )
 
 

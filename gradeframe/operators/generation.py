@@ -1,7 +1,7 @@
 """Running a caller-supplied model function over a table of prompts."""
 
 import time
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -15,6 +15,14 @@ ModelFn = Callable[[list[str], int], list[list[str]]]
 OUTPUTS = "array<struct<generation:string,elapsed:double>>"
 
 
+def choose_model(
+    factories: Mapping[str, Callable[[], ModelFn]], provider: str
+) -> Callable[[], ModelFn]:
+    """The model factory registered under a provider name, in any case."""
+    known = {name.lower(): factory for name, factory in factories.items()}
+    return known[one_of(provider.lower(), sorted(known), "provider")]
+
+
 def _answer(model: ModelFn, prompts: list[str], n: int, capture: bool) -> list[list[dict]]:
     """``n`` texts per prompt with the seconds spent on each; errors become texts if captured."""
     start = time.monotonic()

@@ -157,3 +157,9 @@ def test_training_tables(spark):
 def test_reward_report(spark):
     table = spark.createDataFrame([(1, "SELF_SOLVE", 1), (1, "what", 1), (2, "DELEGATE", 0)], "step int, completion string, is_correct int")
     assert rows(D.reward_report(D.with_reward(table))) == [(1, 2, 1, 1, 0.0), (2, 1, 1, 0, 1.0)]
+
+
+def test_models_are_chosen_by_name():
+    assert N.choose_model({"Stub": stubs.text_model}, "stub") is stubs.text_model
+    with pytest.raises(ValueError):
+        N.choose_model({"Stub": stubs.text_model}, "other")
