@@ -18,10 +18,12 @@ def checked_options(options: Column) -> Column:
 
 
 def format_options(options: Column) -> Column:
-    """``(A) first`` and so on, one option per line."""
+    """``(A) first`` and so on, one option per line; a null option shows as ``None``."""
     lines = F.transform(
         checked_options(options),
-        lambda option, i: F.concat(F.lit("("), option_letter(i), F.lit(") "), option),
+        lambda option, i: F.concat(
+            F.lit("("), option_letter(i), F.lit(") "), F.coalesce(option, F.lit("None"))
+        ),
     )
     return F.array_join(lines, "\n")
 

@@ -10,7 +10,14 @@ import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, MapType, StringType, StructType
+from pyspark.sql.types import (
+    ArrayType,
+    BinaryType,
+    MapType,
+    StringType,
+    StructType,
+    VariantType,
+)
 
 from gradeframe.functions.parsing import checked_label
 from gradeframe.schemas import require_columns
@@ -19,14 +26,15 @@ BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 32 * 1024 * 1024
 HOT_ROWS = 2_000_000
 HOT_KEYS = 10_000
+HOT_SAMPLE = 0.01
 
 
 def _row_bytes(df: DataFrame) -> Column:
     total = F.lit(0)
     for field in df.schema.fields:
-        if isinstance(field.dataType, StringType):
+        if isinstance(field.dataType, (StringType, BinaryType)):
             width = F.octet_length(field.name)
-        elif isinstance(field.dataType, (ArrayType, MapType, StructType)):
+        elif isinstance(field.dataType, (ArrayType, MapType, StructType, VariantType)):
             width = F.octet_length(F.to_json(field.name))
         else:
             width = F.lit(8)
@@ -51,13 +59,21 @@ def settle_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def hot_keys(
-    df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS, max_keys: int = HOT_KEYS
+    df: DataFrame,
+    on: Sequence[str],
+    hot_rows: int = HOT_ROWS,
+    max_keys: int = HOT_KEYS,
+    sample: float = HOT_SAMPLE,
 ) -> DataFrame | None:
-    """Hashes of keys with more than ``hot_rows`` rows and the task count each needs.
+    """Hashes of keys with about ``hot_rows`` rows and more, and the task count each needs.
 
-    At most ``max_keys`` rows, the largest first; null when there is none.
+    At most ``max_keys`` rows, the largest first; null when there is none. Only the keys are read
+    and a sample of them counted: the outcome steers where rows go, never which rows there are.
     """
-    counts = df.groupBy(F.xxhash64(*on).alias("_key_hash")).agg(F.count("*").alias("_rows"))
+    keys = df.select(F.xxhash64(*on).alias("_key_hash"))
+    if sample < 1:
+        keys = keys.sample(sample, 7)
+    counts = keys.groupBy("_key_hash").agg((F.count("*") / sample).alias("_rows"))
     found = (
         counts.filter(F.col("_rows") > hot_rows)
         .orderBy(F.desc("_rows"), "_key_hash")
@@ -79,17 +95,18 @@ def lookup_join(
     hot_rows: int | None = HOT_ROWS,
     max_broadcast_rows: int = BROADCAST_ROWS,
     measure: DataFrame | None = None,
+    hot_sample: float = HOT_SAMPLE,
 ) -> DataFrame:
     """Join to a lookup with one row per key: ``inner``, ``left``, ``left_semi``, ``left_anti``.
 
     ``spread_by`` names the columns that tell rows of one key apart (default: all columns).
-    ``hot_rows=None`` skips the count of rows per key, for a ``df`` whose keys cannot repeat.
+    ``hot_rows=None`` skips the search for hot keys, for a ``df`` whose keys cannot repeat.
     ``measure`` is a cheaper table that is never smaller than the lookup.
     """
     on = list(on)
     if is_small(lookup if measure is None else measure, max_broadcast_rows):
         return df.join(F.broadcast(lookup), on, how)
-    hot = hot_keys(df, on, hot_rows) if hot_rows else None
+    hot = hot_keys(df, on, hot_rows, sample=hot_sample) if hot_rows else None
     if hot is None:
         return df.join(lookup, on, how)
     slot = F.pmod(F.xxhash64(*(spread_by or df.columns)), F.col("_copies")).cast("int")

@@ -1,9 +1,10 @@
 """Exact, reproducible samples and splits.
 
 Rows are ordered by ``md5(seed|key)``. A cut of n rows is turned into a threshold on that hash,
-found from narrow columns only: counts per hash prefix locate the bucket in which the n-th row
-lies, and only that bucket is ranked. The rows themselves are then filtered where they are, so
-no row is shuffled, whatever share of the table one group holds. ``key`` must be unique.
+found from narrow columns only: counts per hash prefix, which combine map-side to a few hundred
+rows per group, locate the bucket in which the n-th row lies, and only that bucket is ranked. The rows themselves are then filtered where they are, so
+no row is shuffled, whatever share of the table one group holds. ``key`` must be unique; a key
+that repeats at a cut fails the query.
 """
 
 from collections.abc import Sequence
@@ -13,8 +14,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gradeframe.operators.joins import BROADCAST_ROWS, lookup_join, settle_small
 from gradeframe.schemas import require_columns
+from gradeframe.session import reliable_checkpoint
 
-PREFIX = 4
+DIGITS = 2
+HASH_DIGITS = 32
+BUCKET_ROWS = 200_000
 LAST_HASH = "g"  # sorts after every hex digit
 
 
@@ -27,61 +31,108 @@ def _group(by: Sequence[str]) -> Column:
     return F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
 
 
+def _settled(df: DataFrame, max_groups: int) -> DataFrame:
+    """A per-group table that later steps read without computing it again."""
+    small = settle_small(df, max_groups)
+    return reliable_checkpoint(df) if small is df else small
+
+
+def _initial_targets(
+    narrow: DataFrame, cuts: Sequence[int] | DataFrame, by: Sequence[str]
+) -> tuple[DataFrame, DataFrame]:
+    """Counts per group and first hash digits, and the row each cut looks for."""
+    counts = narrow.groupBy("_g", F.substring("_h", 1, DIGITS).alias("_b")).agg(
+        F.count("*").alias("_c")
+    )
+    sizes = counts.groupBy("_g").agg(F.sum("_c").alias("_size"))
+    if isinstance(cuts, DataFrame):
+        wanted = cuts.select(_group(by).alias("_g"), F.lit(0).alias("cut"), F.col("n").cast("long"))
+        sizes = sizes.join(wanted, "_g")
+    else:
+        pairs = [
+            F.struct(F.lit(i).alias("cut"), F.lit(int(n)).cast("long").alias("n"))
+            for i, n in enumerate(cuts)
+        ]
+        sizes = sizes.withColumn("_cut", F.explode(F.array(*pairs))).select(
+            "*", "_cut.cut", "_cut.n"
+        )
+    found = F.least("n", "_size")
+    return counts, sizes.select("_g", "cut", "n", found.alias("found"), found.alias("_nth"))
+
+
+def _edge_buckets(counts: DataFrame, targets: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Per group and cut the bucket that holds the wanted row, and its place in that bucket."""
+    earlier = (
+        Window.partitionBy("_g", "cut").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    runs = counts.join(targets, list(on)).withColumn(
+        "_before", F.coalesce(F.sum("_c").over(earlier), F.lit(0))
+    )
+    inside = (F.col("_before") < F.col("_nth")) & (F.col("_before") + F.col("_c") >= F.col("_nth"))
+    return runs.filter(inside).select(
+        "_g",
+        "cut",
+        "n",
+        "found",
+        F.col("_b").alias("_prefix"),
+        "_c",
+        (F.col("_nth") - F.col("_before")).alias("_nth"),
+    )
+
+
 def hash_thresholds(
     df: DataFrame,
     key: Sequence[str],
     cuts: Sequence[int] | DataFrame,
     by: Sequence[str] = (),
     seed: int = 42,
-    prefix: int = PREFIX,
+    bucket_rows: int = BUCKET_ROWS,
     max_groups: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Per group and cut the hash of its last row: ``_g``, ``cut``, ``n``, ``found``, ``last_hash``.
 
     ``cuts`` are row counts from the start of each group's order, numbered 0, 1, ..., or a table
     ``(*by, n)`` with one cut per group. ``found`` is less than ``n`` where the group is smaller.
+    The hash prefix grows until the bucket with the wanted row is small enough to be ranked.
     """
-    narrow = df.select(_group(by).alias("_g"), hash_order(key, seed).alias("_h")).withColumn(
-        "_b", F.substring("_h", 1, prefix)
-    )
-    counts = narrow.groupBy("_g", "_b").agg(F.count("*").alias("_c"))
-    earlier = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    runs = counts.withColumn("_before", F.coalesce(F.sum("_c").over(earlier), F.lit(0)))
-    if isinstance(cuts, DataFrame):
-        wanted = cuts.select(_group(by).alias("_g"), F.lit(0).alias("cut"), F.col("n").cast("long"))
-        runs = runs.join(wanted, "_g")
-    else:
-        pairs = [F.struct(F.lit(i).alias("cut"), F.lit(int(n)).cast("long").alias("n")) for i, n in enumerate(cuts)]
-        runs = runs.withColumn("_cut", F.explode(F.array(*pairs))).select(
-            "*", "_cut.cut", "_cut.n"
+    narrow = df.select(_group(by).alias("_g"), hash_order(key, seed).alias("_h"))
+    counts, wanted = _initial_targets(narrow, cuts, by)
+    targets = _settled(_edge_buckets(counts, wanted, ["_g"]), max_groups)
+    digits = DIGITS
+    while digits < HASH_DIGITS and (targets.agg(F.max("_c")).first()[0] or 0) > bucket_rows:
+        pool = _inside(narrow, targets, digits)
+        digits += DIGITS
+        counts = pool.groupBy("_g", "_prefix", F.substring("_h", 1, digits).alias("_b")).agg(
+            F.count("*").alias("_c")
         )
-    # The bucket that reaches n, or the group's last bucket when it never does.
-    upto = F.col("_before") + F.col("_c")
-    size = F.sum("_c").over(Window.partitionBy("_g", "cut"))
-    runs = runs.withColumn("_size", size)
-    need = F.least("n", "_size")
-    edge = settle_small(
-        runs.filter((F.col("_before") < need) & (upto >= need)).select(
-            "_g", "_b", "cut", "n", need.alias("found"), (need - F.col("_before")).alias("_nth")
-        ),
-        max_groups,
-    )
-    in_bucket = Window.partitionBy("_g", "cut", "_b").orderBy("_h")
+        targets = _settled(_edge_buckets(counts, targets.drop("_c"), ["_g", "_prefix"]), max_groups)
+
+    in_bucket = Window.partitionBy("_g", "cut").orderBy("_h")
     exact = (
-        narrow.join(edge, ["_g", "_b"])
+        narrow.withColumn("_prefix", F.substring("_h", 1, digits))
+        .join(targets, ["_g", "_prefix"])
         .withColumn("_rank", F.row_number().over(in_bucket))
+        .withColumn("_next", F.lead("_h").over(in_bucket))
         .filter(F.col("_rank") == F.col("_nth"))
     )
+    repeated = F.raise_error(F.lit("the sampling key repeats"))
+    last = F.when(F.col("_next") == F.col("_h"), repeated).otherwise(F.col("_h"))
     whole = F.col("found") < F.col("n")
-    return settle_small(
-        exact.select(
-            "_g",
-            "cut",
-            "n",
-            "found",
-            F.when(whole, F.lit(LAST_HASH)).otherwise(F.col("_h")).alias("last_hash"),
-        ),
-        max_groups,
+    result = exact.select(
+        "_g",
+        "cut",
+        "n",
+        "found",
+        F.when(whole, F.lit(LAST_HASH)).otherwise(last).alias("last_hash"),
+    )
+    return _settled(result, max_groups)
+
+
+def _inside(narrow: DataFrame, targets: DataFrame, digits: int) -> DataFrame:
+    """Rows of the buckets that hold a wanted row."""
+    wanted = targets.select("_g", "_prefix").distinct()
+    return narrow.withColumn("_prefix", F.substring("_h", 1, digits)).join(
+        wanted, ["_g", "_prefix"], "left_semi"
     )
 
 

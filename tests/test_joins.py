@@ -9,7 +9,7 @@ KEYS = st.sampled_from(["hot", "a", "b", "c", None])
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-@pytest.mark.parametrize("limits", [{}, {"max_broadcast_rows": 0}, {"max_broadcast_rows": 0, "hot_rows": 3}])
+@pytest.mark.parametrize("limits", [{}, {"max_broadcast_rows": 0}, {"max_broadcast_rows": 0, "hot_rows": 3, "hot_sample": 1.0}])
 def test_every_route_gives_the_plain_join(spark, how, limits):
     left = spark.createDataFrame(
         [(i, "hot" if i % 3 else f"k{i % 7}") for i in range(60)] + [(60, None)], "i long, k string"
@@ -23,11 +23,31 @@ def test_every_route_gives_the_plain_join(spark, how, limits):
 
 def test_hot_keys_are_found_and_spread(spark):
     left = spark.range(1000).withColumn("k", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")))
-    hot = J.hot_keys(left, ["k"], hot_rows=50).collect()
+    hot = J.hot_keys(left, ["k"], hot_rows=50, sample=1.0).collect()
     assert [r["_copies"] for r in hot] == [7]
-    assert J.hot_keys(left, ["k"], hot_rows=500) is None
+    assert J.hot_keys(left, ["k"], hot_rows=500, sample=1.0) is None
+    many = spark.range(200_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"))
+    assert 5 <= J.hot_keys(many, ["k"], hot_rows=10_000).first()["_copies"] <= 9
     twos = left.unionByName(left)
-    assert len(J.hot_keys(twos, ["k"], hot_rows=1, max_keys=5).collect()) == 5
+    assert len(J.hot_keys(twos, ["k"], hot_rows=1, max_keys=5, sample=1.0).collect()) == 5
+
+
+def test_hot_rows_meet_their_lookup_in_several_tasks(spark, capsys):
+    from conftest import plan_of
+
+    left = spark.range(600).withColumn("k", F.when(F.col("id") % 3 != 0, "hot").otherwise(F.col("id").cast("string")))
+    lookup = spark.createDataFrame([("hot", 1), ("3", 2)], "k string, v int")
+    limits = {"max_broadcast_rows": 0, "hot_rows": 50, "hot_sample": 1.0}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = J.lookup_join(left, lookup, ["k"], "left", ["id"], **limits)
+        assert "_slot" in plan_of(joined, capsys)
+        tasks = joined.filter("k = 'hot'").select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(tasks) >= 3 and sum(r["count"] for r in tasks) == 400
 
 
 def test_size_check_counts_rows_and_bytes(spark):
@@ -55,7 +75,7 @@ def test_select_analysis_takes_the_first_pair(spark, pair_keys, questions):
         place = first.get(k) if k is not None else None
         text = None if place is None else f"{'yes' if y else 'no'}{place}"
         expected.append((i, text, place is not None))
-    for limits in ({}, {"max_broadcast_rows": 0, "hot_rows": 2}):
+    for limits in ({}, {"max_broadcast_rows": 0, "hot_rows": 2, "hot_sample": 1.0}):
         got = J.select_analysis(graded, pairs, spread_by=["qid"], **limits)
         assert rows(got.select("qid", "analysis", "has_pair")) == sorted(expected, key=repr)
 

@@ -11,7 +11,7 @@ from gradeframe.operators import sampling as S
 from gradeframe.operators.generation import expand_attempts
 from gradeframe.plans.question_sets import build_math_set, build_mcq_set
 
-LIMITS = [{}, {"max_groups": 0}, {"prefix": 1}, {"prefix": 1, "max_groups": 1}]
+LIMITS = [{}, {"max_groups": 0}, {"bucket_rows": 1}, {"bucket_rows": 0, "max_groups": 1}]
 
 
 def order(ids, seed=42):
@@ -80,6 +80,12 @@ def test_stratified_sizes(spark, sizes, draw):
     assert results[0] == results[1]
 
 
+def test_repeated_key_at_the_cut_fails(spark):
+    twice = spark.range(20).unionByName(spark.range(20))
+    with pytest.raises(Exception, match="repeats"):
+        S.sample_n(twice, 5, ["id"]).count()
+
+
 def test_shuffle_keeps_all_rows_in_hash_order(spark):
     got = [r["id"] for r in S.shuffle_rows(spark.range(50).repartition(4), ["id"]).collect()]
     assert got == order(range(50))
@@ -133,5 +139,7 @@ def test_option_shuffles_are_permutations(spark):
         found.select(O.remapped_letter(F.col("order"), F.lit(9))).collect()
     with pytest.raises(Exception):
         spark.createDataFrame([(["x"] * 25,)], "o array<string>").select(O.format_options(F.col("o"))).collect()
+    holes = spark.createDataFrame([(["x", None],)], "o array<string>")
+    assert holes.select(O.format_options(F.col("o"))).first()[0] == "(A) x\n(B) None"
     empty = spark.createDataFrame([([],)], "o array<string>")
     assert empty.select(O.shuffled_order(F.size("o"), F.lit(1), F.lit(0), 1)).first()[0] == []
