@@ -1,7 +1,7 @@
 """Running a caller-supplied model function over a table of prompts."""
 
 import time
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -40,6 +40,19 @@ def _answer(model: ModelFn, prompts: list[str], n: int, capture: bool) -> list[l
     return [[{"generation": text, "elapsed": spent} for text in texts] for texts in answers]
 
 
+def _chunks(rows: Iterable[list[str | None] | None], size: int) -> Iterator[list]:
+    """Consecutive rows that hold ``size`` prompts together, or just above where rows hold several."""
+    chunk, prompts = [], 0
+    for row in rows:
+        chunk.append(row)
+        prompts += 0 if row is None else sum(p is not None for p in row)
+        if prompts >= size:
+            yield chunk
+            chunk, prompts = [], 0
+    if chunk:
+        yield chunk
+
+
 def model_outputs(
     prompts: Column,
     model_factory: Callable[[], ModelFn],
@@ -50,34 +63,33 @@ def model_outputs(
 ) -> Column:
     """``n`` outputs for each entry of a prompt array, in order; a null entry gives null outputs.
 
-    ``model_factory`` is called once per task. Only the prompts travel to Python. With
-    ``per_call`` every output is a separate call with its own time and its own error text.
+    ``model_factory`` is called once per task. Only the prompts travel to Python, and the outputs of
+    each call travel back before the next one. With ``per_call`` every output is a separate call
+    with its own time and its own error text.
     """
 
+    def answer(flat: list[str], model: ModelFn) -> list[list[dict]]:
+        if per_call:
+            return [[_answer(model, [p], 1, capture)[0][0] for _ in range(n)] for p in flat]
+        return _answer(model, flat, n, capture) if flat else []
+
     @F.pandas_udf(OUTPUTS)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = model_factory()
+        silent = [{"generation": None, "elapsed": None}] * n
         for lists in batches:
-            flat = [p for row in lists if row is not None for p in row if p is not None]
-            answers: list[list[dict]] = []
-            if per_call:
-                for prompt in flat:
-                    answers.append([_answer(model, [prompt], 1, capture)[0][0] for _ in range(n)])
-            else:
-                for start in range(0, len(flat), batch_size):
-                    answers += _answer(model, flat[start : start + batch_size], n, capture)
-            ready = iter(answers)
-            empty = [{"generation": None, "elapsed": None}] * n
-            yield pd.Series(
-                [
-                    None
-                    if row is None
-                    else [out for p in row for out in (empty if p is None else next(ready))]
-                    for row in lists
-                ],
-                index=lists.index,
-                dtype=object,
-            )
+            for rows in _chunks(lists, batch_size):
+                flat = [p for row in rows if row is not None for p in row if p is not None]
+                ready = iter(answer(flat, model))
+                yield pd.Series(
+                    [
+                        None
+                        if row is None
+                        else [out for p in row for out in (silent if p is None else next(ready))]
+                        for row in rows
+                    ],
+                    dtype=object,
+                )
 
     # A model call is not repeatable: the planner must neither copy nor move it.
     return run.asNondeterministic()(prompts)
