@@ -77,6 +77,22 @@ def grade_math_long_counts(spark, sf):
     return G.grade_math_long(fx.questions(spark, sf), fx.attempts(spark, sf), KEY, counts=True)
 
 
+@query(
+    o.with_tables(
+        f"""SELECT phase, qid, CAST(count(*) AS BIGINT) AS n_attempts, CAST(sum(hit) AS BIGINT) AS n_correct,
+        max(hit) AS is_correct FROM (
+          SELECT a.phase, a.qid, {o.math_correct('a.generation', o.gold('q.answer', 'q.source'))} AS hit
+          FROM fx_attempts a JOIN fx_questions q ON a.qid = q.qid) GROUP BY phase, qid""",
+        "fx_questions",
+        "fx_attempts",
+    )
+)
+def grade_scored_attempts(spark, sf):
+    """Labels per question and phase, each phase standing for a model's run."""
+    scored = G.score_attempts(fx.questions(spark, sf), fx.attempts(spark, sf), KEY, ["phase"])
+    return G.grade_scores(scored, ["phase", "qid"])
+
+
 _ARRAY = f"""
 SELECT q.qid, any_value(q.source) AS source, any_value(q.model) AS model,
   CAST(count(a.qid) AS INT) AS n_attempts,

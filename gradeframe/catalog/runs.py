@@ -328,7 +328,7 @@ def model_runs(spark, sf):
 
 
 @query(
-    """SELECT o_orderkey AS question, o_orderstatus AS answer, 'ORDERS' AS source, o_orderdate FROM orders"""
+    """SELECT o_orderkey AS question, o_orderstatus AS answer, 'ORDERS' AS source, o_totalprice FROM orders"""
 )
 def read_questions(spark, sf):
     return S.read_questions(
@@ -336,7 +336,7 @@ def read_questions(spark, sf):
         f"{sf}/orders.parquet",
         {"question": "o_orderkey", "answer": "o_orderstatus"},
         "ORDERS",
-        keep=["o_orderdate"],
+        keep=["o_totalprice"],
     )
 
 

@@ -18,6 +18,7 @@ from gradeframe.functions.parsing import (
     mcq_correct,
     strip,
 )
+from gradeframe.operators.joins import lookup_join
 from gradeframe.schemas import check_domain, one_of, require_columns
 
 COLLECT_PART = 10_000
@@ -203,6 +204,39 @@ def grade_math_long(
     )
 
 
+def score_attempts(
+    questions: DataFrame,
+    attempts: DataFrame,
+    question_key: Sequence[str],
+    keep: Sequence[str] = (),
+    text: str = "generation",
+    **limits,
+) -> DataFrame:
+    """``question_key``, ``keep`` columns and INT ``score`` of every attempt of a known question.
+
+    For few questions with many attempts, of several models say: a small question table is
+    broadcast and no attempt is shuffled. Only the parsed answer, never the text, goes further.
+    """
+    question_key = list(question_key)
+    require_columns(questions, [*question_key, "answer"])
+    golds = questions.select(*question_key, _gold_key(questions).alias("_gold"))
+    columns = list(dict.fromkeys([*question_key, *keep]))
+    predictions = attempts.select(*columns, _answer_key(F.col(text)).alias("_pred"))
+    limits = {"measure": questions.select(*question_key, "answer")} | limits
+    matched = lookup_join(predictions, golds, question_key, "inner", **limits)
+    hit = F.coalesce((F.col("_pred") == F.col("_gold")).cast("int"), F.lit(0))
+    return matched.select(*columns, hit.alias("score"))
+
+
+def grade_scores(scored: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Attempts, right attempts and the any-correct label per key of scored attempts."""
+    return scored.groupBy(*key).agg(
+        F.count("*").alias("n_attempts"),
+        F.sum("score").alias("n_correct"),
+        F.max("score").alias("is_correct"),
+    )
+
+
 def grade_mcq_long(
     attempts: DataFrame,
     key: Sequence[str],

@@ -22,6 +22,16 @@ def test_array_form_equals_long_form(spark, data, answers):
     assert rows(G.attempt_report(array)) == rows(G.attempt_report_long(answers, each, KEY))
 
 
+@pytest.mark.parametrize("limits", [{}, {"max_broadcast_rows": 0, "hot_rows": 50, "hot_sample": 1.0}])
+def test_scored_attempts_give_the_same_labels(answers, limits):
+    each = G.explode_attempts(answers, "generation").filter("attempt IS NOT NULL")
+    scored = G.score_attempts(answers, each.select("qid", "attempt", "generation"), KEY, ["attempt"], **limits)
+    array = G.with_attempt_counts(G.grade(answers, "generation", "math", keep_scores=True))
+    columns = ["qid", "is_correct", "n_correct", "n_attempts"]
+    expected = array.filter("n_attempts > 0").select(columns)
+    assert rows(G.grade_scores(scored, KEY).select(columns)) == rows(expected)
+
+
 def test_mcq_array_form_equals_long_form(answers):
     array = G.grade(answers, "attempts", "science")
     each = G.explode_attempts(answers, "attempts").filter("attempt IS NOT NULL").select("qid", "attempts.*")
