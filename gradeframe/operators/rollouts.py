@@ -52,14 +52,17 @@ def rollout_counts_array(df: DataFrame, texts: str) -> DataFrame:
     def example(value: int) -> Column:
         return F.coalesce(F.get(of(value), 0)["t"], F.lit(""))
 
-    return (
-        parsed.withColumn("count_0", F.size(of(0)))
-        .withColumn("count_1", F.size(of(1)))
-        .withColumn("count_invalid", F.size(of(-1)))
-        .withColumn("example_0", example(0))
-        .withColumn("example_1", example(1))
-        .drop("_parsed")
-    )
+    counts = {
+        "count_0": F.size(of(0)),
+        "count_1": F.size(of(1)),
+        "count_invalid": F.size(of(-1)),
+        "example_0": example(0),
+        "example_1": example(1),
+    }
+    # A one-row generator: a later filter on the counts stays above it, so nothing is parsed twice.
+    row = F.struct(*(column.alias(name) for name, column in counts.items()))
+    rest = [c for c in df.columns if c not in counts]
+    return parsed.select(*rest, F.inline_outer(F.array(row)))
 
 
 def diversity_columns(counts: DataFrame) -> DataFrame:

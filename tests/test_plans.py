@@ -37,6 +37,8 @@ def test_patterns_are_evaluated_once(spark, data, capsys):
         ("reward_report", "regexp_extract_all", 2),
         ("rollout_counts", "regexp_extract_all", 2),
         ("diversity_report", "regexp_extract_all", 2),
+        ("rollouts_stub", "regexp_extract_all", 2),
+        ("build_diversified_stub", "regexp_extract_all", 2),
     ):
         plan = plan_of(entry.queries()[name](spark, data), capsys)
         assert plan.count(pattern) == times, name

@@ -1,5 +1,6 @@
 import hashlib
 from collections import Counter
+from functools import partial
 
 import pytest
 from conftest import rows
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from gradeframe.functions import options as O
 from gradeframe.operators import sampling as S
 from gradeframe.operators.generation import expand_attempts
+from gradeframe.operators.joins import lookup_join
 from gradeframe.plans.question_sets import build_math_set, build_mcq_set
 
 LIMITS = [{}, {"max_groups": 0}, {"bucket_rows": 1}, {"bucket_rows": 0, "max_groups": 1}]
@@ -39,6 +41,18 @@ def test_sample_is_the_head_of_the_hash_order(spark, limits):
     assert {r["id"] for r in whole.collect()} == set(order(range(400), 3)[:50])
 
 
+def test_many_groups_take_the_shuffled_route(spark, monkeypatch):
+    shuffled = partial(lookup_join, max_broadcast_rows=0, hot_rows=50, hot_sample=1.0)
+    monkeypatch.setattr(S, "lookup_join", shuffled)
+    table = grouped(spark)
+    members = {}
+    for r in table.collect():
+        members.setdefault(r["g"], []).append(r["id"])
+    expected = {i for ids in members.values() for i in order(ids)[:7]}
+    got = S.sample_n(table, 7, ["id"], ["g"], max_groups=0)
+    assert {r["id"] for r in got.collect()} == expected
+
+
 @pytest.mark.parametrize("limits", LIMITS)
 def test_splits_are_disjoint_and_exact(spark, limits):
     table = grouped(spark)
