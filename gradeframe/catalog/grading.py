@@ -243,6 +243,26 @@ def attempt_bounds_long(spark, sf):
     return rounded(G.attempt_bounds(graded))
 
 
+@query(
+    o.with_tables(
+        f"""SELECT attempt, CAST(sum(hit) AS BIGINT) AS n_correct, CAST(count(*) AS BIGINT) AS n,
+        round(avg(hit), 6) AS accuracy FROM (
+          SELECT attempt, {o.mcq_correct('mcq_generation', 'correct_label')} AS hit FROM fx_answers)
+        GROUP BY attempt""",
+        "fx_answers",
+    )
+)
+def attempt_report_mcq(spark, sf):
+    scored = G.attempt_scores(fx.answers(spark, sf), "attempts", "science")
+    return rounded(G.attempt_report(scored).withColumn("attempt", F.col("attempt").cast("bigint")))
+
+
+@query(o.with_tables(f"{_BOUNDS} ({_ARRAY_MCQ})", "fx_answers"))
+def attempt_bounds_mcq(spark, sf):
+    scored = G.attempt_scores(fx.answers(spark, sf), "attempts", "science")
+    return rounded(G.attempt_bounds(G.with_attempt_counts(scored)))
+
+
 _BY_SOURCE = """SELECT source, CAST(sum(is_correct) AS BIGINT) AS n_correct,
   CAST(count(*) AS BIGINT) AS n, round(avg(is_correct), 6) AS accuracy FROM"""
 
@@ -370,3 +390,15 @@ def grade_cells_mcq_single(spark, sf):
     cells = fx.answers(spark, sf).withColumn("cell", F.to_json("attempts"))
     read = ingest_cells(cells, "cell")
     return read.select("qid", first_attempt_correct(F.col("value")).alias("is_correct"))
+
+
+@query(
+    o.with_tables(
+        f"""SELECT qid, 'json' AS parse_status, {o.majority('n_correct', 'n_attempts')} AS is_correct
+        FROM ({_ARRAY_MCQ})""",
+        "fx_answers",
+    )
+)
+def grade_cells_mcq(spark, sf):
+    cells = fx.answers(spark, sf).withColumn("cell", F.to_json("attempts"))
+    return G.grade_cells(cells, "cell", "science").select("qid", "parse_status", "is_correct")

@@ -187,6 +187,19 @@ def format_options(spark, sf):
     )
 
 
+@query(
+    o.with_tables(
+        f"SELECT qid, CAST(to_json(list_transform({_OPTIONS}, lambda t: upper(t))) AS VARCHAR) AS options FROM fx_mcq",
+        "fx_mcq",
+    )
+)
+def encode_options(spark, sf):
+    parsed = O.parse_options(F.col("options"))
+    return fx.mcq(spark, sf).select(
+        "qid", O.encode_options(F.transform(parsed, F.upper)).alias("options")
+    )
+
+
 SHUFFLES = f"""
 SELECT qid, attempt, list_transform(list_sort(list_transform(range(0, 4), lambda i:
     {{'h': md5(concat_ws('|', '42', CAST(qid AS VARCHAR), CAST(attempt AS VARCHAR), CAST(i AS VARCHAR))), 'i': i}})),
