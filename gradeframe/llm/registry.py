@@ -1,0 +1,25 @@
+"""Named queries of the training-data operators and their SQL twins."""
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    """Register a function under its own name."""
+
+    def add(build: Query) -> Query:
+        QUERIES[build.__name__] = build
+        if oracle is not None:
+            ORACLES[build.__name__] = oracle
+        return build
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
