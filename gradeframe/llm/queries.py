@@ -1,16 +1,76 @@
 """One named query per operator, each over its whole table."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gradeframe.llm import license_scan as licences, quality_trees
+from gradeframe.llm import (
+    bpe_tree,
+    license_scan as licences,
+    lz_spans,
+    quality_trees,
+    simhash_tree,
+)
 from gradeframe.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+
 
 @query()
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.license_scan(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op5_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_tree.near_duplicates(table(spark, sf_dir, "documents"))
+    digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
+    return found.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
 @query()
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_trees.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = bpe_tree.Tokenizer(spark, TOKENIZER)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokenizer.encode(docs).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        bpe_tree.ids_digest("ids").alias("ids_sha256"),
+        F.sha2(tokenizer.decode("ids"), 256).alias("decoded_sha256"),
+    )
+
+
+@query(
+    r"""
+    WITH docs AS (
+        SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+        FROM documents
+    ), windows AS (
+        SELECT doc_id, unnest(range(1, len(words) - 48)) AS pos, words FROM docs WHERE len(words) >= 50
+    ), phrases AS (
+        SELECT doc_id, pos, array_to_string(words[pos:pos + 49], ' ') AS phrase FROM windows
+    ), owners AS (
+        SELECT phrase, min(doc_id) AS low FROM phrases GROUP BY phrase
+    ), gone AS (
+        SELECT doc_id, list_distinct(flatten(list(range(pos, pos + 50)))) AS places
+        FROM phrases JOIN owners USING (phrase) WHERE doc_id > low GROUP BY doc_id
+    )
+    SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(len(places), 0)::BIGINT AS n_removed,
+        sha256(array_to_string(
+            CASE WHEN places IS NULL THEN words
+            ELSE list_filter(words, lambda w, i: NOT list_contains(places, i)) END, ' ')) AS kept_sha256
+    FROM docs LEFT JOIN gone USING (doc_id)
+    """
+)
+def op10_lz_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lz_spans.substring_dedup(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.col("n_words").cast("long"),
+        F.col("n_removed").cast("long"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
