@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from gradeframe.llm import (
     bpe_tree,
+    decontaminate,
     license_scan as licences,
+    line_dedup,
     lz_spans,
     quality_trees,
     simhash_tree,
@@ -20,6 +22,48 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.license_scan(table(spark, sf_dir, "documents"))
 
 
+@query(
+    r"""
+    WITH texts AS (
+        SELECT DISTINCT doc_id, list_filter(
+            string_split_regex(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x{BF}\x{2000}-\x{206F}\x{3000}-\x{303F}]+'), lambda w: w <> '') AS words
+        FROM documents
+    ), items AS (
+        SELECT item_id, list_filter(
+            string_split_regex(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x{BF}\x{2000}-\x{206F}\x{3000}-\x{303F}]+'), lambda w: w <> '') AS words
+        FROM benchmark
+    ), places AS (
+        SELECT doc_id, len(words) - 4 AS total, words, unnest(range(1, len(words) - 3)) AS pos
+        FROM texts WHERE len(words) >= 5
+    ), shingles AS (
+        SELECT doc_id, total, pos, array_to_string(words[pos:pos + 4], ' ') AS shingle FROM places
+    ), item_places AS (
+        SELECT item_id, len(words) - 4 AS n, words, unnest(range(1, len(words) - 3)) AS pos
+        FROM items WHERE len(words) >= 5
+    ), item_shingles AS (
+        SELECT item_id, n, array_to_string(words[pos:pos + 4], ' ') AS shingle, count(*) AS times
+        FROM item_places GROUP BY ALL
+    ), starts AS (
+        SELECT DISTINCT doc_id, total, pos AS start, item_id, n FROM shingles JOIN item_shingles USING (shingle)
+    ), held AS (
+        SELECT doc_id, total, start, item_id, n, shingle, count(*) AS times
+        FROM starts JOIN shingles s USING (doc_id, total) WHERE s.pos BETWEEN start AND start + n - 1 GROUP BY ALL
+    ), shared AS (
+        SELECT h.doc_id, h.item_id, h.start, h.n, h.total, sum(least(h.times, i.times)) AS shared
+        FROM held h JOIN item_shingles i USING (item_id, shingle) GROUP BY ALL
+    ), scored AS (
+        SELECT doc_id, item_id, start,
+            shared::DOUBLE / (n + least(n, total - start + 1) - shared)::DOUBLE AS similarity FROM shared
+    )
+    SELECT doc_id, item_id, max(similarity) AS similarity, (arg_min(start, (-similarity, start)) - 1)::INTEGER AS start
+    FROM scored WHERE similarity >= 0.8 GROUP BY doc_id, item_id
+    """
+)
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "similarity", "start")
+
+
 @query()
 def op5_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_tree.near_duplicates(table(spark, sf_dir, "documents"))
@@ -32,6 +76,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_trees.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query()
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "text", "n_lines", "n_removed")
+
+
 @query()
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = bpe_tree.Tokenizer(spark, TOKENIZER)
