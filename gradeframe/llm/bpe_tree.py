@@ -110,6 +110,21 @@ class Encoder:
         half = len(data) // 2
         return self.join(self.tree(data[:half]), self.tree(data[half:]))
 
+    def join_parts(self, goes_on, pieces) -> list[int]:
+        """One encoding from those of parts; ``goes_on`` tells which continue the pre-token before."""
+        out, runs = [], []
+        for on, ids in zip(goes_on, pieces):
+            if on:
+                runs[-1].append(list(ids))
+            else:
+                runs.append([list(ids)])
+        for run in runs:
+            while len(run) > 1:  # neighbours in pairs, level by level
+                pairs = [self.join(*run[i : i + 2]) for i in range(0, len(run) - 1, 2)]
+                run = pairs + ([run[-1]] if len(run) % 2 else [])
+            out += run[0]
+        return out
+
     def plain(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.known.__getitem__, self.words.findall(text))))
 
@@ -127,27 +142,37 @@ class Encoder:
     def decode(self, ids) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
-    def parts(self, text: str, size: int) -> Iterator[tuple[bool, bytes]]:
-        """Pieces of about ``size`` bytes, and for each whether it goes on within the pre-token before."""
+    def parts(self, text: str, size: int) -> Iterator[tuple[bool, bool, bytes]]:
+        """Pieces of about ``size`` characters; whether each goes on within the pre-token before, and whether
+        it is (part of) a single pre-token, not to be split again."""
+
+        def closed(words: list[str]):
+            # white space at the end would be split in another way without what follows
+            end = len(words)
+            while end and words[end - 1].isspace():
+                end -= 1
+            if end:
+                yield False, False, "".join(words[:end]).encode("utf-8", "surrogatepass")
+            for word in words[end:]:
+                yield False, True, word.encode("utf-8", "surrogatepass")
+
         held: list[str] = []
         length = 0
         for piece in self.specials.split(text) if self.specials else [text]:
-            for word in [piece] if piece in self.added else self.words.findall(piece):
-                if len(word) > size:
-                    if held:
-                        yield False, "".join(held).encode("utf-8", "surrogatepass")
+            special = piece in self.added
+            for word in [piece] if special else self.words.findall(piece):
+                long = len(word) > size and not special
+                if held and (long or length + len(word) > size):
+                    yield from closed(held)
                     held, length = [], 0
+                if long:
                     data = word.encode("utf-8", "surrogatepass")
                     for at in range(0, len(data), size):
-                        yield at > 0, data[at : at + size]
-                    continue
-                if length + len(word) > size and held:
-                    yield False, "".join(held).encode("utf-8", "surrogatepass")
-                    held, length = [], 0
-                held.append(word)
-                length += len(word)
-        if held:
-            yield False, "".join(held).encode("utf-8", "surrogatepass")
+                        yield at > 0, True, data[at : at + size]
+                else:
+                    held.append(word)
+                    length += len(word)
+        yield from closed(held)
 
 
 class _Words(dict):
@@ -160,122 +185,111 @@ class _Words(dict):
     def __missing__(self, word: str) -> tuple[int, ...]:
         ids = tuple(self.encoder.tree(word.encode("utf-8", "surrogatepass")))
         if len(word) <= 64:
-            if len(self) >= 300_000:
+            if len(self) >= 100_000:
                 self.clear()
             self[word] = ids
         return ids
 
 
-_ENCODERS: dict[int, Encoder] = {}
-
-
-def _encoder(shared, leaf_bytes: int) -> Encoder:
-    """One encoder per worker process, built from the broadcast file content."""
-    key = hash((shared.value[:64], len(shared.value), leaf_bytes))
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(shared.value, leaf_bytes)
-    return _ENCODERS[key]
-
-
 class Tokenizer:
     """Column functions for one vocabulary; its file (a few megabytes) is read on the driver and broadcast."""
 
     def __init__(self, spark: SparkSession, path: str, leaf_bytes: int = LEAF_BYTES):
         with open(path, encoding="utf-8") as file:
-            shared = spark.sparkContext.broadcast(file.read())
+            # the broadcast value lives as long as a worker, and so does the encoder that a worker puts into it
+            shared = spark.sparkContext.broadcast({"content": file.read()})
+
+        def encoder() -> Encoder:
+            held = shared.value
+            if leaf_bytes not in held:
+                held[leaf_bytes] = Encoder(held["content"], leaf_bytes)
+            return held[leaf_bytes]
+
+        def arrays(found) -> pd.Series:
+            return pd.Series([np.array(ids, np.int32) for ids in found], dtype=object)
 
         @F.pandas_udf("array<int>")
-        def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            encoder = _encoder(shared, leaf_bytes)
-            for batch in texts:
-                yield pd.Series([np.array(encoder.encode(t), np.int32) for t in batch], dtype=object)
+        def encode(texts: pd.Series) -> pd.Series:
+            return arrays(map(encoder().encode, texts))
 
         @F.pandas_udf("array<int>")
-        def encode_part(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-            encoder = _encoder(shared, leaf_bytes)
-            for whole, data in parts:
-                found = [
-                    encoder.encode(d.decode("utf-8", "surrogatepass")) if w else encoder.tree(d)
-                    for w, d in zip(whole, data)
-                ]
-                yield pd.Series([np.array(ids, np.int32) for ids in found], dtype=object)
+        def encode_part(single: pd.Series, parts: pd.Series) -> pd.Series:
+            own = encoder()
+            return arrays(
+                own.tree(d) if s else own.encode(d.decode("utf-8", "surrogatepass")) for s, d in zip(single, parts)
+            )
 
         @F.pandas_udf("array<int>")
-        def join_parts(rows: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-            encoder = _encoder(shared, leaf_bytes)
-
-            def joined(goes_on, pieces) -> np.ndarray:
-                out, runs = [], []
-                for on, ids in zip(goes_on, pieces):
-                    if on:
-                        runs[-1].append(list(ids))
-                    else:
-                        runs.append([list(ids)])
-                for run in runs:
-                    while len(run) > 1:  # neighbours in pairs, level by level
-                        pairs = [encoder.join(*run[i : i + 2]) for i in range(0, len(run) - 1, 2)]
-                        run = pairs + ([run[-1]] if len(run) % 2 else [])
-                    out += run[0]
-                return np.array(out, np.int32)
-
-            for goes_on, pieces in rows:
-                yield pd.Series([joined(g, p) for g, p in zip(goes_on, pieces)], dtype=object)
+        def join_parts(goes_on: pd.Series, pieces: pd.Series) -> pd.Series:
+            return arrays(map(encoder().join_parts, goes_on, pieces))
 
         @F.pandas_udf("string")
-        def decode(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            encoder = _encoder(shared, leaf_bytes)
-            for batch in ids:
-                yield pd.Series([encoder.decode(i.tolist()) for i in batch], dtype=object)
+        def decode(ids: pd.Series) -> pd.Series:
+            own = encoder()
+            return pd.Series([own.decode(i.tolist()) for i in ids], dtype=object)
+
+        @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+        def digests(ids: pd.Series) -> pd.DataFrame:
+            own = encoder()
+            out = [
+                (
+                    len(i),
+                    hashlib.sha256(np.asarray(i).astype("<u4").tobytes()).hexdigest(),
+                    hashlib.sha256(own.decode(i.tolist()).encode("utf-8")).hexdigest(),
+                )
+                for i in ids
+            ]
+            return pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
         def cut(size: int):
             def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                encoder = _encoder(shared, leaf_bytes)
+                own = encoder()
                 for batch in batches:
-                    for row, text in zip(batch["_row"], batch["_text"]):
-                        pieces = list(encoder.parts(text, size))
-                        on = [p[0] for p in pieces]
-                        # a piece is whole if it neither goes on nor is gone on with
-                        whole = [not a and not b for a, b in zip(on, on[1:] + [False])]
+                    for a, b, text in zip(batch["_a"], batch["_b"], batch["_text"]):
+                        pieces = list(own.parts(text, size))
                         yield pd.DataFrame(
                             {
-                                "_row": row,
+                                "_a": a,
+                                "_b": b,
                                 "part": range(len(pieces)),
-                                "goes_on": on,
-                                "whole": whole,
-                                "data": [p[1] for p in pieces],
+                                "goes_on": [p[0] for p in pieces],
+                                "single": [p[1] for p in pieces],
+                                "data": [p[2] for p in pieces],
                             }
                         )
 
             return parts
 
         self._encode, self._encode_part, self._join_parts, self._cut = encode, encode_part, join_parts, cut
+        #: Texts from ids.
         self.decode = decode
+        #: From ids: their number, the SHA-256 of them as little-endian unsigned 32-bit integers, and the
+        #: SHA-256 of the decoded text.
+        self.digests = digests
 
-    def encode(self, docs: DataFrame, text: str = "text", ids: str = "ids", part_chars: int = PART_CHARS) -> DataFrame:
+    def encode(
+        self, docs: DataFrame, text: str = "text", ids: str = "ids", part_chars: int = PART_CHARS
+    ) -> DataFrame:
         """All columns of ``docs`` and the token ids of its whole text.
 
         Strings of added tokens in a text become those tokens. Null and empty texts have no ids; repeated
-        rows are encoded each; an empty table gives an empty table. Texts over ``part_chars`` characters
-        are cut into parts of that many bytes, which are encoded in different tasks and joined again.
+        rows are encoded each; an empty table gives an empty table; a column named like ``ids`` is replaced.
+        Texts over ``part_chars`` characters are cut into parts of about that size, which are encoded in
+        different tasks and joined again; they are known by two hashes of the text.
         """
+        docs = docs.drop(ids)
         size = F.coalesce(F.length(text), F.lit(0))
         short = docs.where(size <= part_chars).withColumn(ids, self._encode(text))
-        rows = docs.where(size > part_chars).withColumn("_row", F.monotonically_increasing_id())
-        parts = rows.select("_row", F.col(text).alias("_text")).mapInPandas(
-            self._cut(part_chars), "_row long, part int, goes_on boolean, whole boolean, data binary"
+        rows = docs.where(size > part_chars).withColumns({"_a": F.xxhash64(text), "_b": F.xxhash64(F.lit(1), text)})
+        parts = rows.select("_a", "_b", F.col(text).alias("_text")).mapInPandas(
+            self._cut(part_chars), "_a long, _b long, part int, goes_on boolean, single boolean, data binary"
         )
-        encoded = parts.repartition("_row", "part").select(
-            "_row", F.struct("part", "goes_on", self._encode_part("whole", "data").alias("ids")).alias("piece")
+        encoded = parts.dropDuplicates(["_a", "_b", "part"]).select(
+            "_a", "_b", F.struct("part", "goes_on", self._encode_part("single", "data").alias("ids")).alias("piece")
         )
-        joined = encoded.groupBy("_row").agg(F.sort_array(F.collect_list("piece")).alias("_pieces"))
+        joined = encoded.groupBy("_a", "_b").agg(F.sort_array(F.collect_list("piece")).alias("_pieces"))
         joined = joined.select(
-            "_row", self._join_parts(F.col("_pieces.goes_on"), F.col("_pieces.ids")).alias(ids)
+            "_a", "_b", self._join_parts(F.col("_pieces.goes_on"), F.col("_pieces.ids")).alias(ids)
         )
-        long = rows.join(joined, "_row").drop("_row")
+        long = rows.join(joined, ["_a", "_b"])
         return short.unionByName(long.select(*short.columns))
-
-
-@F.pandas_udf("string")
-def ids_digest(ids: pd.Series) -> pd.Series:
-    """SHA-256 of the ids as little-endian unsigned 32-bit integers."""
-    return pd.Series([hashlib.sha256(np.asarray(i).astype("<u4").tobytes()).hexdigest() for i in ids], dtype=object)
