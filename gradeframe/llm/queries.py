@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 from gradeframe.llm import (
     bpe_tree,
     decontaminate,
+    graph_index,
+    html_paths,
     license_scan as licences,
     line_dedup,
     lz_spans,
     quality_trees,
     simhash_tree,
+    warc,
 )
 from gradeframe.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
@@ -64,6 +67,16 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "similarity", "start")
 
 
+@query()
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses(table(spark, sf_dir, "pages")))
+
+
+@query()
+def op4_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_index.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query()
 def op5_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_tree.near_duplicates(table(spark, sf_dir, "documents"))
@@ -76,6 +89,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_trees.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query()
+def op7_html_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_paths.extract(table(spark, sf_dir, "pages"))
+
+
 @query()
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
