@@ -209,3 +209,9 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = KEEP_SCORE, *
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = KEEP_SCORE, **fitting) -> DataFrame:
+    """The rows of ``docs`` that reach the threshold, with all their columns."""
+    trees = fit(docs, labels, **fitting)
+    return score(docs, trees, name="_score").where(F.col("_score") >= threshold).select(*docs.columns)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeframe.llm.components import components
+from gradeframe.llm.measured import small_side
 from gradeframe.llm.storage import reliable_checkpoint, written
 
 SHINGLE = 4
@@ -221,3 +222,22 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shard_rows: int = SHA
     )
     placed = reliable_checkpoint(placed)
     return prints.join(placed, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """The rows of ``docs`` that have the smallest id of their component, with all their columns.
+
+    Of rows that repeat such an id one stays; rows with a null id stay all. See ``near_duplicates`` for the rest.
+    """
+    found = near_duplicates(docs, radius, shard_rows).where("doc_id is not null").groupBy("doc_id")
+    # an id that is repeated with different texts goes if any of its rows has a smaller id in reach
+    found = found.agg(F.min("component_id").alias("low"), F.count("*").alias("times"))
+    found = written(found.where("low < doc_id or times > 1"), "near-duplicates")
+    gone = small_side(found.where("low < doc_id").select("doc_id"))
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = found.where("low >= doc_id").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    repeated = small_side(repeated)
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
