@@ -15,6 +15,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from gradeframe.llm.components import components
 from gradeframe.llm.measured import small_side
@@ -48,7 +49,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(bits.tobytes(), "big", signed=True)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def fingerprints(texts: pd.Series) -> pd.Series:
     return pd.Series([fingerprint(t) for t in texts], dtype="int64")
 

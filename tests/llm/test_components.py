@@ -1,0 +1,38 @@
+import random
+
+from gradeframe.llm.components import components
+
+
+def restated(links):
+    low = {}
+    for a, b in links:
+        if a is not None and b is not None and a != b:
+            low.setdefault(a, a), low.setdefault(b, b)
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            if a in low and b in low and low[a] != low[b]:
+                low[a] = low[b] = min(low[a], low[b])
+                changed = True
+    return low
+
+
+def run(spark, links):
+    df = spark.createDataFrame(links, "left long, right long")
+    return {r.node: r.root for r in components(df).collect()}
+
+
+def test_random_graphs_chains_and_stars(spark):
+    rng = random.Random(3)
+    scattered = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)]
+    chain = [(100 + i, 101 + i) for i in range(40)]
+    star = [(300, 300 - i) for i in range(1, 30)]
+    odd = [(None, 5), (7, None), (8, 8), (100, 101), (101, 100), (-5, -9)]
+    links = scattered + chain + star + odd
+    assert run(spark, links) == restated(links)
+
+
+def test_no_links(spark):
+    assert run(spark, []) == {}
+    assert run(spark, [(4, 4)]) == {}
