@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 # Tags of HTML by what they mean for text.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title xmp iframe noembed noframes".split())
+RAW = set("script style textarea title xmp iframe noembed noframes noscript".split())
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rt rp s samp "
     "small span strike strong sub sup time tt u var".split()
@@ -35,7 +35,7 @@ CLOSED_BY_SAME = {
     "th": ("td", "th"),
     "option": ("option",),
 }
-SCOPES = set("table ul ol dl article section div main body html".split())
+SCOPES = set("table ul ol dl article section div main body html template button object td th caption svg math".split())
 NOISE_TAGS = set(
     "head script style title noscript template nav footer aside form button select textarea option iframe "
     "object svg math canvas audio video menu dialog datalist xmp noembed noframes".split()
@@ -170,7 +170,7 @@ def blocks_of(html: str | None) -> Iterator[Block]:
 
 def _smooth(values: list[float]) -> list[float]:
     padded = [values[0], *values, values[-1]]
-    return [(a + 2 * b + c) / 4 for a, b, c in zip(padded, padded[1:], padded[2:])]
+    return [(a + 6 * b + c) / 8 for a, b, c in zip(padded, padded[1:], padded[2:])]
 
 
 def content_paths(blocks: list[Block], threshold: float) -> set[str]:
@@ -204,7 +204,7 @@ def content_paths(blocks: list[Block], threshold: float) -> set[str]:
     return chosen
 
 
-def main_text(html: str | None, threshold: float = 0.15) -> str:
+def main_text(html: str | None, threshold: float = 0.3) -> str:
     """Blocks of the main text joined by empty lines; empty without any."""
     blocks = [b for b in blocks_of(html) if not b.noise]
     inside = [b for b in blocks if b.main]

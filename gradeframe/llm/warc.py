@@ -168,5 +168,5 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 if found:
                     yield pd.DataFrame(found)
 
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.mapInPandas(parse, "headers map<string,string>, block string")
