@@ -117,6 +117,7 @@ def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BEAM, rela
                 new = np.full((len(some), width), -1, np.int64)
                 inside = np.arange(width)[None, :] < c[:, None]
                 new[inside] = source[(s[:, None] + np.arange(width)[None, :])[inside]]
+                new[(new[:, :, None] == edges[some][:, None, :]).any(axis=2)] = -1  # edges that exist
                 both = np.concatenate([edges[some], new], axis=1)
                 fits = ((both >= 0).sum(axis=1) <= degree)
                 packed = np.take_along_axis(both, np.argsort(both < 0, axis=1, kind="stable"), 1)[:, :degree]
