@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 # Fixed value: characters between words (ASCII and Latin-1 signs, general and CJK punctuation).
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\xBF\x{2000}-\x{206F}\x{3000}-\x{303F}]+"
-# Fixed value: any other character.
-IN_WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\xBF\x{2000}-\x{206F}\x{3000}-\x{303F}]"
 
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -20,6 +18,6 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda bound: use(bound)), F.lit(0))
 
 
-def normalised(text: str) -> Column:
+def normalised(text: str | Column) -> Column:
     """Lower-cased words with single spaces between them."""
     return F.trim(F.regexp_replace(F.lower(text), BETWEEN_WORDS, " "))

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeframe.llm.storage import reliable_checkpoint
+from gradeframe.llm.storage import written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -17,7 +17,7 @@ def components(links: DataFrame, left: str = "left", right: str = "right") -> Da
 
     Each round links all larger neighbours of a node to its smallest neighbour, then all smaller ones
     (large star, small star); the number of rounds grows with the logarithm of the longest path. Rounds are
-    checkpointed, so that lineage stays short. The smallest neighbours are checkpointed before the join,
+    written, so that lineage stays short. The smallest neighbours are written before the join,
     which lets adaptive execution split a node with very many links. Links with a null end, links of a
     node with itself and repeated links change nothing; no links give an empty table.
     """
@@ -26,19 +26,19 @@ def components(links: DataFrame, left: str = "left", right: str = "right") -> Da
         .select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v"))
         .distinct()
     )
-    edges = reliable_checkpoint(edges)
+    edges = written(edges, "links")
     before = _state(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = reliable_checkpoint(both.groupBy("u").agg(F.min("v").alias("m")))
+        lowest = written(both.groupBy("u").agg(F.min("v").alias("m")), "links-low")
         large = (
             both.where("v > u")
             .join(lowest, "u")
             .select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
             .distinct()
         )
-        large = reliable_checkpoint(large)
-        lowest = reliable_checkpoint(large.groupBy("u").agg(F.min("v").alias("m")))
+        large = written(large, "links-large")
+        lowest = written(large.groupBy("u").agg(F.min("v").alias("m")), "links-low")
         small = (
             large.join(lowest, "u")
             .where("v != m")
@@ -46,7 +46,7 @@ def components(links: DataFrame, left: str = "left", right: str = "right") -> Da
             .unionByName(lowest.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        edges = reliable_checkpoint(small)
+        edges = written(small, "links-small")
         after = _state(edges)
         if after == before:
             break
