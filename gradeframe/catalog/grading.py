@@ -182,18 +182,15 @@ def explode_attempts(spark, sf):
 
 @query(
     o.with_tables(
-        """SELECT qid, CAST(attempt // 2 AS INT) AS part, CAST(count(*) AS INT) AS n,
-        string_agg(generation, '|' ORDER BY attempt) AS texts
-        FROM fx_answers GROUP BY qid, attempt // 2""",
+        """SELECT qid, CAST(count(*) AS INT) AS n, string_agg(generation, '|' ORDER BY attempt) AS texts
+        FROM fx_answers GROUP BY qid""",
         "fx_answers",
     )
 )
 def collect_attempts(spark, sf):
     each = G.explode_attempts(fx.answers(spark, sf), "generation").filter("attempt IS NOT NULL")
-    parts = G.collect_attempts(each, KEY, ["generation"], part_size=2)
-    return parts.select(
-        "qid", "part", F.size("attempts").alias("n"), F.array_join("attempts", "|").alias("texts")
-    )
+    rows = G.collect_attempts(each, KEY, ["generation"])
+    return rows.select("qid", F.size("attempts").alias("n"), F.array_join("attempts", "|").alias("texts"))
 
 
 @query(

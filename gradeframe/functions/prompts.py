@@ -59,6 +59,11 @@ RESPONSE_ANALYSIS = "<analysis>\n{analysis}\n</analysis>\n\n" + RESPONSE_LABEL
 TRAIN_MODES = ("label", "teacher", "self")
 
 
+def placeholders(template: str) -> set[str]:
+    """Names that a template asks for."""
+    return {field for _, field, _, _ in Formatter().parse(template) if field is not None}
+
+
 def fill(template: str, **columns: Column) -> Column:
     """The template with its placeholders replaced by columns; null if any used column is."""
     parts = []
@@ -148,10 +153,16 @@ def rollout_prompt(query: Column) -> Column:
     return fill(TRAIN_BODY.format(format=_ANALYSIS_FORMAT, query="{query}"), query=query)
 
 
-def train_response(mode: str, decision_word: Column, analysis: Column | None = None) -> Column:
+def response_template(mode: str) -> str:
+    """Reply template of a training pair."""
     one_of(mode, TRAIN_MODES, "mode")
-    if mode == "label":
-        return fill(RESPONSE_LABEL, decision=decision_word)
+    return RESPONSE_LABEL if mode == "label" else RESPONSE_ANALYSIS
+
+
+def train_response(mode: str, decision_word: Column, analysis: Column | None = None) -> Column:
+    template = response_template(mode)
+    if "analysis" not in placeholders(template):
+        return fill(template, decision=decision_word)
     if analysis is None:
         raise ValueError(f"mode {mode!r} needs an analysis column")
-    return fill(RESPONSE_ANALYSIS, decision=decision_word, analysis=shown(analysis))
+    return fill(template, decision=decision_word, analysis=shown(analysis))

@@ -23,20 +23,38 @@ def choose_model(
     return known[one_of(provider.lower(), sorted(known), "provider")]
 
 
-def _answer(model: ModelFn, prompts: list[str], n: int, capture: bool) -> list[list[dict]]:
-    """``n`` texts per prompt with the seconds spent on each; errors become texts if captured."""
+def _answer(
+    model: ModelFn, prompts: list[str], n: int, capture: bool, before: float = 0.0
+) -> list[list[dict]]:
+    """``n`` texts per prompt with the seconds spent on each, failed calls included.
+
+    With ``capture``, a prompt whose reply fails or has another number of texts gets error texts; the other
+    prompts of its call keep their replies. A call that fails as a whole is halved to find the prompts at fault.
+    """
     start = time.monotonic()
     try:
-        answers = model(prompts, n)
+        answers = list(model(prompts, n))
+        if len(answers) != len(prompts):
+            raise ValueError(f"{len(answers)} replies to {len(prompts)} prompts")
+        for i, texts in enumerate(answers):
+            if texts is None or isinstance(texts, str) or len(texts) != n:
+                many = 0 if texts is None or isinstance(texts, str) else len(texts)
+                if not capture:
+                    raise ValueError(f"{many} texts in a reply, {n} were asked for")
+                answers[i] = [f"{ERROR_PREFIX}: {many} texts in the reply, {n} were asked for"] * n
     except Exception as problem:
         if not capture:
             raise
-        if len(prompts) > 1:  # find the prompts that fail
-            return [_answer(model, [prompt], n, capture)[0] for prompt in prompts]
-        answers = [[f"{ERROR_PREFIX}: {problem}"] * n]
-    if len(answers) != len(prompts) or any(len(texts) != n for texts in answers):
-        raise ValueError(f"the model function must return {n} texts for each of {len(prompts)} prompts")
-    spent = (time.monotonic() - start) / len(prompts)
+        spent = before + (time.monotonic() - start) / len(prompts)
+        if len(prompts) > 1:
+            half = len(prompts) // 2
+            return [
+                out
+                for some in (prompts[:half], prompts[half:])
+                for out in _answer(model, some, n, capture, spent)
+            ]
+        return [[{"generation": f"{ERROR_PREFIX}: {problem}", "elapsed": spent}] * n]
+    spent = before + (time.monotonic() - start) / len(prompts)
     return [[{"generation": text, "elapsed": spent} for text in texts] for texts in answers]
 
 
@@ -103,9 +121,10 @@ def generate(
     out: str = "generation",
     partitions: int | None = None,
     retry: str = "null_or_error",
+    timing: str = "avg_generation_time",
     **options,
 ) -> DataFrame:
-    """``df`` with an array of ``n`` texts per prompt and ``avg_generation_time``.
+    """``df`` with an array of ``n`` texts per prompt and their mean time in ``timing``.
 
     Where ``out`` exists already, only its missing or failed rows are asked. The result must be written before it is used twice, since a second use calls the model again.
     ``partitions`` spreads the prompts first: one call costs far more than moving a row.
@@ -114,9 +133,9 @@ def generate(
     spread = df.repartition(partitions) if partitions else df
     asked = F.array(prompt)
     if out in df.columns:
-        asked = F.when(_unfinished(df, out, retry), asked)
+        asked = F.when(unfinished(df, out, retry), asked)
     run = spread.withColumn("_out", model_outputs(asked, model_factory, n, **options))
-    fresh = {out: F.col("_out.generation"), "avg_generation_time": _mean(F.col("_out.elapsed"))}
+    fresh = {out: F.col("_out.generation"), timing: _mean(F.col("_out.elapsed"))}
     return run.withColumns(
         {
             name: F.when(F.col("_out").isNull(), F.col(name)).otherwise(value)
@@ -167,14 +186,15 @@ def needs_outputs(values: Column, retry: str = "null_or_error") -> Column:
     return values.isNull() if retry == "null_only" else values.isNull() | failed
 
 
-def _unfinished(df: DataFrame, output: str, retry: str) -> Column:
+def unfinished(df: DataFrame, output: str, retry: str = "null_or_error") -> Column:
+    """Whether an output column of texts or arrays of texts is still to be produced."""
     array = isinstance(df.schema[output].dataType, ArrayType)
     return (needs_outputs if array else needs_output)(F.col(output), retry)
 
 
 def pending(df: DataFrame, output: str, retry: str = "null_or_error") -> DataFrame:
     """Rows without an output, or with a captured error unless ``retry="null_only"``."""
-    return df.filter(_unfinished(df, output, retry))
+    return df.filter(unfinished(df, output, retry))
 
 
 def pending_keys(
@@ -186,5 +206,5 @@ def pending_keys(
     **limits,
 ) -> DataFrame:
     """``pending`` for outputs kept in a table of their own."""
-    done = results.filter(~_unfinished(results, output, retry))
+    done = results.filter(~unfinished(results, output, retry))
     return remaining(inputs, done, key, **limits)

@@ -21,8 +21,6 @@ from gradeframe.functions.parsing import (
 from gradeframe.operators.joins import lookup_join
 from gradeframe.schemas import check_domain, one_of, require_columns
 
-COLLECT_PART = 10_000
-
 
 def gold_column(df: DataFrame, answer: str = "answer", source: str = "source") -> Column:
     """Stripped gold answer; the source rules apply where the table has a source column."""
@@ -134,20 +132,18 @@ def collect_attempts(
     key: Sequence[str],
     columns: Sequence[str],
     attempt: str = "attempt",
-    part_size: int = COLLECT_PART,
 ) -> DataFrame:
-    """Attempts of a question as one array in attempt order.
+    """All attempts of a question as one array in attempt order, null numbers first.
 
-    A question with attempt numbers of ``part_size`` and more continues in further rows
-    (``part`` 1, 2, ...), so that no array and no task grows without bound.
+    A row holds every text of its question. For questions with more attempts than fit into a row, grade the
+    long form, which never gathers texts.
     """
     key = list(key)
     entry = F.struct(F.col(attempt).alias(attempt), *columns)
-    part = F.floor(F.col(attempt) / part_size).cast("int").alias("part")
     ordered = F.array_sort(F.collect_list(entry))
     if len(columns) == 1:
         ordered = F.transform(ordered, lambda e: e[columns[0]])
-    return attempts.groupBy(*key, part).agg(ordered.alias("attempts"))
+    return attempts.groupBy(*key).agg(ordered.alias("attempts"))
 
 
 # ---- long form -----------------------------------------------------------------------------

@@ -139,13 +139,17 @@ def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[Column | st
     return df.groupBy(*key).agg(F.min_by(row, rank).alias("_row")).select(*key, "_row.*")
 
 
-def latest_results(results: DataFrame, key: Sequence[str], error: Column, run: str) -> DataFrame:
+def latest_results(
+    results: DataFrame, key: Sequence[str], error: Column, run: str | Sequence[str]
+) -> DataFrame:
     """Newest good row per key; the newest failed one where a key has no good row.
 
-    Rows of one key and run must not repeat.
+    ``run`` names the run's number, and further columns that tell rows of one key and number apart.
     """
+    number, *others = [run] if isinstance(run, str) else run
     failed = F.coalesce(error.cast("int"), F.lit(0))
-    return first_per_key(results, key, [failed.alias("failed"), (-F.col(run)).alias("age")])
+    age = (-F.col(number)).alias("age")
+    return first_per_key(results, key, [failed.alias("failed"), age, *others])
 
 
 def attach_truth(

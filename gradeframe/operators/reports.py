@@ -98,19 +98,47 @@ def decision_report_joined(
     label: str = "is_correct",
     by: Sequence[str] = (),
     null_policy: str = "reference",
+    unmatched: str = "fail",
 ) -> DataFrame:
     """``decision_report`` with the labels in a second table, one row per key.
 
     Predictions are counted per key, group and decision before the join, so a key with very
     many predictions reaches it as a handful of rows.
+
+    A prediction whose key has no label, or more than one row of labels, ends the job (``unmatched="fail"``);
+    with ``"report"`` such predictions are left out of the metrics and counted in the columns ``n_unmatched`` and
+    ``n_repeated`` of their group.
     """
+    one_of(unmatched, ("fail", "report"), "unmatched")
     key = list(key)
     require_columns(preds, [*key, decision, *by])
     counted = preds.groupBy(*key, *(b for b in by if b not in key), decision).agg(
         F.count("*").alias("_count")
     )
-    labelled = counted.join(truth.select(*key, label), key, "inner")
-    return decision_report(labelled, decision, label, by, "_count", null_policy)
+    labels = truth.groupBy(*key).agg(F.first(label).alias("_label"), F.count("*").alias("_labels"))
+    joined = counted.join(labels, key, "left")
+    if unmatched == "fail":
+        checked = (
+            F.when(F.col("_labels").isNull(), F.raise_error(F.lit("a prediction's key has no label")))
+            .when(F.col("_labels") > 1, F.raise_error(F.lit("the key of a prediction has several labels")))
+            .otherwise(F.col("_label"))
+        )
+        labelled = joined.withColumn("_label", checked)
+        return decision_report(labelled, decision, "_label", by, "_count", null_policy)
+    found = F.coalesce(F.col("_labels") == 1, F.lit(False))
+    report = decision_report(joined.filter(found), decision, "_label", by, "_count", null_policy)
+    group = [F.col(b).alias(f"_by_{b}") for b in by]
+    missing = joined.groupBy(*group, F.lit(1).alias("_by_all")).agg(
+        F.sum(F.when(F.col("_labels").isNull(), F.col("_count")).otherwise(0)).alias("n_unmatched"),
+        F.sum(F.when(F.col("_labels") > 1, F.col("_count")).otherwise(0)).alias("n_repeated"),
+    )
+    same = F.lit(1) == F.col("_by_all")
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"_by_{b}"))
+    full = report.join(missing, same, "full")
+    for b in by:
+        full = full.withColumn(b, F.coalesce(b, f"_by_{b}"))
+    return full.select(*report.columns, "n_unmatched", "n_repeated")
 
 
 def capability_ratio(

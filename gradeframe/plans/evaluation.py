@@ -25,10 +25,12 @@ def evaluate_decisions(
     key: Sequence[str] = (),
     by: Sequence[str] = (),
     null_policy: str = "reference",
+    unmatched: str = "fail",
 ) -> DataFrame:
     """Routing metrics with the labels from a column or from answers graded on the fly.
 
-    In mode ``generations`` the answers table is matched to the predictions on ``key``.
+    In mode ``generations`` the answers table is matched to the predictions on ``key``; see
+    ``decision_report_joined`` for predictions without exactly one answer row.
     """
     if one_of(grade_mode, ("column", "generations"), "grade_mode") == "column":
         return decision_report(preds, decision, label, by, null_policy=null_policy)
@@ -36,7 +38,7 @@ def evaluate_decisions(
         raise ValueError("grade_mode 'generations' needs answers, generations, domain and key")
     require_columns(answers, [*key, generations])
     truth = graded(answers, generations, domain).select(*key, "is_correct")
-    return decision_report_joined(preds, truth, key, decision, "is_correct", by, null_policy)
+    return decision_report_joined(preds, truth, key, decision, "is_correct", by, null_policy, unmatched)
 
 
 def graded(answers: DataFrame, generations: str, domain: str) -> DataFrame:

@@ -103,12 +103,12 @@ def decide(
 ) -> DataFrame:
     """One decision and its text per question."""
     prompted = df.withColumn("_prompt", P.decision_prompt(domain_query(df, domain), binary_only))
-    run = generate(prompted, "_prompt", model_factory, 1, "_texts", **options)
+    run = generate(prompted, "_prompt", model_factory, 1, "_texts", timing="_seconds", **options)
     return (
         run.withColumn(analysis_col, F.get("_texts", 0))
         .withColumn(decision_col, decision(F.col(analysis_col)))
-        .withColumnRenamed("avg_generation_time", "elapsed")
-        .drop("_prompt", "_texts")
+        .withColumn("elapsed", F.col("_seconds"))
+        .drop("_prompt", "_texts", "_seconds")
     )
 
 
@@ -122,8 +122,8 @@ def rollouts(
 ) -> DataFrame:
     """Decision counts and one example per class over ``k`` samples of each question."""
     prompted = df.withColumn("_prompt", P.decision_prompt(domain_query(df, domain), binary_only))
-    run = generate(prompted, "_prompt", model_factory, k, "_texts", **options)
-    return rollout_counts_array(run, "_texts").drop("_prompt", "_texts", "avg_generation_time")
+    run = generate(prompted, "_prompt", model_factory, k, "_texts", timing="_seconds", **options)
+    return rollout_counts_array(run, "_texts").drop("_prompt", "_texts", "_seconds")
 
 
 def diversity_counts(

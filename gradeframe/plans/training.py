@@ -9,19 +9,14 @@ from gradeframe.functions.options import choices_text
 from gradeframe.functions.parsing import checked_label, label_word
 from gradeframe.functions.tokens import Counter, token_count
 from gradeframe.operators.joins import select_analysis
-from gradeframe.schemas import check_domain, one_of, require_columns
+from gradeframe.schemas import require_columns
 
 
 def required_columns(domain: str, mode: str, analysis: str = "analysis") -> set[str]:
-    """Columns a training table must have for a domain and mode."""
-    check_domain(domain)
-    one_of(mode, P.TRAIN_MODES, "mode")
-    needed = {"question", "is_correct"}
-    if domain == "science":
-        needed.add("choices")
-    if mode != "label":
-        needed.add(analysis)
-    return needed
+    """Columns a training table must have: what the templates of both turns name, and the label."""
+    named = P.placeholders(P.train_template(domain, mode)) | P.placeholders(P.response_template(mode))
+    columns = {"decision": "is_correct", "analysis": analysis}
+    return {columns.get(name, name) for name in named}
 
 
 def with_choices(df: DataFrame, out: str = "choices") -> DataFrame:

@@ -9,7 +9,10 @@ from pyspark.sql.types import ArrayType, DataType, IntegralType, MapType, Struct
 
 from gradeframe.schemas import one_of, require_columns
 
-CSV_OPTIONS = {"header": True, "multiLine": True, "escape": '"'}
+# A blank cell is null and a quoted blank is an empty text: null gets a marker that no cell holds. Lines end
+# in a line feed only, and a cell is quoted wherever it could be read in another way.
+_NULL = "\ue000null\ue000"
+CSV_OPTIONS = {"header": True, "multiLine": True, "escape": '"', "lineSep": "\n", "nullValue": _NULL, "emptyValue": ""}
 FORMATS = ("csv", "parquet")
 
 
@@ -77,7 +80,8 @@ def write_table(
     if partition_by:
         out = out.partitionBy(*partition_by)
     if fmt == "csv":
-        out.option("header", True).option("escape", '"').csv(path)
+        keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": '""'}
+        out.options(header=True, escape='"', lineSep="\n", **keep).csv(path)
     else:
         out.parquet(path)
 
@@ -138,6 +142,9 @@ def read_results(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def append_results(df: DataFrame, path: str, run: int) -> None:
-    """Results of one run in a folder of their own; repeating the run replaces that folder."""
-    df.write.mode("overwrite").parquet(f"{path}/run={run}")
+def append_results(df: DataFrame, path: str, run: int, origin: str = "batch", part: int = 0) -> None:
+    """Results of one part of a run in a folder of their own; repeating the part replaces that folder.
+
+    ``origin`` names who writes, so that a batch run and a stream never share a folder.
+    """
+    df.write.mode("overwrite").parquet(f"{path}/run={run}/origin={origin}/part={part}")

@@ -1,51 +1,84 @@
 """Restartable runs: batch with an anti-join, or a stream over arriving files."""
 
+import uuid
 from collections.abc import Callable, Sequence
+from functools import reduce
+from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StringType, StructType
 
-from gradeframe.operators.generation import needs_output
+from gradeframe.operators.generation import unfinished
 from gradeframe.operators.joins import latest_results, remaining
 from gradeframe.operators.rollouts import reward_report, with_reward
+from gradeframe.schemas import require_columns
 from gradeframe.sources.tables import append_results, read_results
 
 Job = Callable[[DataFrame], DataFrame]
 
 
+def _outputs(output: str | Sequence[str]) -> list[str]:
+    return [output] if isinstance(output, str) else list(output)
+
+
+def _open(results: DataFrame, output: str | Sequence[str], retry: str) -> Column:
+    """Whether any output of a row is still to be produced; a text or an array of texts each."""
+    names = _outputs(output)
+    require_columns(results, names)
+    for name in names:
+        kind = results.schema[name].dataType
+        if not isinstance(getattr(kind, "elementType", kind) if isinstance(kind, ArrayType) else kind, StringType):
+            raise ValueError(f"output {name!r} must hold texts or arrays of texts, not {kind.simpleString()}")
+    return reduce(lambda a, b: a | b, (unfinished(results, name, retry) for name in names))
+
+
+def _left(inputs: DataFrame, path: str, key: Sequence[str], output, retry: str, **limits) -> DataFrame:
+    """Inputs without a good result below ``path``."""
+    earlier = read_results(inputs.sparkSession, path)
+    if earlier is None:
+        return inputs
+    return remaining(inputs, earlier.filter(~_open(earlier, output, retry)), key, **{"hot_rows": None} | limits)
+
+
 def run_incremental(
     inputs: DataFrame,
     path: str,
     job: Job,
     key: Sequence[str],
-    output: str,
+    output: str | Sequence[str],
     retry: str = "null_or_error",
+    slices: int = 1,
     **limits,
 ) -> DataFrame:
     """Apply ``job`` to inputs without a good result, append its rows, return the newest per key.
 
-    ``key`` must be unique in ``inputs``. Every call writes one ``run=N`` folder below ``path``. A call that dies leaves no folder
-    behind that counts, and the next one takes up the same keys.
+    ``key`` must be unique in ``inputs``. ``output`` names one or more columns of texts or arrays of texts;
+    a row is done when all of them are. The inputs are cut into ``slices`` by a hash of the key, and each slice
+    is kept as soon as it is done, so that a call which dies loses one slice at most; the next call takes up
+    what is left. Every call writes folders of its own, also beside calls that run at the same time.
     """
     spark = inputs.sparkSession
     earlier = read_results(spark, path)
-    if earlier is None:
-        run, todo = 0, inputs
-    else:
-        run = (earlier.agg(F.max("run")).first()[0] or 0) + 1
-        done = earlier.filter(~needs_output(F.col(output), retry))
-        todo = remaining(inputs, done, key, **{"hot_rows": None} | limits)
-    append_results(job(todo), path, run)
+    run = 0 if earlier is None else (earlier.agg(F.max("run")).first()[0] or 0) + 1
+    todo = _left(inputs, path, key, output, retry, **limits)
+    origin = f"batch-{uuid.uuid4().hex}"
+    piece = F.pmod(F.xxhash64(*key), F.lit(slices))
+    for part in range(slices):
+        done = job(todo if slices == 1 else todo.filter(piece == part))
+        require_columns(done, list(key))
+        _open(done, output, retry)  # what could not be resumed is refused before any model is called
+        append_results(done, path, run, origin, part)
     return newest(spark, path, key, output, retry)
 
 
 def newest(
-    spark: SparkSession, path: str, key: Sequence[str], output: str, retry: str = "null_or_error"
+    spark: SparkSession, path: str, key: Sequence[str], output: str | Sequence[str], retry: str = "null_or_error"
 ) -> DataFrame:
     """Newest good row per key of everything written below ``path``."""
     results = spark.read.parquet(path)
-    return latest_results(results, key, needs_output(F.col(output), retry), "run")
+    found = latest_results(results, key, _open(results, output, retry), ["run", "origin", "part"])
+    return found.drop("origin", "part")
 
 
 def stream_incremental(
@@ -58,11 +91,16 @@ def stream_incremental(
     pattern: str = "*.parquet",
     max_files: int = 1000,
     ready: Callable[[DataFrame], DataFrame] | None = None,
+    key: Sequence[str] = (),
+    output: str | Sequence[str] = (),
+    retry: str = "null_or_error",
 ) -> StreamingQuery:
     """Apply ``job`` to files as they arrive in ``source`` until none is left.
 
-    Each micro-batch replaces its own ``run=N`` folder, so a batch that is replayed after a
-    failure leaves its rows once. Start it again with the same checkpoint for later files.
+    Each micro-batch replaces its own folder, named after the checkpoint, so a batch that is replayed after a
+    failure leaves its rows once and touches no other run. With ``key`` and ``output``, keys that have a good
+    result already, from this stream or another run, are not asked again. Start it again with the same
+    checkpoint for later files.
     """
     stream = (
         spark.readStream.schema(schema)
@@ -71,9 +109,11 @@ def stream_incremental(
         .parquet(source)
     )
     rows = ready(stream) if ready else stream
+    origin = f"stream-{sha256(checkpoint.encode()).hexdigest()[:32]}"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        append_results(job(batch), path, batch_id)
+        todo = _left(batch, path, key, output, retry) if key and output else batch
+        append_results(job(todo), path, batch_id, origin)
 
     return (
         rows.writeStream.foreachBatch(write)
@@ -93,13 +133,14 @@ def stream_reward_report(
 ) -> StreamingQuery:
     """Reward counts per step over a stream of rollouts.
 
-    Every micro-batch writes the steps it changed; ``newest_report`` reads the latest of each.
+    Every micro-batch writes the steps it changed; ``newest_report`` reads the latest of each. The state is a
+    few counts per step and is kept for ever: steps of a training run are bounded by its length.
     """
     truth = F.col(label) if isinstance(label, str) else label
     report = reward_report(with_reward(rollouts.withColumn("_label", truth), text, "_label"), by)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        append_results(batch, path, batch_id)
+        append_results(batch, path, batch_id, "report")
 
     return (
         report.writeStream.outputMode("update")
@@ -111,4 +152,4 @@ def stream_reward_report(
 
 
 def newest_report(spark: SparkSession, path: str, by: Sequence[str] = ("step",)) -> DataFrame:
-    return latest_results(spark.read.parquet(path), by, F.lit(False), "run").drop("run")
+    return latest_results(spark.read.parquet(path), by, F.lit(False), ["run"]).drop("run", "origin", "part")

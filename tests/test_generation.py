@@ -64,8 +64,36 @@ def test_errors_become_texts_for_their_own_prompt(spark):
     assert got[3] == ["Error: refused"] * 2 and got[2] == ["2", "2"]
     with pytest.raises(Exception):
         N.generate(table, "p", factory, 2, capture=False).collect()
+
+
+def test_replies_of_another_length_become_errors_of_their_own_prompt(spark):
+    asked = []
+
+    def factory():
+        def run(prompts, n):
+            asked.extend(prompts)
+            return [[p] * (n if p != "3" else 1) for p in prompts]
+
+        return run
+
+    table = spark.range(6).coalesce(1).withColumn("p", F.col("id").cast("string"))
+    got = {r["id"]: r["generation"] for r in N.generate(table, "p", factory, 2).collect()}
+    assert got[3] == ["Error: 1 texts in the reply, 2 were asked for"] * 2 and got[2] == ["2", "2"]
+    few = {r["id"]: r["generation"] for r in N.generate(table, "p", lambda: lambda prompts, n: [], 1).collect()}
+    assert all(texts == ["Error: 0 replies to 1 prompts"] for texts in few.values())
     with pytest.raises(Exception):
-        N.generate(table, "p", lambda: lambda prompts, n: [["x"]], 2).collect()
+        N.generate(table, "p", factory, 2, capture=False).collect()
+    answers = N._answer(factory(), ["1", "3", "4"], 2, True)
+    assert asked == ["1", "3", "4"] and [a[0]["generation"] for a in answers] == ["1", got[3][0], "4"]
+
+
+def test_decisions_and_rollouts_keep_the_columns_of_their_input(spark):
+    from gradeframe.plans import generation as P
+
+    table = spark.createDataFrame([("q", 1.5)], "question string, avg_generation_time double")
+    model = lambda: lambda prompts, n: [["<decision>SELF_SOLVE</decision>"] * n for _ in prompts]
+    for out in (P.decide(table, model, "math"), P.rollouts(table, model, "math", 2)):
+        assert out.select("avg_generation_time").first()[0] == 1.5
 
 
 def test_finished_rows_are_not_asked_again(spark):

@@ -1,3 +1,6 @@
+import hashlib
+
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -46,6 +49,75 @@ def test_errors_are_retried(spark, tmp_path):
     assert rows(fixed.select("k", "g")) == [(1, "fine"), (2, "ok")]
 
 
+def test_arrays_slices_and_a_run_that_dies(spark, data, tmp_path):
+    questions = fx.questions(spark, data).select("qid", "question")
+    path, log = str(tmp_path / "out"), tmp_path / "calls"
+    log.mkdir()
+
+    def model():
+        def run(prompts, n):
+            for p in prompts:
+                with open(log / hashlib.sha256(p.encode()).hexdigest(), "a") as file:
+                    file.write("x")
+            return [[f"{p}-{i}" for i in range(n)] for p in prompts]
+
+        return run
+
+    left = [2]
+
+    def job(todo):
+        left[0] -= 1
+        if left[0] < 0:
+            raise RuntimeError("the cluster went away")
+        return answer_questions(todo, model, "math", n=5)
+
+    with pytest.raises(RuntimeError):
+        I.run_incremental(questions, path, job, ["qid"], "generation", slices=4)
+    kept = I.newest(spark, path, ["qid"], "generation").count()
+    assert 0 < kept < questions.count()
+    left[0] = 100
+    whole = I.run_incremental(questions, path, job, ["qid"], "generation", slices=4)
+    assert whole.count() == questions.count() and whole.filter("size(generation) = 5").count() == questions.count()
+    texts = questions.select("question").distinct().count()
+    calls = [len(f.read_text()) for f in log.iterdir()]
+    assert len(calls) == texts and sum(calls) == questions.count()
+
+
+def test_two_outputs_and_a_plan_that_cannot_be_resumed(spark, tmp_path):
+    table = spark.createDataFrame([(1,), (2,)], "k int")
+    path = str(tmp_path / "out")
+
+    def half(df):
+        return df.select("k", F.lit("a").alias("a"), F.when(F.col("k") == 1, "b").alias("b"))
+
+    I.run_incremental(table, path, half, ["k"], ["a", "b"])
+    seen = []
+
+    def other(df):
+        seen.extend(r.k for r in df.collect())
+        return df.select("k", F.lit("a").alias("a"), F.lit("c").alias("b"))
+
+    assert rows(I.run_incremental(table, path, other, ["k"], ["a", "b"]).select("k", "b")) == [(1, "b"), (2, "c")]
+    assert seen == [2]
+    with pytest.raises(ValueError, match="texts"):
+        I.run_incremental(table, str(tmp_path / "x"), lambda df: df.withColumn("a", F.lit(1)), ["k"], "a")
+    assert not (tmp_path / "x").exists()
+
+
+def test_a_stream_leaves_batch_results_alone_and_asks_no_finished_key(spark, data, tmp_path):
+    questions = fx.questions(spark, data).select("qid", "question")
+    source, path, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    I.run_incremental(questions.filter("qid < 500"), path, answer, ["qid"], "g")
+    questions.filter("qid < 900").repartition(2).write.parquet(source)
+    query = I.stream_incremental(
+        spark, source, questions.schema, path, answer, progress, key=["qid"], output="g"
+    )
+    query.awaitTermination()
+    found = I.newest(spark, path, ["qid"], "g")
+    assert rows(found.select("qid", "g")) == rows(answer(questions.filter("qid < 900")))
+    assert spark.read.parquet(path).count() == found.count()
+
+
 def test_stream_takes_new_files_after_a_restart(spark, data, tmp_path):
     questions = fx.questions(spark, data).select("qid", "question")
     source, path, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))

@@ -140,3 +140,16 @@ def test_value_counts_and_latency(spark):
     assert rows(R.value_counts(table, "v", normalize=True)) == [("a", 2, 0.6667), ("b", 1, 0.3333)]
     times = spark.createDataFrame([(i, float(i)) for i in range(5)], "row_id long, elapsed double")
     assert rows(R.latency_report(times, 3)) == [(2, 3.5)]
+
+
+def test_predictions_without_one_label_fail_or_are_counted(spark):
+    preds = spark.createDataFrame([(1, 1, "m"), (2, 0, "m"), (3, 1, "n")], "k int, decision int, model string")
+    truth = spark.createDataFrame([(1, 1), (2, 0), (2, 1)], "k int, is_correct int")
+    for some in ("k = 3", "k = 2"):
+        with pytest.raises(Exception, match="label"):
+            R.decision_report_joined(preds.filter(some), truth, ["k"]).collect()
+    one = R.decision_report_joined(preds, truth, ["k"], unmatched="report").first()
+    assert (one.total_rows, one.n_unmatched, one.n_repeated) == (1, 1, 1)
+    each = R.decision_report_joined(preds, truth, ["k"], by=["model"], unmatched="report").collect()
+    assert sorted((r.model, r.total_rows, r.n_unmatched, r.n_repeated) for r in each if r.model == "m") == [("m", 1, 0, 1)]
+    assert [(r.n_unmatched, r.n_repeated) for r in each if r.model == "n"] == [(1, 0)]

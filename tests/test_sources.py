@@ -108,3 +108,22 @@ def test_schema_helpers(spark):
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert fresh_path(spark, "x") != fresh_path(spark, "x")
+
+
+def test_csv_keeps_every_text(spark, tmp_path):
+    texts = [
+        " lead and trail ", "tail\n", "\n", "", None, " ", "\t", "\r", "a\rb", "a\r\nb", '"', 'say "x"', "\\", "end\\",
+        '\\"', ",", "#", "null", "é\u2028x", "a,b\n\"c\"",
+    ]
+    table = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "i int, t string, z string")
+    path = str(tmp_path / "t.csv")
+    S.write_table(table.coalesce(1), path, "csv")
+    back = S.read_table(spark, path, table.schema, "csv")
+    assert rows(back) == rows(table)
+    import glob
+
+    import pandas as pd
+
+    (file,) = glob.glob(f"{path}/*.csv")
+    frame = pd.read_csv(file, keep_default_na=False, lineterminator="\n").sort_values("i")
+    assert frame["t"].tolist() == [t or "" for t in texts]
