@@ -280,8 +280,14 @@ class Tokenizer:
         docs = docs.drop(ids)
         size = F.coalesce(F.length(text), F.lit(0))
         short = docs.where(size <= part_chars).withColumn(ids, self._encode(text))
-        rows = docs.where(size > part_chars).withColumns({"_a": F.xxhash64(text), "_b": F.xxhash64(F.lit(1), text)})
-        parts = rows.select("_a", "_b", F.col(text).alias("_text")).mapInPandas(
+        # the table's own columns travel in one struct, so that no name of theirs meets a name used here
+        rows = docs.where(size > part_chars).select(
+            F.struct("*").alias("_row"),
+            F.col(text).alias("_text"),
+            F.xxhash64(text).alias("_a"),
+            F.xxhash64(F.lit(1), text).alias("_b"),
+        )
+        parts = rows.select("_a", "_b", "_text").mapInPandas(
             self._cut(part_chars), "_a long, _b long, part int, goes_on boolean, single boolean, data binary"
         )
         encoded = parts.dropDuplicates(["_a", "_b", "part"]).select(
@@ -289,7 +295,7 @@ class Tokenizer:
         )
         joined = encoded.groupBy("_a", "_b").agg(F.sort_array(F.collect_list("piece")).alias("_pieces"))
         joined = joined.select(
-            "_a", "_b", self._join_parts(F.col("_pieces.goes_on"), F.col("_pieces.ids")).alias(ids)
+            "_a", "_b", self._join_parts(F.col("_pieces.goes_on"), F.col("_pieces.ids")).alias("_ids")
         )
-        long = rows.join(joined, ["_a", "_b"])
+        long = rows.join(joined, ["_a", "_b"]).select("_row.*", F.col("_ids").alias(ids))
         return short.unionByName(long.select(*short.columns))

@@ -214,4 +214,5 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = KEEP_SCORE, *
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = KEEP_SCORE, **fitting) -> DataFrame:
     """The rows of ``docs`` that reach the threshold, with all their columns."""
     trees = fit(docs, labels, **fitting)
-    return score(docs, trees, name="_score").where(F.col("_score") >= threshold).select(*docs.columns)
+    rows = score(docs.select(F.struct("*").alias("_row"), "text"), trees, name="_score")
+    return rows.where(F.col("_score") >= threshold).select("_row.*")
