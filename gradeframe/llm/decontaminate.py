@@ -78,7 +78,8 @@ def windows_of(texts: DataFrame, items: DataFrame, similarity: float) -> DataFra
 
 
 def block_values(fp: str, blocks: int, near: int) -> Column:
-    """One struct per block of the fingerprint and value within ``near`` bits of it."""
+    """One struct per block of the fingerprint and value within ``near`` bits of it; ``fp`` names a column other
+    than ``b`` and ``v``, which are taken."""
     width = 64 // blocks
     mask = (1 << width) - 1
     return F.expr(
@@ -99,6 +100,7 @@ def contaminated(
 ) -> DataFrame:
     """``doc_id, item_id, similarity, start, distance``: the best window of each document for each item.
 
+    A window starts at a shingle that the item has: moving it forward to the first such one loses nothing.
     Similarity is the weighted Jaccard similarity of word shingles, a shingle's weight being the number of
     times that it stands in the window or item. Fingerprints within ``radius`` bits differ by at most
     ``radius // blocks`` bits in one of the blocks, so none of them is missed; the default radius is wide
@@ -143,6 +145,7 @@ def contaminated(
     checked = (
         pairs.join(windows.select("text_key", "n", "start", "window"), ["text_key", "n", "start"])
         .join(items.select("item_id", "shingles").withColumnRenamed("item_id", "_item"), F.col("item_id").eqNullSafe(F.col("_item")))
+        .where(F.array_contains("shingles", F.get("window", F.lit(0))))
         .withColumn("shared", shared)
         .withColumn("similarity", F.col("shared") / (F.size("window") + F.size("shingles") - F.col("shared")))
         .where(F.col("similarity") >= similarity - 1e-12)

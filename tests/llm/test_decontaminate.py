@@ -26,12 +26,16 @@ def restated(docs, items, similarity=0.8):
             item = shingles(u)
             if not item or i is None and t is None:
                 continue
+            best = 0
             for start in range(len(own)):
                 window = Counter(own[start : start + len(item)])
                 shared = sum((window & Counter(item)).values())
                 score = shared / (sum(window.values()) + len(item) - shared)
-                if score >= similarity - 1e-12 and score > out.get((i, j), (0, 0))[0] + 1e-12:
+                best = max(best, score)
+                if own[start] in item and score >= similarity - 1e-12 and score > out.get((i, j), (0, 0))[0] + 1e-12:
                     out[i, j] = (score, start)
+            # no window that starts elsewhere is better
+            assert best < similarity - 1e-12 or abs(best - out[i, j][0]) < 1e-12
     return {k: (round(s, 9), at) for k, (s, at) in out.items()}
 
 
@@ -84,9 +88,9 @@ def test_blocks_find_all_within_the_radius(spark):
         a = rng.getrandbits(64)
         b = a ^ sum(1 << f for f in rng.sample(range(64), D.RADIUS))
         rows.append(tuple(x - (1 << 64) if x >> 63 else x for x in (a, b)))
-    df = spark.createDataFrame(rows, "a long, b long")
+    df = spark.createDataFrame(rows, "p long, q long")
     near = D.RADIUS // D.BLOCKS
-    df = df.select(D.block_values("a", D.BLOCKS, near).alias("x"), D.block_values("b", D.BLOCKS, 0).alias("y"))
+    df = df.select(D.block_values("p", D.BLOCKS, near).alias("x"), D.block_values("q", D.BLOCKS, 0).alias("y"))
     assert df.where("not arrays_overlap(x, y)").count() == 0
 
 
