@@ -37,26 +37,40 @@ def _decided(prompt: str, sample: str) -> str:
     )
 
 
+_THREE = f"concat_ws('|', {_number(_ANSWER, '0')}, {_number(_ANSWER, '1')}, {_number(_ANSWER, '2')})"
+
+
 def _hash(prompt: str) -> str:
     return f"md5(({prompt}) || '|0')"
 
 
 @query(
     o.with_tables(
-        f"SELECT qid, {_number(_ANSWER, '0')} AS first, {_number(_ANSWER, '2')} AS last, 3 AS n FROM fx_questions",
+        f"SELECT qid, {_THREE} AS texts, 3 AS n FROM fx_questions",
         "fx_questions",
     )
 )
 def generate_stub(spark, sf):
-    run = RUN.answer_questions(fx.questions(spark, sf), stubs.number_model, "math", 3)
+    """Three answers each, the prompts spread over tasks first."""
+    run = RUN.answer_questions(fx.questions(spark, sf), stubs.number_model, "math", 3, partitions=8)
     return run.select(
-        "qid",
-        F.get("generation", 0).alias("first"),
-        F.get("generation", 2).alias("last"),
-        F.size("generation").alias("n"),
+        "qid", F.array_join("generation", "|").alias("texts"), F.size("generation").alias("n")
     )
 
 
+@query(
+    o.with_tables(
+        f"""SELECT qid, CASE WHEN {_digit(_ANSWER, '0')} >= 12 THEN 'Error: 1 texts in the reply, 2 were asked for'
+        ELSE {_number(_ANSWER, '0')} END AS first FROM fx_questions""",
+        "fx_questions",
+    )
+)
+def generate_short_replies(spark, sf):
+    """Prompts whose reply lacks a text get error texts, the others keep their replies."""
+    run = RUN.answer_questions(fx.questions(spark, sf), stubs.short_model, "math", 2)
+    return run.select("qid", F.get("generation", 0).alias("first"))
+
+
 @query(
     o.with_tables(
         f"""SELECT qid, CASE WHEN {_digit(_ANSWER, '0')} >= 12 THEN 'Error: refused'
@@ -256,6 +270,47 @@ def incremental_batch(spark, sf):
     return I.run_incremental(q, path, _answer, ["qid"], "generation").select("qid", "generation")
 
 
+@query(_ALL_ANSWERED)
+def choose_model(spark, sf):
+    """A model found by its provider's name, in any case."""
+    factory = N.choose_model({"Stub": stubs.number_model, "other": stubs.text_model}, "STUB")
+    run = RUN.answer_questions(fx.questions(spark, sf), factory, "math", 1)
+    return run.select("qid", F.get("generation", 0).alias("generation"))
+
+
+@query(o.with_tables(f"SELECT qid, {_THREE} AS texts FROM fx_questions", "fx_questions"))
+def incremental_array(spark, sf):
+    """Arrays of answers, kept slice by slice; the second run takes up what the first left out."""
+    q = fx.questions(spark, sf).select("qid", "question", "decision")
+    path = fresh_path(spark, "incremental")
+
+    def job(todo):
+        return RUN.answer_questions(todo, stubs.number_model, "math", 3).select("qid", "generation")
+
+    I.run_incremental(q.filter("decision IS NOT NULL"), path, job, ["qid"], "generation", slices=3)
+    found = I.run_incremental(q, path, job, ["qid"], "generation", slices=2)
+    return found.select("qid", F.array_join("generation", "|").alias("texts"))
+
+
+@query(_ALL_ANSWERED)
+def incremental_batch_then_stream(spark, sf):
+    """A stream to the folder of a batch run: it leaves its rows alone and asks the other keys only."""
+    path = fresh_path(spark, "both")
+    q = fx.questions(spark, sf).select("qid", "question", "decision")
+    I.run_incremental(q.filter("decision = 1"), f"{path}/rows", _answer, ["qid"], "generation")
+    orders = fx.table(spark, sf, "orders")
+
+    def ready(stream):
+        return stream.selectExpr(*(f"{fx.QUESTIONS[name]} AS {name}" for name in ("qid", "question")))
+
+    run = I.stream_incremental(
+        spark, sf, orders.schema, f"{path}/rows", _answer, f"{path}/progress", "orders.parquet", ready=ready,
+        key=["qid"], output="generation",
+    )
+    run.awaitTermination()
+    return spark.read.parquet(f"{path}/rows").select("qid", "generation")
+
+
 @query(_ALL_ANSWERED)
 def incremental_stream(spark, sf):
     path = fresh_path(spark, "stream")
@@ -300,6 +355,43 @@ def csv_round_trip(spark, sf):
     return S.read_csv(spark, path, docs.schema)
 
 
+_EDGES = """CASE doc_id % 8 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN '  ' || text || ' '
+    WHEN 3 THEN text || chr(10) WHEN 4 THEN chr(13) || text || chr(13) WHEN 5 THEN '"' || text || chr(92)
+    WHEN 6 THEN chr(9) || text || chr(92) || '"' ELSE text || ',' || chr(13) || chr(10) END"""
+
+
+@query(f"SELECT doc_id, {_EDGES} AS text FROM documents")
+def csv_round_trip_edges(spark, sf):
+    """Texts with white space, quotes and line ends at their edges, empty and null ones."""
+    docs = fx.table(spark, sf, "documents").select("doc_id", F.expr(_EDGES).alias("text"))
+    path = fresh_path(spark, "csv")
+    S.write_table(docs, path, "csv")
+    return S.read_csv(spark, path, docs.schema)
+
+
+@query("SELECT doc_id, lang FROM documents")
+def read_training(spark, sf):
+    path = fresh_path(spark, "training")
+    S.write_table(fx.table(spark, sf, "documents").select("doc_id", "lang"), path)
+    return S.read_training(spark, path)
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM documents")
+def write_splits(spark, sf):
+    path = fresh_path(spark, "splits")
+    split = F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train")
+    S.write_splits(fx.table(spark, sf, "documents").select("doc_id", split.alias("split")), path)
+    return S.read_table(spark, path)
+
+
+@query("SELECT doc_id, 'm' || CAST(doc_id % 3 AS VARCHAR) AS model FROM documents")
+def read_runs(spark, sf):
+    path, docs = fresh_path(spark, "models"), fx.table(spark, sf, "documents").select("doc_id")
+    for i in range(3):
+        S.write_table(docs.filter(F.col("doc_id") % 3 == i), f"{path}/m{i}")
+    return S.read_runs(spark, path + "/{model}", ["m0", "m1", "m2"])
+
+
 @query(
     o.with_tables(
         """SELECT qid, model, source, CAST(n_wanted AS INT) AS n,

@@ -52,3 +52,12 @@ def failing_model():
         return number_model()(prompts, n)
 
     return run
+
+
+def short_model():
+    """Leaves the last text out of replies to prompts whose first digit is 12 or more."""
+
+    def run(prompts, n):
+        return [texts[: n - (_digit(p, 0) >= 12)] for p, texts in zip(prompts, number_model()(prompts, n))]
+
+    return run

@@ -72,9 +72,11 @@ def test_no_cross_joins(spark, data, capsys):
 
 
 def test_model_calls_send_prompts_only_and_are_not_followed_by_a_shuffle(spark, data, capsys):
-    for name in ("generate_stub", "generate_mcq_stub", "decide_stub", "rollouts_stub", "rationales_stub"):
+    for name in ("generate_with_errors", "generate_mcq_stub", "decide_stub", "rollouts_stub", "rationales_stub"):
         plan = plan_of(entry.queries()[name](spark, data), capsys)
         assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan, name
+    plan = plan_of(entry.queries()["generate_stub"](spark, data), capsys)
+    assert plan.count("Exchange") == 1 and plan.index("ArrowEvalPython") < plan.index("Exchange RoundRobinPartitioning")
 
 
 def test_small_question_tables_are_broadcast(spark, data, capsys):
