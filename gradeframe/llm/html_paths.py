@@ -3,7 +3,8 @@
 A page is read once into blocks of text, each with its root-to-leaf path of tags. Text length, length of link
 text and punctuation are summed per path, smoothed over paths that follow each other in the page, fused into
 one score, and held against a threshold; blocks on paths above it are the main text. Parts that their
-markup names as something else (menus, adverts, comments, ...) take no part in the sums.
+markup names as something else (menus, adverts, comments, ...) take no part in the sums. Paths within an
+article or main element count more, but decide nothing alone.
 """
 
 import re
@@ -50,7 +51,11 @@ NOISE_WORDS = set(
 )
 COMMENT_WORDS = set("comment comments commentlist disqus respond reply replies".split())
 
-Block = namedtuple("Block", "path text linked noise main")
+#: Weight of paths within an article or main element.
+MAIN_WEIGHT = 1.25
+
+#: ``framed``: noise by nothing but words of an element around an article.
+Block = namedtuple("Block", "path text linked noise main framed")
 
 _TAG = re.compile(r"""[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*>""")
 _NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
@@ -60,9 +65,9 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？]")
 
 
 def _marks(tag: str, rest: str, inside_main: bool) -> tuple[bool, bool]:
-    """Whether a start tag marks noise, and whether it does so even around an article."""
+    """Whether a start tag marks noise, and whether it does so for certain, not by a word that a frame may have too."""
     if tag in NOISE_TAGS or tag == "header" and not inside_main:
-        return True, tag == "form"
+        return True, True
     if not rest or tag in ("html", "body"):
         return False, False
     words: set[str] = set()
@@ -80,7 +85,7 @@ def _marks(tag: str, rest: str, inside_main: bool) -> tuple[bool, bool]:
 def blocks_of(html: str | None) -> Iterator[Block]:
     """Blocks of a page in order. Unclosed and misnested tags are taken as browsers take them, in the main."""
     html = html or ""
-    stack: list[tuple[str, bool, bool]] = []  # tag, noise, noise even around an article
+    stack: list[tuple[str, bool, bool]] = []  # tag, noise, noise for certain
     text: list[str] = []
     linked = at = 0
     size = len(html)
@@ -91,8 +96,10 @@ def blocks_of(html: str | None) -> Iterator[Block]:
         if words:
             path = "/".join(t for t, _, _ in stack if t not in INLINE)
             inner = max((i for i, s in enumerate(stack) if s[0] in ("article", "main")), default=0)
-            noise = any(s[1] for s in stack[inner:]) or any(s[2] for s in stack[:inner])
-            yield Block(path, " ".join(words), linked, noise, any(s[0] in ("article", "main") for s in stack))
+            noise = any(s[1] for s in stack)
+            framed = noise and not (any(s[1] for s in stack[inner:]) or any(s[2] for s in stack))
+            main = any(s[0] in ("article", "main") for s in stack)
+            yield Block(path, " ".join(words), linked, noise, main, framed)
         text.clear()
         linked = 0
 
@@ -174,7 +181,8 @@ def _smooth(values: list[float]) -> list[float]:
 
 
 def content_paths(blocks: list[Block], threshold: float) -> set[str]:
-    """Paths whose fused and smoothed ratios are at least ``threshold`` times the highest."""
+    """Paths whose fused, smoothed and weighted ratios are at least ``threshold`` times the highest."""
+    weight = {b.path: MAIN_WEIGHT if b.main else 1.0 for b in blocks}
     sums: dict[str, list[float]] = {}
     for b in blocks:
         s = sums.setdefault(b.path, [0, 0, 0, 0])
@@ -185,32 +193,34 @@ def content_paths(blocks: list[Block], threshold: float) -> set[str]:
     paths = list(sums)
     length = _smooth([(t - l) / n for t, l, _, n in sums.values()])
     marks = _smooth([p / n for _, _, p, n in sums.values()])
-    fused = {p: a * (1 + b) ** 0.5 for p, a, b in zip(paths, length, marks)}
+    fused = {p: weight[p] * a * (1 + b) ** 0.5 for p, a, b in zip(paths, length, marks)}
     # a short path stands with the text of the element around it, as a heading does
     around: dict[str, list[float]] = {}
-    for path, (t, l, _, n) in sums.items():
+    for path, (t, l, p, n) in sums.items():
         parts = path.split("/")
         for depth in range(max(1, len(parts) - 1), len(parts)):
-            a = around.setdefault("/".join(parts[:depth]), [0, 0])
+            a = around.setdefault("/".join(parts[:depth]), [0, 0, 0])
             a[0] += t - l
             a[1] += n
+            a[2] += p
     border = threshold * max(fused.values())
     chosen = set()
     for path, (t, l, _, n) in sums.items():
-        parent = around.get("/".join(path.split("/")[:-1]), [0, 1])
+        parent = around.get("/".join(path.split("/")[:-1]), [0, 1, 0])
+        near = weight[path] * parent[0] / parent[1] * (1 + parent[2] / parent[1]) ** 0.5
         mostly_links = l > 0.8 * t
-        if not mostly_links and max(fused[path], parent[0] / parent[1]) >= border:
+        if not mostly_links and max(fused[path], near) >= border:
             chosen.add(path)
     return chosen
 
 
 def main_text(html: str | None, threshold: float = 0.3) -> str:
     """Blocks of the main text joined by empty lines; empty without any."""
-    blocks = [b for b in blocks_of(html) if not b.noise]
-    inside = [b for b in blocks if b.main]
-    # an element that the page itself names as the article is taken whole, but for lists of links
-    chosen = content_paths(inside or blocks, 0.0 if inside else threshold)
-    return "\n\n".join(b.text for b in (inside or blocks) if b.path in chosen)
+    found = list(blocks_of(html))
+    # an article in an element named as a frame of the page is read where nothing else is left
+    blocks = [b for b in found if not b.noise] or [b for b in found if b.framed]
+    chosen = content_paths(blocks, threshold)
+    return "\n\n".join(b.text for b in blocks if b.path in chosen)
 
 
 def plain_text(html: str | None) -> str:

@@ -88,3 +88,29 @@ def test_edge_rows(spark):
     found = H.extract(pages).collect()
     assert sorted((r.n_chars for r in found)) == sorted([0, len(MAIN), len(MAIN), 50_000 * 5 - 2])
     assert H.extract(pages.limit(0)).count() == 0
+
+
+STORY = "A long paragraph of the story, with words and marks. It goes on for a while, as texts do."
+CARD = "<article><p>Short teaser.</p></article>"
+
+
+@pytest.mark.parametrize("before", [True, False])
+def test_a_teaser_article_does_not_hide_a_story_in_divs(before):
+    story = f"<div><div>{f'<p>{STORY}</p>' * 3}</div></div>"
+    page = f"<body>{CARD + story if before else story + CARD}</body>"
+    assert H.main_text(page) == "\n\n".join([STORY] * 3)
+
+
+@pytest.mark.parametrize("tag", ["aside", "nav", "footer", "div class=sidebar", "section id=related"])
+def test_noise_around_an_article_counts(tag):
+    card = f"<{tag}><article><p>{STORY} Read more of it.</p></article></{tag.split()[0]}>"
+    assert H.main_text(f"<body>{card}<div><p>{STORY}</p><p>{STORY}</p></div>{card}</body>") == f"{STORY}\n\n{STORY}"
+
+
+def test_a_frame_named_by_a_side_keeps_its_article():
+    assert H.main_text(f"<body><div class=with-sidebar>{ARTICLE}<div class=sidebar>x, y.</div></div></body>") == MAIN
+
+
+def test_ratios_decide_within_an_article():
+    page = f"<article><div><p>{STORY}</p><p>{STORY}</p></div><div><span>v 1</span></div></article>"
+    assert H.main_text(page) == f"{STORY}\n\n{STORY}"
