@@ -1,6 +1,6 @@
 """Approximate nearest neighbours with robust-pruned directed graphs.
 
-Distinct vectors are dealt to shards by hash. Each shard is a directed graph built by insertion: a greedy
+Distinct vectors are dealt to shards by their norm's order of magnitude and by hash. Each shard is a directed graph built by insertion: a greedy
 search from the entry point proposes neighbours for each new vector, and pruning with a relaxed distance keeps
 the close and the differing ones. Queries go through every shard with a beam search. Searches of many vectors
 advance together as numpy arrays, a hop at a time.
@@ -129,12 +129,31 @@ def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BEAM, rela
 
 
 def _flat(vectors: np.ndarray) -> np.ndarray:
-    """Vectors with one more component, so that the nearest by distance has the largest inner product."""
-    square = (vectors**2).sum(axis=1)
-    extra = np.sqrt(np.maximum(square.max() - square, 0)) if len(vectors) else square
+    """Vectors, scaled to a largest norm of 1, with one more component, so that the nearest by distance has the
+    largest inner product. Their norms should be of one order, as distances are of single precision."""
+    if len(vectors):
+        vectors = vectors / np.abs(vectors).max()  # squares of the scaled ones are finite
+        vectors = vectors / np.sqrt((vectors**2).sum(axis=1).max())
+    extra = np.sqrt(np.maximum(1 - (vectors**2).sum(axis=1), 0))
     return np.column_stack([vectors, extra]).astype(np.float32)
 
 
+def _directions(queries: np.ndarray) -> np.ndarray:
+    """Queries with norm 1, which leaves the order of their inner products, and no share in the added component."""
+    scaled = queries / np.abs(queries).max(axis=1, keepdims=True)
+    scaled = scaled / np.sqrt((scaled**2).sum(axis=1, keepdims=True))
+    return np.column_stack([scaled, np.zeros(len(scaled))]).astype(np.float32)
+
+
+def norm_band(vector: str) -> Column:
+    """Number of the band of norms, each 16 times the one before, that a vector of doubles is in; 1 is amid its band."""
+    top = F.expr(f"array_max(transform({vector}, x -> abs(x)))")
+    square = F.expr(
+        f"aggregate({vector}, 0D, (s, x) -> s + pow(x / array_max(transform({vector}, y -> abs(y))), 2D))"
+    )
+    return F.floor((F.log2(top) + F.log2(square) / 2) / 4 + 0.5).cast("int")
+
+
 def usable(vector: str | Column) -> Column:
     """Whether a vector takes part: not null, not zero, without null or non-finite components."""
     v = F.col(vector) if isinstance(vector, str) else vector
@@ -167,7 +186,8 @@ def nearest(
 
     Equal vectors are one point of the graph and are told apart again afterwards, so groups of copies cost
     one search and all their members can be found. Every vector is indexed; the number of shards follows the
-    number of distinct vectors, and a shard has about ``shard_rows`` points at most.
+    number of distinct vectors, and a shard has about ``shard_rows`` points at most. Vectors of very different norms
+    have shards of their own, so that a few long ones don't blur the distances of the others.
 
     Vectors that are null, empty, zero, or hold null or non-finite components neither ask nor are found;
     vectors are only compared with those of their length; rows with a null id are left out; of rows that
@@ -180,20 +200,22 @@ def nearest(
     )
     rows = rows.withColumn("size", F.size("v"))
     points = rows.groupBy("v", "size").agg(F.min("vec_id").alias("point"), F.max("asks").alias("asks"))
-    points = written(points, "points")
+    points = written(points.withColumn("band", norm_band("v")), "points")
     # members of a point: more than k + 1 of them can't be among the nearest of any query
     members = rows.select("vec_id", "v", "asks").join(points.select("v", "point"), "v").select("vec_id", "point", "asks")
     members = written(members, "members")
     some = _smallest(members.select("point", "vec_id"), ["point"], ["vec_id"], k + 1).select("point", "vec_id")
 
-    counts = points.groupBy("size").agg(F.count("*").alias("n"), F.sum(F.col("asks").cast("long")).alias("q"))
+    asks = points.groupBy("size").agg(F.sum(F.col("asks").cast("long")).alias("q"), F.count("*").alias("all"))
+    counts = points.groupBy("size", "band").agg(F.count("*").alias("n")).join(F.broadcast(asks), "size")
     counts = counts.select(
         "size",
-        F.greatest(F.lit(min_shards), F.ceil(F.col("n") / shard_rows)).cast("int").alias("shards"),
+        "band",
+        F.ceil(F.greatest(F.col("n") * min_shards / F.col("all"), F.col("n") / shard_rows)).cast("int").alias("shards"),
         F.greatest(F.lit(1), F.ceil(F.col("q") / query_chunk)).cast("int").alias("chunks"),
     )
-    counts = F.broadcast(counts)  # a row per length of vectors
-    dealt = points.join(counts, "size")
+    counts = F.broadcast(counts)  # a row per length of vectors and band of norms
+    dealt = points.join(counts, ["size", "band"])
     shard = F.pmod(F.xxhash64("v"), F.col("shards")).cast("int")
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
@@ -203,6 +225,7 @@ def nearest(
         return pd.DataFrame(
             {
                 "size": [part["size"].iloc[0]],
+                "band": [part["band"].iloc[0]],
                 "shard": [part["shard"].iloc[0]],
                 "chunks": [part["chunks"].iloc[0]],
                 "points": [part["point"].to_numpy(np.int64).tobytes()],
@@ -214,15 +237,17 @@ def nearest(
 
     graphs = (
         dealt.withColumn("shard", shard)
-        .groupBy("size", "shard")
-        .applyInPandas(build, "size int, shard int, chunks int, points binary, vectors binary, entries binary, edges binary")
+        .groupBy("size", "band", "shard")
+        .applyInPandas(build, "size int, band int, shard int, chunks int, points binary, vectors binary, entries binary, edges binary")
     )
     graphs = written(graphs, "graphs").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     asking = (
-        dealt.where("asks")
+        points.where("asks")
+        .drop("band")
+        .join(counts, "size")
         .withColumn("chunk", F.pmod(F.xxhash64("point"), F.col("chunks")).cast("int"))
         .withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-        .select("size", "shard", "chunk", "point", "v")
+        .select("size", "band", "shard", "chunk", "point", "v")
     )
 
     def search(graph: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
@@ -239,7 +264,7 @@ def nearest(
         out = []
         for low in range(0, len(asked), 512):
             q = asked[low : low + 512]
-            found, _ = beam_search(flat, edges, entries, np.column_stack([q, np.zeros(len(q))]).astype(np.float32), beam)
+            found, _ = beam_search(flat, edges, entries, _directions(q), beam)
             score = np.einsum("nkd,nd->nk", held[found], q)
             score = np.where(found < 0, -np.inf, score)
             best = np.lexsort((ids[found], -score), axis=1)[:, : k + 1]
@@ -256,7 +281,7 @@ def nearest(
             )
         return pd.concat(out)
 
-    place = ["size", "shard", "chunk"]
+    place = ["size", "band", "shard", "chunk"]
     found = graphs.groupBy(*place).cogroup(asking.groupBy(*place)).applyInPandas(
         search, "query long, point long, score double"
     )

@@ -85,3 +85,14 @@ def test_copies_ties_and_vectors_that_take_no_part(spark):
     assert found(df) == restated(rows)
     assert found(df.limit(0)) == {}
     assert found(df.where("vec_id = 20")) == {}
+
+
+@pytest.mark.parametrize("norm", [1e4, 2e19])
+def test_a_few_very_long_vectors_among_short_ones(spark, norm):
+    rng = np.random.default_rng(9)
+    short = rng.normal(size=(600, 8))
+    rows = [(i, (v / np.linalg.norm(v)).tolist(), 0) for i, v in enumerate(short)]
+    rows += [(1001 + i, (norm * rng.normal(size=8)).tolist(), 0) for i in range(3)]
+    rows = [(i, np.float32(v).tolist(), 0) for i, v, _ in rows]
+    got = found(spark.createDataFrame(rows, SCHEMA), min_shards=2)
+    assert recall(got, restated(rows)) > 0.97
