@@ -1,12 +1,11 @@
-"""Duplicate passages by relative Lempel-Ziv parsing.
-
-The reference is the corpus itself, in the order of document ids, cut into blocks at content-defined
-borders: all windows of consecutive words that share their smallest word-run hash (the seed) form one
-block. Blocks are indexed by seed and content, each with the first document that has it. A document is
-parsed greedily into whole blocks; a block that the reference has already is a factor. Where a factor
-ends, that is where a block shares its seed with other blocks but not its whole content, the single windows
-are looked up, so that windows across factor borders are found too. A classical parse of every document
-against every block would cost the square of the corpus; here each block meets only blocks of its seed.
+"""Duplicate passages by content-defined blocks and a hash join of windows, in place of relative Lempel-Ziv parsing.
+
+No longest match is searched and no text is parsed greedily: a parse of every document against every
+reference block would cost the square of the corpus. The corpus, in the order of document ids, is cut into
+blocks at content-defined borders: all windows of consecutive words that share their smallest word-run
+hash (the seed) form one block. Blocks are indexed by seed and content, each with the first document that has
+it, and whole blocks are joined by hash. Where a block shares its seed with other blocks but not its
+whole content, the single windows are looked up, so that windows across block borders are found too.
 """
 
 import hashlib
