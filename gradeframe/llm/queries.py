@@ -1,5 +1,6 @@
 """One named query per operator, each over its whole table."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,13 +12,16 @@ from gradeframe.llm import (
     license_scan as licences,
     line_dedup,
     lz_spans,
+    prefix_counts,
     quality_trees,
     simhash_tree,
     warc,
 )
 from gradeframe.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+TOKEN_LIMIT = 4096
 
 
 @query()
@@ -138,3 +142,10 @@ def op10_lz_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_removed").cast("long"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query()
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = prefix_counts.PrefixTokens(spark, PIECES).token_counts(docs, TOKEN_LIMIT)
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
