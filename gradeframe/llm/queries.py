@@ -15,6 +15,8 @@ from gradeframe.llm import (
     prefix_counts,
     quality_trees,
     simhash_tree,
+    source_divergence,
+    token_alignment,
     warc,
 )
 from gradeframe.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
@@ -149,3 +151,51 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = prefix_counts.PrefixTokens(spark, PIECES).token_counts(docs, TOKEN_LIMIT)
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query()
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligner = token_alignment.TokenAligner(spark, TOKENIZER, PIECES)
+    return aligner.valued(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query(
+    r"""
+    WITH docs AS (
+        SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS number,
+            regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words
+        FROM documents
+    ), places AS (
+        SELECT lang, source, number, unnest(words) AS term FROM docs
+    ), kept AS (
+        SELECT lang, term, count(*) AS total FROM places GROUP BY ALL HAVING count(DISTINCT number) >= 10
+    ), langs AS (
+        SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang
+    ), counts AS (
+        SELECT lang, source, term, count(*) AS times FROM places JOIN kept USING (lang, term) GROUP BY ALL
+    ), sizes AS (
+        SELECT g.lang, g.source, coalesce(sum(times), 0) AS n
+        FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN counts USING (lang, source) GROUP BY ALL
+    ), shares AS (
+        SELECT lang, s.source, k.term, coalesce(c.times, 0) AS times,
+            (1 + (1000000000::HUGEINT * (coalesce(c.times, 0) + 2)) // (s.n + 2 * l.v))::HUGEINT AS p,
+            (1 + (1000000000::HUGEINT * (k.total + 2)) // (l.n + 2 * l.v))::HUGEINT AS q
+        FROM sizes s JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN counts c USING (lang, source, term)
+    ), distances AS (
+        SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+        FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+    ), parts AS (
+        SELECT s.lang, s.source, 'pair' AS part, t.source AS item, coalesce(d.value, 0)::BIGINT AS value
+        FROM sizes s JOIN sizes t ON s.lang = t.lang AND s.source <> t.source
+        LEFT JOIN distances d ON d.lang = s.lang AND d.source = s.source AND d.item = t.source
+        UNION ALL
+        SELECT lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::BIGINT FROM shares WHERE times > 0 AND p > q
+    ), ranked AS (
+        SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS "rank" FROM parts
+    )
+    SELECT * FROM ranked WHERE part = 'pair' OR "rank" <= 10
+    """
+)
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(table(spark, sf_dir, "documents"))
