@@ -1,0 +1,127 @@
+import random
+
+import pandas as pd
+import pytest
+from conftest import rows
+from pyspark.sql import functions as F
+
+from gradeframe.sources import ranges as R, tables as S
+
+
+@pytest.fixture
+def small_ranges(spark):
+    """Ranges of a few bytes, so that cells, quotes and line ends lie across them."""
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum"]
+    before = {n: spark.conf.get(n, None) for n in names}
+
+    def use(size):
+        for name, value in zip(names, (f"{size}b", f"{size}b", "1")):
+            spark.conf.set(name, value)
+
+    yield use
+    for name, value in before.items():
+        spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
+
+
+def edge_texts():
+    rng = random.Random(2)
+    texts = ["", None, " lead", 'say "x"', '"', '""', "a\nb", "\n", "\n\n\n", "a\r\nb", "\r", "a,b", "\\", "end\\", '\\"', "é中\n\U0001f600"]
+    texts += ["".join(rng.choice('ab",\n\r\\ é') for _ in range(rng.randrange(40))) for _ in range(25)]
+    return texts
+
+
+@pytest.mark.parametrize("size", [7, 64, 100_000])
+def test_equal_to_the_whole_file_reader(spark, tmp_path, small_ranges, size):
+    table = spark.createDataFrame([(i, t, "z") for i, t in enumerate(edge_texts())], "i long, t string, z string")
+    path = str(tmp_path / "t.csv")
+    S.write_table(table.repartition(2), path, "csv")
+    expected = rows(S.read_csv(spark, path, table.schema))
+    assert expected == rows(table)
+    small_ranges(size)
+    found = S.read_csv(spark, path, table.schema, by_ranges=True)
+    assert found.columns == table.columns and rows(found) == expected
+    if size < 100:
+        assert R.csv_records(spark, path).rdd.getNumPartitions() > 10
+
+
+def test_one_file_is_many_tasks_and_a_record_may_fill_many_ranges(spark, tmp_path, small_ranges):
+    path = str(tmp_path / "t.csv")
+    cells = ["x" * 500 + "\n" * 300 + '"' * 7, "short", "q\n" * 400]
+    pd.DataFrame({"id": [2**63 - 1, -(2**53) - 1, 7], "c": cells, "more": ["1", "2", None]}).to_csv(path, index=False)
+    schema = spark.createDataFrame([], "c string, id long").schema
+    small_ranges(40)
+    found = S.read_table(spark, path, schema, by_ranges=True)
+    assert found.columns == ["c", "id", "more"]
+    assert {(r.id, r.c, r.more) for r in found.collect()} == {
+        (2**63 - 1, cells[0], "1"), (-(2**53) - 1, "short", "2"), (7, cells[2], None)
+    }
+    lines = spark.read.text(path)
+    assert lines.rdd.getNumPartitions() > 20
+
+
+def test_header_alone_empty_lines_and_no_last_line_end(spark, tmp_path, small_ranges):
+    folder = tmp_path / "some.csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text("k,v\n")
+    (folder / "b.csv").write_text('k,v\n\n1,"x\ny"\n\n2,z')
+    (folder / "c.csv").write_text('"k","v"\n3,\n')
+    schema = spark.createDataFrame([], "k int, v string").schema
+    for size in (5, 1000):
+        small_ranges(size)
+        found = S.read_csv(spark, str(folder), schema, by_ranges=True)
+        assert rows(found) == rows(S.read_csv(spark, str(folder), schema))
+        assert found.count() == 3
+
+
+def test_a_header_with_line_ends(spark, tmp_path, small_ranges):
+    path = str(tmp_path / "t.csv")
+    pd.DataFrame({"a\nlong\nname": ["1", "2"], "b": ["x\n", "y"]}).to_csv(path, index=False)
+    schema = spark.createDataFrame([], "b string").schema
+    for size in (4, 1000):
+        small_ranges(size)
+        found = S.read_csv(spark, path, schema, by_ranges=True)
+        assert found.columns == ["b", "a\nlong\nname"] and rows(found) == [("x\n", "1"), ("y", "2")]
+
+
+def test_open_quotes_and_changed_ranges_are_refused(spark, tmp_path, small_ranges):
+    path = str(tmp_path / "t.csv")
+    (tmp_path / "t.csv").write_text('k,v\n1,"open\n2,x\n')
+    schema = spark.createDataFrame([], "k int").schema
+    with pytest.raises(ValueError, match="not closed"):
+        S.read_csv(spark, path, schema, by_ranges=True)
+    (tmp_path / "t.csv").write_text("k,v\n" + "1,x\n" * 500)
+    small_ranges(64)
+    found = S.read_csv(spark, path, schema, by_ranges=True)
+    assert found.count() == 500
+    small_ranges(50)
+    with pytest.raises(Exception, match="ranges of .* changed"):
+        S.read_csv(spark, path, schema).count()  # the other reader does not mind
+        found.count()
+
+
+def test_integers_keep_all_their_digits(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    big = ["9007199254740993", "-9223372036854775808", "9223372036854775807", "12.0", "1e+16", "1.5e3", ""]
+    path.write_text("k,x\n" + "".join(f"{b},x\n" for b in big))
+    schema = spark.createDataFrame([], "k long").schema
+    found = [r.k for r in S.read_csv(spark, str(path), schema).collect()]
+    assert found == [2**53 + 1, -(2**63), 2**63 - 1, 12, 10**16, 1500, None]
+    path.write_text("k,x\nword,x\n")
+    with pytest.raises(Exception, match="word"):
+        S.read_csv(spark, str(path), schema).collect()
+
+
+def test_the_plan_reads_lines_once_without_a_shuffle(spark, tmp_path, capsys):
+    from conftest import plan_of
+
+    path = str(tmp_path / "t.csv")
+    pd.DataFrame({"k": [1, 2], "v": ["a", "b\nc"]}).to_csv(path, index=False)
+    plan = plan_of(R.csv_records(spark, path), capsys)
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan
+
+
+def test_models_with_other_columns(spark, tmp_path):
+    spark.range(2).withColumn("more", F.lit("x")).write.parquet(str(tmp_path / "a"))
+    spark.range(1).write.parquet(str(tmp_path / "b"))
+    found = S.read_runs(spark, str(tmp_path / "{model}"), ["b", "a"])
+    assert rows(found.select("id", "model", "more")) == [(0, "a", "x"), (0, "b", None), (1, "a", "x")]
