@@ -360,13 +360,37 @@ def ingest_cells_fallback(spark, sf):
     quoted = F.replace(F.to_json("attempts"), F.lit('"'), F.lit("'"))
     open_list = F.regexp_replace(quoted, r"\]$", ",]")
     cells = fx.answers(spark, sf).withColumn("cell", open_list).filter(F.size("attempts") > 0)
-    read = ingest_cells(cells, "cell").withColumn("votes", as_attempts(F.col("value")))
+    read = ingest_cells(cells, "cell", fallback="native").withColumn("votes", as_attempts(F.col("value")))
     votes = F.transform("votes", lambda v: F.concat(v["correct_label"], F.lit(":"), v["generation"]))
     return read.select(
         "qid", "parse_status", F.size("votes").alias("n"), F.array_join(votes, "|").alias("votes")
     )
 
 
+@query(
+    o.with_tables(
+        """SELECT qid, 'fallback' AS parse_status, 'None of ' || question || ' is True, it''s "null"' AS generation,
+        qid % 2 = 0 AS ok, CAST(NULL AS VARCHAR) AS rest, -qid AS n FROM fx_questions""",
+        "fx_questions",
+    )
+)
+def ingest_cells_words(spark, sf):
+    """Cells in mixed notation, whose strings hold the words of both; read without Python."""
+    cell = F.format_string(
+        "{'generation': 'None of %s is True, it\\'s \"null\"', \"ok\": %s, 'rest': None, 'n': -%d,}",
+        F.col("question").cast("string"), F.when(F.col("qid") % 2 == 0, "true").otherwise("False"), F.col("qid"),
+    )
+    read = ingest_cells(fx.questions(spark, sf).withColumn("cell", cell), "cell", fallback="native")
+
+    def field(name, kind):
+        return F.try_variant_get("value", f"$.{name}", kind).alias(name)
+
+    return read.select(
+        "qid", "parse_status", field("generation", "string"), field("ok", "boolean"), field("rest", "string"),
+        field("n", "bigint"),
+    )
+
+
 @query(
     o.with_tables(
         f"SELECT qid, 'json' AS parse_status, is_correct FROM ({_ARRAY})", "fx_answers"

@@ -1,7 +1,9 @@
 """Reading list and dict cells of foreign CSV files.
 
-Well-formed JSON cells are read by the JVM's VARIANT parser. Only cells it refuses are sent to
-an Arrow function that tries looser readings; all other rows pass it a null.
+Well-formed JSON cells are read by the JVM's VARIANT parser. Cells it refuses are cut into tokens there (strings,
+names, whole numbers, signs), written as JSON token by token and parsed again, which reads Python literals and
+mixed notation without touching words inside strings. What is left (tuples, fractions in literals, joined or
+prefixed strings, rare escapes) goes to an Arrow function; all other rows pass it a null.
 """
 
 import ast
@@ -19,11 +21,19 @@ from gradeframe.schemas import require_columns
 # Fixed values.
 BLANK_CELLS = ("", "nan", "none")
 UNESCAPED_BACKSLASH = r'\\(?!["\\/bfnrtu])'
-PYTHON_TO_JSON = (("None", "null"), ("True", "true"), ("False", "false"), ("'", '"'))
+JSON_NAMES = {"None": "null", "True": "true", "False": "false"}
 # Escapes that mean the same in JSON and in Python.
 SHARED_ESCAPE = r"\\[\\nrtbf]"
 # A single backslash before "boxed" or "frac" reads as a JSON control escape.
 CONTROL_ESCAPE = r"(?<!\\)(?:\\\\)*\\(?:boxed|frac)"
+# Stand-ins for escaped quotes and backslashes while a cell is cut; cells that hold them are left to the Arrow function.
+SINGLE, DOUBLE, BACKSLASH = "\ue010", "\ue011", "\ue012"
+# Character loops are possessive, so that long strings need no stack.
+TOKEN = r"""'[^']*+'|"[^"]*+"|[\p{L}_][\p{L}\p{N}_]*+|-?[0-9]++|(?s:.)"""
+# Escapes that only Python has, or that mean something else there, and white space that is not read alike.
+PYTHON_ESCAPE = r"\\[0-7NU\r\n]"
+_WORD = re.compile(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[^\W\d]\w*""", re.S)
+_PYTHON_NAMES = {json_name: name for name, json_name in JSON_NAMES.items()}
 
 
 def _plain(value):
@@ -39,25 +49,17 @@ def _plain(value):
     return str(value)
 
 
-def _escaped(cell: str) -> str:
-    return re.sub(UNESCAPED_BACKSLASH, r"\\\\", cell)
-
-
-def _loose_readings(cell: str):
+def _readings(cell: str):
+    """JSON, JSON whose strings hold lone backslashes, and a literal in Python's or in mixed notation."""
     yield json.loads, cell
-    escaped = _escaped(cell)
-    if escaped != cell:
-        yield json.loads, escaped
+    yield json.loads, re.sub(UNESCAPED_BACKSLASH, r"\\\\", cell)
     yield ast.literal_eval, cell
-    as_json = cell
-    for old, new in PYTHON_TO_JSON:
-        as_json = as_json.replace(old, new)
-    yield json.loads, _escaped(as_json)
+    yield ast.literal_eval, _WORD.sub(lambda word: _PYTHON_NAMES.get(word[0], word[0]), cell)
 
 
 def read_loose_cell(cell: str) -> str | None:
     """JSON text of the first reading that works, else null."""
-    for read, text in _loose_readings(cell):
+    for read, text in _readings(cell):
         try:
             return json.dumps(_plain(read(text)))
         except Exception:
@@ -81,12 +83,45 @@ def _strict_json(cell: Column) -> Column:
     return F.when(in_array.isNotNull(), F.try_variant_get(in_object, "$.v", "variant"))
 
 
-def ingest_cells(df: DataFrame, col: str, out: str = "value", fallback: bool = True) -> DataFrame:
+def _as_json(cell: Column) -> Column:
+    """A literal cell written as JSON, token by token; what it cannot write is not JSON either."""
+    text = cell
+    for pair, stand_in in (("\\\\", BACKSLASH), ("\\'", SINGLE), ('\\"', DOUBLE)):
+        text = F.replace(text, F.lit(pair), F.lit(stand_in))
+    usable = ~cell.rlike(f"[{SINGLE}{DOUBLE}{BACKSLASH}]") & ~text.rlike(PYTHON_ESCAPE)
+    text = F.regexp_replace(text, r"\\x([0-9A-Fa-f]{2})", r"\\u00$1")
+    for escape, code in (("\\a", "\\u0007"), ("\\v", "\\u000b"), ("\t", "\\t")):
+        text = F.replace(text, F.lit(escape), F.lit(code))
+    text = F.regexp_replace(text, r"\\(?![nrtbfu])", r"\\\\")
+    tokens = F.filter(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: ~t.rlike(r"^\s$"))
+
+    def written(all_tokens: Column) -> Column:
+        def one(token: Column, at: Column) -> Column:
+            inner = F.substring(token, F.lit(2), F.length(token) - 2)
+            quoted = F.concat(F.lit('"'), F.replace(inner, F.lit('"'), F.lit('\\"')), F.lit('"'))
+            before = F.when(at > 0, F.get(all_tokens, at - 1))
+            last = (token == ",") & F.get(all_tokens, at + 1).isin("]", "}") & ~before.isin("[", "{", ",")
+            found = F.when(token.startswith("'"), quoted)
+            for name, json_name in JSON_NAMES.items():
+                found = found.when(token == name, json_name)
+            return found.when(last, "").otherwise(token)
+
+        return F.array_join(F.transform(all_tokens, one), " ")
+
+    # a lambda's own argument is computed once, where a named column would be copied to every use
+    text = F.get(F.transform(F.array(tokens), written), F.lit(0))
+    for stand_in, pair in ((BACKSLASH, "\\\\"), (SINGLE, "'"), (DOUBLE, '\\"')):
+        text = F.replace(text, F.lit(stand_in), F.lit(pair))
+    return F.when(usable, text)
+
+
+def ingest_cells(df: DataFrame, col: str, out: str = "value", fallback: bool | str = True) -> DataFrame:
     """``df`` plus VARIANT ``out`` and STRING ``parse_status``.
 
     Status is ``blank``, ``json``, ``json_control`` (read as JSON, but a lone backslash was taken
-    for a control escape), ``quoted`` (single-quoted, read by the JVM), ``fallback`` (read by the
-    Arrow function) or ``failed``.
+    for a control escape), ``quoted`` (single-quoted, read by the JVM), ``fallback`` (read in a looser
+    way) or ``failed``. ``fallback="native"`` plans no Python and so gives up on the cells that need it;
+    ``False`` gives up on all cells that are neither JSON nor simply quoted.
     """
     require_columns(df, [col])
     cell = strip(F.col(col).cast("string"))
@@ -103,21 +138,29 @@ def ingest_cells(df: DataFrame, col: str, out: str = "value", fallback: bool = T
         .withColumn("_quoted", F.when(simple, _strict_json(swapped)))
     )
     refused = F.when(F.col("_json").isNull() & F.col("_quoted").isNull(), F.col("_cell"))
-    loose = _read_loose(refused) if fallback else F.lit(None).cast("string")
+    nothing = F.lit(None).cast("variant")
+    escaped = F.regexp_replace(refused, UNESCAPED_BACKSLASH, r"\\\\")
+    first = first.withColumn("_escaped", _strict_json(escaped) if fallback else nothing)
+    literal = F.when(F.col("_escaped").isNull(), _as_json(refused))
+    first = first.withColumn("_literal", _strict_json(literal) if fallback else nothing)
+    left = F.when(F.col("_escaped").isNull() & F.col("_literal").isNull(), refused)
+    loose = _read_loose(left) if fallback and fallback != "native" else F.lit(None).cast("string")
+    read_loose = F.coalesce("_escaped", "_literal", F.try_parse_json("_loose"))
     control = F.col("_cell").rlike(CONTROL_ESCAPE)
     status = (
         F.when(F.col("_cell").isNull(), "blank")
         .when(F.col("_json").isNotNull() & control, "json_control")
         .when(F.col("_json").isNotNull(), "json")
         .when(F.col("_quoted").isNotNull(), "quoted")
-        .when(F.col("_loose").isNotNull(), "fallback")
+        .when(F.col("_read").isNotNull(), "fallback")
         .otherwise("failed")
     )
     return (
         first.withColumn("_loose", loose)
-        .withColumn(out, F.coalesce("_json", "_quoted", F.try_parse_json("_loose")))
+        .withColumn("_read", read_loose)
+        .withColumn(out, F.coalesce("_json", "_quoted", "_read"))
         .withColumn("parse_status", status)
-        .drop("_cell", "_json", "_quoted", "_loose")
+        .drop("_cell", "_json", "_quoted", "_escaped", "_literal", "_loose", "_read")
     )
 
 

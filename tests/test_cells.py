@@ -105,3 +105,52 @@ def test_grading_of_cells(spark):
     assert [r["is_correct"] for r in grade_cells(math, "c", "math").collect()] == [1, 0, 0]
     raw = spark.createDataFrame([("so \\boxed{7}", "7")], "c string, answer string")
     assert grade_cells(raw, "c", "math", "single").first()["is_correct"] == 1
+
+
+def test_words_inside_strings_stay(spark):
+    cases = [
+        ("{'generation': 'None of these is True', 'ok': true}", '{"generation":"None of these is True","ok":true}'),
+        ("""[null, 'true "False"', "it's None", None, false, True, -3]""", '[null,"true \\"False\\"","it\'s None",null,false,true,-3]'),
+        ("['a\\'b', 'tab\there', '\\x41\\a\\d', \"\\\\\\\\n\"]", '["a\'b","tab\\there","A\\u0007\\\\d","\\\\\\\\n"]'),
+        ("{'a': [1, 2,], 'b': {},}", '{"a":[1,2],"b":{}}'),
+    ]
+    for fallback in (True, "native"):
+        table = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, c string")
+        out = ingest_cells(table, "c", fallback=fallback).withColumn("j", F.to_json("value")).orderBy("i").collect()
+        for r, (cell, expected) in zip(out, cases):
+            assert r["parse_status"] in ("quoted", "fallback") and json.loads(r["j"]) == json.loads(expected)
+
+
+def test_what_no_json_can_write_is_left_to_python_or_fails(spark):
+    left = ["('a', 'b')", "['a' 'b']", "[1.50, 'x', None]", "['\\101']", "[1, 'x', 0x1F]", "{1: 'x'}", "[u'x']"]
+    bad = ["[,]", "[1 2]", "['a',,]", "[nan, 'x']", "['open", "{'a' 1}", "[1,,]", "{,}", "['a\nb']", "[1 'x']", "[tru e, 'x']"]
+    native = read(spark, left + bad, fallback="native")
+    assert [status for status, _ in native] == ["failed"] * len(left + bad)
+    loose = read(spark, left + bad)
+    assert [status for status, _ in loose] == ["fallback"] * len(left) + ["failed"] * len(bad)
+
+
+def test_native_reading_plans_no_python(spark, capsys):
+    from conftest import plan_of
+
+    table = spark.createDataFrame([("[1,]",)], "c string")
+    plain = ingest_cells(table, "c", fallback="native")
+    assert "Python" not in plan_of(plain.select("value", "parse_status"), capsys)
+    assert plain.first()["parse_status"] == "fallback"
+
+
+LITERAL = st.recursive(
+    st.none() | st.booleans() | st.integers(-(10**12), 10**12) | TEXT,
+    lambda x: st.lists(x, max_size=3) | st.dictionaries(TEXT, x, max_size=3),
+    max_leaves=8,
+)
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(LITERAL, min_size=1, max_size=40))
+def test_literals_are_read_alike_with_and_without_python(spark, values):
+    table = spark.createDataFrame([(i, repr([v])) for i, v in enumerate(values)], "i int, c string")
+    for fallback in (True, "native"):
+        out = ingest_cells(table, "c", fallback=fallback).withColumn("j", F.to_json("value")).orderBy("i").collect()
+        for r, value in zip(out, values):
+            assert json.loads(r["j"]) == [value], (r["c"], r["parse_status"])
