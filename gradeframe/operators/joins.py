@@ -20,6 +20,7 @@ from pyspark.sql.types import (
 )
 
 from gradeframe.functions.parsing import checked_label
+from gradeframe.operators.bloom import filtered_join
 from gradeframe.schemas import require_columns
 
 BROADCAST_ROWS = 100_000
@@ -185,16 +186,29 @@ def alignment_report(preds: DataFrame, truth: DataFrame, key: Sequence[str]) ->
     )
 
 
-def restrict(df: DataFrame, keys: DataFrame, key: Sequence[str], **limits) -> DataFrame:
-    """Rows of ``df`` whose key occurs in ``keys``."""
-    wanted = keys.select(*key)
-    return lookup_join(df, wanted.distinct(), key, "left_semi", **{"measure": wanted} | limits)
+def restrict(df: DataFrame, keys: DataFrame, key: Sequence[str], bloom: bool = False, **limits) -> DataFrame:
+    """Rows of ``df`` whose key occurs in ``keys``.
+
+    With ``bloom``, rows whose key surely does not occur are dropped before the shuffle.
+    """
+    return _by_keys(df, keys, key, "left_semi", bloom, limits)
+
 
+def remaining(inputs: DataFrame, results: DataFrame, key: Sequence[str], bloom: bool = False, **limits) -> DataFrame:
+    """Input rows whose key has no result yet.
 
-def remaining(inputs: DataFrame, results: DataFrame, key: Sequence[str], **limits) -> DataFrame:
-    """Input rows whose key has no result yet."""
-    done = results.select(*key)
-    return lookup_join(inputs, done.distinct(), key, "left_anti", **{"measure": done} | limits)
+    With ``bloom``, rows whose key surely has none are not shuffled.
+    """
+    return _by_keys(inputs, results, key, "left_anti", bloom, limits)
+
+
+def _by_keys(df: DataFrame, keys: DataFrame, key: Sequence[str], how: str, bloom: bool, limits: dict) -> DataFrame:
+    wanted = keys.select(*key)
+    if bloom and not is_small(wanted, limits.get("max_broadcast_rows", BROADCAST_ROWS)):
+        found = filtered_join(df, wanted, key, how)
+        if found is not None:
+            return found
+    return lookup_join(df, wanted.distinct(), key, how, **{"measure": wanted} | limits)
 
 
 def select_analysis(
