@@ -70,6 +70,54 @@ def decision_report_null_invalid(spark, sf):
     )
 
 
+_SETS = [["model"], ["source"], ["model", "source"], []]
+
+
+def _levels(one, rows: str) -> str:
+    """The SQL of a report for each grouping of ``_SETS``, one after the other."""
+    parts = []
+    for group in _SETS:
+        missing = {c: f"CAST(NULL AS VARCHAR) AS {c}" for c in ("model", "source") if c not in group}
+        named = ", ".join([*missing.values(), f"'{','.join(group)}' AS level"])
+        parts.append(f"SELECT {named}, * FROM ({one(rows, ', '.join(group))})")
+    return " UNION ALL BY NAME ".join(parts)
+
+
+@query(
+    o.with_tables(
+        _levels(
+            o.report,
+            f"SELECT p.model, p.source, p.decision AS d, t.is_correct AS t FROM fx_questions p JOIN ({_ARRAY}) t ON p.qid = t.qid",
+        ),
+        "fx_answers",
+    )
+)
+def decision_report_totals(spark, sf):
+    """Per model, per source, per both and in total, from one scan."""
+    graded = G.grade(fx.answers(spark, sf), "generation", "math")
+    return rounded(R.decision_report_sets(graded, _SETS))
+
+
+def _accuracies(rows: str, by: str) -> str:
+    lead, group = (f"{by}, ", f"GROUP BY {by}") if by else ("", "")
+    return f"""SELECT {lead}CAST(sum(is_correct) AS BIGINT) AS n_correct, CAST(count(is_correct) AS BIGINT) AS n,
+    round(avg(is_correct), 6) AS accuracy FROM ({rows}) {group}"""
+
+
+@query(
+    o.with_tables(
+        _levels(
+            _accuracies,
+            f"SELECT p.model, p.source, t.is_correct FROM fx_questions p JOIN ({_ARRAY}) t ON p.qid = t.qid",
+        ),
+        "fx_answers",
+    )
+)
+def solve_accuracy_totals(spark, sf):
+    graded = G.grade(fx.answers(spark, sf), "generation", "math")
+    return rounded(G.solve_accuracy_sets(graded, _SETS))
+
+
 @query(o.report("SELECT 1 - toxic AS d, quality AS t FROM labels"))
 def decision_report_labels(spark, sf):
     labels = fx.table(spark, sf, "labels").withColumn("decision", 1 - F.col("toxic"))

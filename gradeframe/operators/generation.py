@@ -13,6 +13,7 @@ from gradeframe.schemas import one_of, require_columns
 
 ModelFn = Callable[[list[str], int], list[list[str]]]
 OUTPUTS = "array<struct<generation:string,elapsed:double>>"
+LENGTH_BINS_PER_DOUBLING = 16
 
 
 def choose_model(
@@ -122,15 +123,19 @@ def generate(
     partitions: int | None = None,
     retry: str = "null_or_error",
     timing: str = "avg_generation_time",
+    balance: bool = False,
     **options,
 ) -> DataFrame:
     """``df`` with an array of ``n`` texts per prompt and their mean time in ``timing``.
 
     Where ``out`` exists already, only its missing or failed rows are asked. The result must be written before it is used twice, since a second use calls the model again.
-    ``partitions`` spreads the prompts first: one call costs far more than moving a row.
+    ``partitions`` spreads the prompts first: one call costs far more than moving a row. With ``balance`` it
+    does so by their length, for tasks that cost alike and calls with prompts of similar length.
     """
     require_columns(df, [prompt])
-    spread = df.repartition(partitions) if partitions else df
+    spread = df.repartition(partitions) if partitions and not balance else df
+    if partitions and balance:
+        spread = balanced(df, prompt, partitions)
     asked = F.array(prompt)
     if out in df.columns:
         asked = F.when(unfinished(df, out, retry), asked)
@@ -146,6 +151,36 @@ def generate(
     ).drop("_out")
 
 
+def _bin(length: Column) -> Column:
+    """Lengths in steps of a few percent, at most some hundred of them."""
+    return F.floor(F.log2(length + 1) * LENGTH_BINS_PER_DOUBLING).cast("int")
+
+
+def balanced(df: DataFrame, prompt: str, partitions: int, cost: Column | None = None) -> DataFrame:
+    """Rows dealt to ``partitions`` tasks that cost alike, prompts of similar length together and in order of length.
+
+    ``cost`` (default: one and the length of the prompt) is summed per step of length; the whole cost is cut into equal
+    parts along the steps, and a step that lies across a cut is split by chance, so many equal prompts spread
+    as well. Only the sums, some hundred rows, reach the driver.
+    """
+    require_columns(df, [prompt])
+    length = F.coalesce(F.length(prompt), F.lit(0))
+    price = (length + 1).cast("double") if cost is None else cost.cast("double")
+    sums = df.groupBy(_bin(length).alias("bin")).agg(F.sum(price).alias("cost")).collect()
+    before, total = [], 0.0
+    for row in sorted(sums):
+        before.append((row["bin"], total, row["cost"]))
+        total += row["cost"]
+    if not total:
+        return df.repartition(partitions)
+    table = F.broadcast(df.sparkSession.createDataFrame(before, "_bin int, _before double, _cost double"))
+    part = F.floor((F.col("_before") + F.rand(7) * F.col("_cost")) / total * partitions).cast("int")
+    dealt = df.withColumn("_bin", _bin(length)).join(table, "_bin")
+    dealt = dealt.withColumn("_part", F.least(part, F.lit(partitions - 1)))
+    dealt = dealt.repartitionById(partitions, "_part").sortWithinPartitions(length)
+    return dealt.select(*df.columns)
+
+
 def _mean(values: Column) -> Column:
     total = F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
     return F.try_divide(total, F.size(values))

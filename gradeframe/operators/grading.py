@@ -19,6 +19,7 @@ from gradeframe.functions.parsing import (
     strip,
 )
 from gradeframe.operators.joins import lookup_join
+from gradeframe.operators.reports import counted_sets
 from gradeframe.schemas import check_domain, one_of, require_columns
 
 
@@ -321,6 +322,16 @@ def source_report(graded: DataFrame, by: Sequence[str] = (), source: str = "sour
     return _with_accuracy(report).orderBy(*by, source)
 
 
+def solve_accuracy_sets(graded: DataFrame, sets: Sequence[Sequence[str]]) -> DataFrame:
+    """``solve_accuracy`` for several groupings in one scan; ``level`` names the columns of each."""
+    columns = list(dict.fromkeys(c for group in sets for c in group))
+    counted = counted_sets(graded, sets, ["is_correct"])
+    right = F.sum(F.when(F.col("is_correct") == 1, F.col("_count")).otherwise(0))
+    rows = F.sum(F.when(F.col("is_correct").isNotNull(), F.col("_count")).otherwise(0))
+    report = counted.groupBy(*columns, "level").agg(right.alias("n_correct"), rows.alias("n"))
+    return report.withColumn("accuracy", F.coalesce(ratio(F.col("n_correct"), F.col("n")), F.lit(0.0)))
+
+
 def solve_accuracy(graded: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Share of right answers, their number and the row count; 0 on no rows."""
     report = graded.groupBy(*by).agg(

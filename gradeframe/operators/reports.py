@@ -90,6 +90,42 @@ def decision_report(
     )
 
 
+def counted_sets(
+    df: DataFrame, sets: Sequence[Sequence[str]], values: Sequence[str], weight: str | None = None
+) -> DataFrame:
+    """Row counts ``_count`` per combination of ``values`` for several groupings at once, from one pass over the rows.
+
+    ``sets`` lists the groupings, an empty one for all rows. Rows are counted by all columns first, so only counts are
+    copied per grouping. ``level`` names the columns of a row's grouping, joined by commas; other grouping
+    columns are null there, as are null groups of its own.
+    """
+    columns = list(dict.fromkeys(c for group in sets for c in group))
+    require_columns(df, [*columns, *values])
+    amount = F.sum(weight) if weight else F.count("*")
+    counted = df.groupBy(*columns, *values).agg(amount.alias("_n"))
+    used = [F.when(F.grouping(c) == 0, F.lit(c)) for c in columns]
+    level = F.concat_ws(",", *used) if columns else F.lit("")
+    found = counted.groupingSets([[F.col(c) for c in (*group, *values)] for group in sets], *columns, *values)
+    return found.agg(F.sum("_n").alias("_count"), level.alias("level"))
+
+
+def decision_report_sets(
+    df: DataFrame,
+    sets: Sequence[Sequence[str]],
+    decision: str = "decision",
+    label: str = "is_correct",
+    weight: str | None = None,
+    null_policy: str = "reference",
+) -> DataFrame:
+    """``decision_report`` for several groupings, such as per model, per source and in total, in one scan.
+
+    ``level`` tells the grouping of a row (see ``counted_sets``).
+    """
+    columns = list(dict.fromkeys(c for group in sets for c in group))
+    counted = counted_sets(df, sets, [decision, label], weight)
+    return decision_report(counted, decision, label, [*columns, "level"], "_count", null_policy)
+
+
 def decision_report_joined(
     preds: DataFrame,
     truth: DataFrame,

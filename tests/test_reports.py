@@ -7,7 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from gradeframe.catalog import fixtures as fx
-from gradeframe.operators import reports as R
+from gradeframe.operators import grading as G, reports as R
 from gradeframe.plans.evaluation import evaluate_capability, evaluate_decisions
 
 PAIRS = st.lists(st.tuples(st.sampled_from([1, 0, -1, None]), st.integers(0, 1)), min_size=1, max_size=60)
@@ -153,3 +153,24 @@ def test_predictions_without_one_label_fail_or_are_counted(spark):
     each = R.decision_report_joined(preds, truth, ["k"], by=["model"], unmatched="report").collect()
     assert sorted((r.model, r.total_rows, r.n_unmatched, r.n_repeated) for r in each if r.model == "m") == [("m", 1, 0, 1)]
     assert [(r.n_unmatched, r.n_repeated) for r in each if r.model == "n"] == [(1, 0)]
+
+
+def test_groupings_in_one_scan_equal_separate_reports(spark, capsys):
+    from conftest import plan_of
+
+    table = spark.createDataFrame(
+        [(m, s, d, t) for i in range(60) for m, s, d, t in [(f"m{i % 3}" if i % 7 else None, f"s{i % 4}", [1, 0, -1, None][i % 4], i % 2)]],
+        "model string, source string, decision int, is_correct int",
+    )
+    sets = [["model"], ["model", "source"], []]
+    found = R.decision_report_sets(table, sets)
+    accuracy = G.solve_accuracy_sets(table, sets)
+    for group in sets:
+        level = ",".join(group)
+        for whole, one in ((found, R.decision_report(table, by=group)), (accuracy, G.solve_accuracy(table, group))):
+            part = whole.filter(F.col("level") == level)
+            assert rows(part.select(one.columns)) == rows(one)
+            assert all(part.filter(F.col(c).isNotNull()).count() == 0 for c in ("model", "source") if c not in group)
+    table.write.mode("overwrite").saveAsTable("some_decisions")
+    assert plan_of(R.decision_report_sets(spark.table("some_decisions"), sets), capsys).count("FileScan") == 1
+    spark.sql("DROP TABLE some_decisions")
