@@ -11,9 +11,10 @@ from gradeframe.functions import prompts as P
 from gradeframe.functions.metrics import rounded
 from gradeframe.functions.parsing import is_error
 from gradeframe.operators import generation as N, joins as J
+from gradeframe.operators.answers import ask_once
 from gradeframe.plans import generation as RUN
 from gradeframe.session import fresh_path
-from gradeframe.sources import tables as S
+from gradeframe.sources import snapshots, tables as S
 from gradeframe.streaming import incremental as I
 
 _ANSWER = o.fill(P.ANSWER_MATH, question="question")
@@ -58,6 +59,26 @@ def generate_stub(spark, sf):
     )
 
 
+@query(o.with_tables(f"SELECT qid, {_THREE} AS texts, 3 AS n FROM fx_questions", "fx_questions"))
+def generate_balanced(spark, sf):
+    """Prompts dealt to tasks by their length."""
+    run = RUN.answer_questions(
+        fx.questions(spark, sf), stubs.number_model, "math", 3, partitions=8, balance=True
+    )
+    return run.select("qid", F.array_join("generation", "|").alias("texts"), F.size("generation").alias("n"))
+
+
+@query(o.with_tables(f"SELECT qid, {_THREE} AS texts FROM fx_questions", "fx_questions"))
+def generate_once(spark, sf):
+    """Answers kept by prompt; the second run asks for what the first did not."""
+    q = fx.questions(spark, sf).select("qid", "question", "decision")
+    prompts = q.select("qid", "decision", P.answer_prompt("math", F.col("question")).alias("prompt"))
+    store = fresh_path(spark, "answers")
+    ask_once(prompts.filter("decision = 1"), "prompt", stubs.number_model, store, "stub", 3)
+    run = ask_once(prompts, "prompt", stubs.number_model, store, "stub", 3)
+    return run.select("qid", F.array_join("generation", "|").alias("texts"))
+
+
 @query(
     o.with_tables(
         f"""SELECT qid, CASE WHEN {_digit(_ANSWER, '0')} >= 12 THEN 'Error: 1 texts in the reply, 2 were asked for'
@@ -241,6 +262,30 @@ def remaining(spark, sf):
     return J.remaining(q, _stored(spark, sf), ["qid"])
 
 
+_NOT_STORED = o.with_tables(
+    f"SELECT qid, question FROM fx_questions WHERE qid NOT IN (SELECT qid FROM ({_STORED}))", "fx_questions"
+)
+
+
+@query(_NOT_STORED)
+def remaining_filtered(spark, sf):
+    """Only questions that may have a result meet the results."""
+    q = fx.questions(spark, sf).select("qid", "question")
+    return J.remaining(q, _stored(spark, sf), ["qid"], bloom=True, max_broadcast_rows=0)
+
+
+@query(
+    o.with_tables(
+        f"SELECT qid, question FROM fx_questions WHERE qid IN (SELECT qid FROM ({_STORED}) WHERE generation = 'text')",
+        "fx_questions",
+    )
+)
+def restrict_filtered(spark, sf):
+    q = fx.questions(spark, sf).select("qid", "question")
+    done = _stored(spark, sf).filter("generation = 'text'")
+    return J.restrict(q, done, ["qid"], bloom=True, max_broadcast_rows=0)
+
+
 @query(
     """SELECT user_id, event_id, event_type, value FROM (
       SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CAST(event_type = 'error' AS INT), event_id DESC) AS rn
@@ -311,6 +356,33 @@ def incremental_batch_then_stream(spark, sf):
     return spark.read.parquet(f"{path}/rows").select("qid", "generation")
 
 
+@query(_ALL_ANSWERED)
+def incremental_compacted(spark, sf):
+    """Two runs, their folders made one with the newest good row per key, and a third run that finds all done."""
+    q = fx.questions(spark, sf).select("qid", "question", "decision")
+    path = fresh_path(spark, "compacted")
+    I.run_incremental(q.filter("decision IS NOT NULL"), path, _answer, ["qid"], "generation", slices=3)
+    I.run_incremental(q, path, _answer, ["qid"], "generation")
+    I.compact(spark, path, ["qid"], "generation")
+    snapshots.vacuum(spark, path, older_than_hours=0)
+    return I.run_incremental(q, path, _answer, ["qid"], "generation").select("qid", "generation")
+
+
+@query(o.with_tables("SELECT qid, CAST(1 AS BIGINT) AS times FROM fx_questions", "fx_questions"))
+def incremental_stream_keyed(spark, sf):
+    """Keys that come back in later files of a stream are asked once."""
+    q = fx.questions(spark, sf).select("qid", "question")
+    path = fresh_path(spark, "keyed")
+    for part in range(3):  # two thirds of the questions each
+        q.filter(F.col("qid") % 3 != part).write.mode("append").parquet(f"{path}/in")
+    run = I.stream_incremental(
+        spark, f"{path}/in", q.schema, f"{path}/rows", _answer, f"{path}/progress", max_files=1,
+        key=["qid"], output="generation",
+    )
+    run.awaitTermination()
+    return S.read_results(spark, f"{path}/rows").groupBy("qid").agg(F.count("*").alias("times"))
+
+
 @query(_ALL_ANSWERED)
 def incremental_stream(spark, sf):
     path = fresh_path(spark, "stream")
@@ -369,6 +441,27 @@ def csv_round_trip_edges(spark, sf):
     return S.read_csv(spark, path, docs.schema)
 
 
+@query("SELECT doc_id, text, lang, source, n_chars FROM documents")
+def csv_by_ranges(spark, sf):
+    """Files with line ends in their cells, spread over tasks by byte ranges."""
+    docs = fx.table(spark, sf, "documents")
+    path = fresh_path(spark, "csv")
+    S.write_table(docs, path, "csv")
+    return S.read_csv(spark, path, docs.schema, by_ranges=True)
+
+
+_LONG_IDS = {"low": "-9007199254740993 - doc_id", "high": "9223372036854775807 - doc_id * 3", "text": "text"}
+
+
+@query(f"SELECT {', '.join(f'{column} AS {name}' for name, column in _LONG_IDS.items())} FROM documents")
+def csv_round_trip_ids(spark, sf):
+    """Ids that need all 64 bits come back as they were."""
+    docs = fx.table(spark, sf, "documents").selectExpr(*(f"{column} AS {name}" for name, column in _LONG_IDS.items()))
+    path = fresh_path(spark, "csv")
+    S.write_table(docs, path, "csv")
+    return S.read_csv(spark, path, docs.schema)
+
+
 @query("SELECT doc_id, lang FROM documents")
 def read_training(spark, sf):
     path = fresh_path(spark, "training")
@@ -392,6 +485,18 @@ def read_runs(spark, sf):
     return S.read_runs(spark, path + "/{model}", ["m0", "m1", "m2"])
 
 
+@query(
+    """SELECT doc_id, 'm' || CAST(doc_id % 3 AS VARCHAR) AS model, CASE WHEN doc_id % 3 <> 1 THEN lang END AS lang,
+    CASE WHEN doc_id % 3 = 2 THEN n_chars END AS n_chars FROM documents"""
+)
+def read_runs_uneven(spark, sf):
+    """Models whose tables have different columns."""
+    path, docs = fresh_path(spark, "models"), fx.table(spark, sf, "documents")
+    for i, columns in enumerate((["doc_id", "lang"], ["doc_id"], ["n_chars", "doc_id", "lang"])):
+        S.write_table(docs.filter(F.col("doc_id") % 3 == i).select(*columns), f"{path}/m{i}")
+    return S.read_runs(spark, path + "/{model}", ["m0", "m1", "m2"]).select("doc_id", "model", "lang", "n_chars")
+
+
 @query(
     o.with_tables(
         """SELECT qid, model, source, CAST(n_wanted AS INT) AS n,

@@ -13,7 +13,9 @@ from gradeframe.operators.generation import unfinished
 from gradeframe.operators.joins import latest_results, remaining
 from gradeframe.operators.rollouts import reward_report, with_reward
 from gradeframe.schemas import require_columns
+from gradeframe.sources import snapshots
 from gradeframe.sources.tables import append_results, read_results
+from gradeframe.streaming.asked import record_outcomes, state_in_rocks, to_ask
 
 Job = Callable[[DataFrame], DataFrame]
 
@@ -76,11 +78,21 @@ def newest(
     spark: SparkSession, path: str, key: Sequence[str], output: str | Sequence[str], retry: str = "null_or_error"
 ) -> DataFrame:
     """Newest good row per key of everything written below ``path``."""
-    results = spark.read.parquet(path)
-    found = latest_results(results, key, _open(results, output, retry), ["run", "origin", "part"])
+    results = read_results(spark, path)
+    found = latest_results(results, key, _open(results, output, retry), snapshots.PLACE)
     return found.drop("origin", "part")
 
 
+def compact(
+    spark: SparkSession, path: str, key: Sequence[str], output: str | Sequence[str], retry: str = "null_or_error"
+) -> None:
+    """Results below ``path`` as one folder with the newest good row per key, so that later runs read no history.
+
+    Runs and streams may go on writing meanwhile. Old folders go with ``snapshots.vacuum``.
+    """
+    snapshots.compact(spark, path, key, lambda rows: _open(rows, output, retry))
+
+
 def stream_incremental(
     spark: SparkSession,
     source: str,
@@ -97,11 +109,14 @@ def stream_incremental(
 ) -> StreamingQuery:
     """Apply ``job`` to files as they arrive in ``source`` until none is left.
 
-    Each micro-batch replaces its own folder, named after the checkpoint, so a batch that is replayed after a
-    failure leaves its rows once and touches no other run. With ``key`` and ``output``, keys that have a good
-    result already, from this stream or another run, are not asked again. Start it again with the same
-    checkpoint for later files.
+    Each micro-batch has a folder of its own, named after the checkpoint; a batch that is replayed after its
+    folder was kept is not asked again, and touches no other run. With ``key`` and ``output`` the stream keeps a state
+    per key: a key is asked once, and again in a later start if its answer failed; keys with a good result from
+    another run are not asked. What the results say is read when the stream starts, by its batches never. A
+    key that ``job`` gives no row for counts as asked. Start it again with the same checkpoint for later files.
     """
+    keyed = bool(key and output)
+    outcomes = record_outcomes(spark, path, key, lambda rows: _open(rows, output, retry)) if keyed else ""
     stream = (
         spark.readStream.schema(schema)
         .option("pathGlobFilter", pattern)
@@ -109,18 +124,21 @@ def stream_incremental(
         .parquet(source)
     )
     rows = ready(stream) if ready else stream
+    if keyed:
+        rows = to_ask(rows, outcomes, key)
     origin = f"stream-{sha256(checkpoint.encode()).hexdigest()[:32]}"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        todo = _left(batch, path, key, output, retry) if key and output else batch
-        append_results(job(todo), path, batch_id, origin)
+        if f"run={batch_id}/origin={origin}/part=0" not in (snapshots.folders(spark, path) or []):
+            append_results(job(batch), path, batch_id, origin)
 
-    return (
-        rows.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    with state_in_rocks(spark):
+        return (
+            rows.writeStream.foreachBatch(write)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
 
 
 def stream_reward_report(
@@ -152,4 +170,4 @@ def stream_reward_report(
 
 
 def newest_report(spark: SparkSession, path: str, by: Sequence[str] = ("step",)) -> DataFrame:
-    return latest_results(spark.read.parquet(path), by, F.lit(False), ["run"]).drop("run", "origin", "part")
+    return latest_results(read_results(spark, path), by, F.lit(False), ["run"]).drop("run", "origin", "part")

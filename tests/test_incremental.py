@@ -159,3 +159,75 @@ def test_reward_stream_equals_batch(spark, tmp_path):
     query.awaitTermination()
     got = I.newest_report(spark, str(tmp_path / "out"))
     assert rows(got) == rows(reward_report(with_reward(table, "t", "y")).select(got.columns))
+
+
+def keyed_stream(spark, tmp_path, schema, job, max_files=1):
+    source, path, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    query = I.stream_incremental(
+        spark, source, schema, path, job, progress, max_files=max_files, key=["k"], output="g"
+    )
+    query.awaitTermination()
+    return path
+
+
+def test_a_key_in_later_files_is_asked_once(spark, tmp_path, monkeypatch):
+    table = spark.createDataFrame([(i, f"p{i}", 2**62 + i, [f"x{i}"]) for i in range(9)], "k int, p string, n long, a array<string>")
+    asked = []
+
+    def job(df):
+        asked.append(sorted(r.k for r in df.collect()))
+        return df.withColumn("g", F.when(F.col("k") == 4, "Error: x").otherwise(F.concat("p", F.col("n"), F.col("a")[0])))
+
+    for some in ("k < 5", "k >= 3 AND k < 7", "k IN (4, 8) OR k < 2"):
+        table.filter(some).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    read = []
+    original = I.snapshots.read_snapshot
+    monkeypatch.setattr(I.snapshots, "read_snapshot", lambda *a: read.append(a) or original(*a))
+    path = keyed_stream(spark, tmp_path, table.schema, job)
+    assert sorted(sum(asked, [])) == [0, 1, 2, 3, 4, 5, 6, 8] and len(asked) == 3
+    assert read == []  # no batch reads what was written before
+    # a later start knows what failed: that key is asked again when it comes again, and the others are not
+    asked.clear()
+    table.filter("k IN (2, 4, 7)").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    keyed_stream(spark, tmp_path, table.schema, job)
+    assert sorted(sum(asked, [])) == [4, 7]
+    found = I.newest(spark, path, ["k"], "g")
+    assert rows(found.filter("k <> 4").select("k", "g")) == [(i, f"p{i}{2**62 + i}x{i}") for i in range(9) if i != 4]
+
+
+def test_a_stream_learns_from_batch_runs_between_its_starts(spark, tmp_path):
+    table = spark.createDataFrame([(i, "p") for i in range(6)], "k int, p string")
+    asked = []
+
+    def job(df):
+        asked.extend(r.k for r in df.collect())
+        return df.select("k", F.lit("ok").alias("g"))
+
+    table.filter("k < 2").write.parquet(str(tmp_path / "in"))
+    path = keyed_stream(spark, tmp_path, table.schema, job)
+    I.run_incremental(table.filter("k < 4"), path, job, ["k"], "g")
+    I.compact(spark, path, ["k"], "g")
+    asked.clear()
+    table.write.mode("append").parquet(str(tmp_path / "in"))
+    keyed_stream(spark, tmp_path, table.schema, job)
+    assert sorted(asked) == [4, 5]
+    assert I.newest(spark, path, ["k"], "g").count() == 6
+
+
+def test_a_batch_that_was_kept_is_not_asked_again(spark, tmp_path):
+    import shutil
+
+    table = spark.createDataFrame([(1, "p")], "k int, p string")
+    table.write.parquet(str(tmp_path / "in"))
+    asked = []
+
+    def job(df):
+        asked.append(df.count())
+        return df.select("k", F.lit("ok").alias("g"))
+
+    path = keyed_stream(spark, tmp_path, table.schema, job)
+    # the stream died after its folder was kept and before it noted the batch as done
+    for name in ("0", ".0.crc"):
+        shutil.move(tmp_path / "progress" / "commits" / name, tmp_path / f"moved{name}")
+    keyed_stream(spark, tmp_path, table.schema, job)
+    assert sum(asked) == 1 and I.newest(spark, path, ["k"], "g").count() == 1
