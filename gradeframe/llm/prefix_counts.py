@@ -7,17 +7,24 @@ stored as differences, two bytes a code point; budgets, cuts and lengths of pref
 without encoding again.
 """
 
-import heapq
+import re
+from math import inf
+from operator import sub
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 SPACE = "▁"
 STEP = "<i2"
+NEVER = inf
+PAIR = 1 << 32
+HEADS = (8, 5)
+KNOWN_PAIRS = 1_000_000
+KNOWN_HEADS = 100_000
+KNOWN_SEGMENTS = 300_000
 # Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
@@ -36,10 +43,14 @@ class PrefixCounter:
         if not (plain and bpe and kinds <= {NORMAL, UNKNOWN, CONTROL, BYTE}):
             raise ValueError("the model is not BPE with byte fallback, plain text and a space put before it")
         self.order = {piece.piece: -piece.score for piece in proto.pieces if piece.type == NORMAL}
-        self.longest = max(map(len, self.order))
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
-        self.segments = regex.compile(self._pattern())
+        #: Numbers of letters and of the pieces that merges alone give back, as all pieces of an encoding are.
+        pieces = [piece for piece in self.order if len(piece) == 1 or self.merge(piece) == [piece]]
+        self.whole = {piece: number for number, piece in enumerate(pieces)}
+        self.names, self.weights = pieces, [1] * len(pieces)
+        self.sizes = _Sizes(pieces)
+        self.fits: dict[int, bool] = {}
+        self.heads: dict[str, tuple] = {}
+        self.segments = re.compile(self._pattern())
         self.known = _Segments(self)
 
     def _pattern(self) -> str:
@@ -62,67 +73,78 @@ class PrefixCounter:
         classes: dict[str, list[str]] = {}
         for letter in list(group):
             classes.setdefault(top(letter), []).append(letter)
-        sets = ["".join(map(regex.escape, sorted(letters))) for letters in classes.values()]
+        sets = ["".join(map(re.escape, sorted(letters))) for letters in classes.values()]
         runs = "|".join(f"[{letters}]+" for letters in sorted(sets, key=len, reverse=True))
-        return rf"(?V0){SPACE}*(?:{runs})|{SPACE}+|[^{SPACE}{''.join(sets)}]+"
+        return rf"{SPACE}*(?:{runs})|{SPACE}+|[^{SPACE}{''.join(sets)}]+"
 
     def merge(self, text: str) -> list[str]:
-        """The pieces of a short text by merges: best score first, leftmost first."""
-        pieces, n = list(text), len(text)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap: list[tuple[float, int, str, str]] = []
-
-        def offer(at: int) -> None:
-            if at >= 0 and after[at] < n:
-                left, right = pieces[at], pieces[after[at]]
-                score = self.order.get(left + right)
-                if score is not None:
-                    heapq.heappush(heap, (score, at, left, right))
-
-        for at in range(n - 1):
-            offer(at)
-        while heap:
-            _, at, left, right = heapq.heappop(heap)
-            follower = after[at]
-            if pieces[at] != left or follower >= n or pieces[follower] != right:
-                continue
-            pieces[at], pieces[follower] = left + right, ""
-            after[at] = after[follower]
-            if after[at] < n:
-                before[after[at]] = at
-            offer(at)
-            offer(before[at])
-        return [piece for piece in pieces if piece]
-
-    def _is_whole(self, piece: str) -> bool:
-        found = self.whole.get(piece)
-        if found is None:
-            found = self.whole[piece] = self.merge(piece) == [piece]
-        return found
-
-    def _fit(self, left: str, right: str) -> bool:
-        found = self.pairs.get((left, right))
-        if found is None:
-            if len(self.pairs) >= 1_000_000:
-                self.pairs.clear()
-            found = self.pairs[left, right] = self.merge(left + right) == [left, right]
-        return found
+        """The pieces of two neighbours' text by merges: best score first, leftmost first."""
+        pieces, order = list(text), self.order.get
+        scores = [order(pieces[at] + pieces[at + 1], NEVER) for at in range(len(pieces) - 1)]
+        while scores:
+            best = min(scores)
+            if best == NEVER:
+                break
+            at = scores.index(best)
+            merged = pieces[at] + pieces.pop(at + 1)
+            pieces[at] = merged
+            del scores[at]
+            if at:
+                scores[at - 1] = order(pieces[at - 1] + merged, NEVER)
+            if at < len(scores):
+                scores[at] = order(merged + pieces[at + 1], NEVER)
+        return pieces
 
     def counts(self, text: str) -> list[int]:
         """Tokens of each prefix of a text that is taken as it is, the empty one first."""
-        last, counts = [""], [0]
-        for end in range(1, len(text) + 1):
-            for length in range(min(self.longest, end), 0, -1):
-                piece = text[end - length : end]
-                known = piece in self.order
-                if length > 1 and not (known and self._is_whole(piece)):
+        last, counts = [-1], [0]
+        whole, fits, sizes, heads = self.whole, self.fits, self.sizes, self.heads
+        for head in HEADS:  # what another text with the same start was found to have there
+            if len(text) > head and (known := heads.get(text[:head])):
+                last, counts = [*known[0]], [*known[1]]
+                break
+        for end in range(len(counts), len(text) + 1):
+            for length in sizes[text[end - 3 : end] if end > 2 else text[:end]]:
+                if length > end:
                     continue
-                if end == length or self._fit(last[end - length], piece):
-                    last.append(piece)
-                    counts.append(counts[end - length] + (1 if known else len(piece.encode("utf-8"))))
+                piece = whole.get(text[end - length : end])
+                if piece is None:
+                    continue
+                if length == end:
+                    break
+                pair = last[end - length] * PAIR + piece
+                fit = fits.get(pair)
+                if fit is None:
+                    fit = self._fit(pair, last[end - length], piece)
+                if fit:
                     break
+            else:  # no longer piece fits, so the letter stands alone
+                length, piece = 1, whole.get(text[end - 1])
+                if piece is None:
+                    piece = self._letter(text[end - 1])
+            last.append(piece)
+            counts.append(counts[end - length] + self.weights[piece])
+            if end in HEADS:
+                if len(heads) >= KNOWN_HEADS:
+                    heads.clear()
+                heads[text[:end]] = tuple(last), tuple(counts)
         return counts
 
+    def _fit(self, pair: int, left: int, right: int) -> bool:
+        """Whether two pieces stand beside each other in the encoding of their text."""
+        if len(self.fits) >= KNOWN_PAIRS:
+            self.fits.clear()
+        a, b = self.names[left], self.names[right]
+        found = self.fits[pair] = self.merge(a + b) == [a, b]
+        return found
+
+    def _letter(self, letter: str) -> int:
+        """The number of a letter, which gets one if it is in no vocabulary and so stands as its bytes."""
+        number = self.whole[letter] = len(self.names)
+        self.names.append(letter)
+        self.weights.append(1 if letter in self.order else len(letter.encode("utf-8")))
+        return number
+
     def steps(self, text: str | None) -> bytes:
         """What each code point adds to the token count, two bytes each."""
         if not text:
@@ -133,6 +155,21 @@ class PrefixCounter:
         return added.astype(STEP).tobytes()
 
 
+class _Sizes(dict):
+    """By the last three letters of a text, how long the pieces of several letters are that may end it, longest first."""
+
+    def __init__(self, pieces: list[str]):
+        self.pairs = {piece for piece in pieces if len(piece) == 2}
+        found: dict[str, set[int]] = {}
+        for piece in pieces:
+            if len(piece) > 2:
+                found.setdefault(piece[-3:], set()).add(len(piece))
+        super().__init__({end: (*sorted(lengths, reverse=True), *self[end]) for end, lengths in found.items()})
+
+    def __missing__(self, end: str) -> tuple[int, ...]:
+        return (2,) if end[-2:] in self.pairs else ()
+
+
 class _Segments(dict):
     """Steps of segments, kept up to a bounded number."""
 
@@ -141,12 +178,11 @@ class _Segments(dict):
         self.counter = counter
 
     def __missing__(self, segment: str) -> bytes:
-        steps = np.diff(self.counter.counts(segment))
-        if len(steps) and (steps.max() > 32_767 or steps.min() < -32_768):
-            raise OverflowError("the count changes by more than two bytes hold at one code point")
-        steps = steps.astype(STEP).tobytes()
+        counts = self.counter.counts(segment)
+        # refuses a change that two bytes don't hold
+        steps = np.array(list(map(sub, counts[1:], counts)), STEP).tobytes()
         if len(segment) <= 64:
-            if len(self) >= 200_000:
+            if len(self) >= KNOWN_SEGMENTS:
                 self.clear()
             self[segment] = steps
         return steps
