@@ -8,6 +8,7 @@ document's links are valued by these counts.
 """
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,8 @@ from gradeframe.llm.storage import written
 #: A pair with at least this share of all links is looked up in a broadcast table, which so has at most as many rows.
 HOT_SHARE = 200_000
 LINKS_PER_BATCH = 500_000
+FIRST_STEPS = 8
+LONG_RUN = re.compile(r"\S{1000}|\s{1000}")
 
 _COUNTS = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 _PAIRS = "a array<int>, b array<int>, n array<int>"
@@ -48,40 +51,48 @@ def first_difference(x: list, y: list, i: int, j: int) -> int:
     return same
 
 
-def groups(ends_a: list[int], ends_b: list[int]) -> Iterator[tuple[int, int, int, int]]:
-    """Stretches and irregular groups as ``i, i_end, j, j_end``, in order.
+def align(ends_a: list[int], ends_b: list[int]) -> tuple[list[tuple[int, int, int, int]], list[int], list[int]]:
+    """Stretches and irregular groups as ``i, i_end, j, j_end`` in order, and the indexes of all linked tokens.
 
     The tokens of a stretch stand one to one, so its first ends are equal. An irregular group has no common end but
     its last. Both arrays rise strictly and end alike.
     """
+    bounds, left, right = [], [], []
     i = j = 0
-    while i < len(ends_a):
-        same = first_difference(ends_a, ends_b, i, j)
-        if same:
-            yield i, i + same, j, j + same
-            i, j = i + same, j + same
-            if i == len(ends_a):
-                return
+    n, m = len(ends_a), len(ends_b)
+    while i < n:
         x, y = i, j
-        while ends_a[x] != ends_b[y]:
-            if ends_a[x] < ends_b[y]:
+        # short stretches are stepped through, longer ones are jumped
+        stop = min(x + FIRST_STEPS, n, x + m - y)
+        while x < stop and ends_a[x] == ends_b[y]:
+            x += 1
+            y += 1
+        if x - i == FIRST_STEPS:
+            same = first_difference(ends_a, ends_b, x, y)
+            x += same
+            y += same
+        if x > i:
+            bounds.append((i, x, j, y))
+            left += range(i, x)
+            right += range(j, y)
+            i, j = x, y
+            if i == n:
+                break
+        p, q = ends_a[x], ends_b[y]
+        while p != q:
+            left.append(x)
+            right.append(y)
+            if p < q:
                 x += 1
+                p = ends_a[x]
             else:
                 y += 1
-        yield i, x + 1, j, y + 1
+                q = ends_b[y]
+        left.append(x)
+        right.append(y)
+        bounds.append((i, x + 1, j, y + 1))
         i, j = x + 1, y + 1
-
-
-def links(ends_a: list[int], ends_b: list[int], i: int, i_end: int, j: int, j_end: int) -> Iterator[tuple[int, int]]:
-    """Index pairs of the overlapping tokens of an irregular group."""
-    while True:
-        yield i, j
-        if ends_a[i] < ends_b[j]:
-            i += 1
-        elif ends_a[i] > ends_b[j]:
-            j += 1
-        else:
-            return
+    return bounds, left, right
 
 
 class Sides:
@@ -91,6 +102,7 @@ class Sides:
         from sentencepiece import SentencePieceProcessor
 
         self.a = bpe_tree.Encoder(json_file)
+        self.fast = self._as_ranks()
         self.b = SentencePieceProcessor(model_proto=model)
         self.bytes_a = [b""] * (1 + max(self.a.bytes_of))
         for number, data in self.a.bytes_of.items():
@@ -105,28 +117,47 @@ class Sides:
         self.names_a = list(map(str, range(len(self.bytes_a))))
         self.names_b = list(map(str, range(len(self.bytes_b))))
 
-    def encode(self, text: str | None) -> tuple[list[int], list[int]]:
+    def _as_ranks(self):
+        """A compiled encoder with the same merges, where the ids of merged tokens rise as their merges do."""
+        from tiktoken import Encoding
+
+        merged = [number for _, number in sorted(self.a.rank.values())]
+        if merged != sorted(merged):
+            return None
+        special = set(self.a.added.values())
+        ranks = {data: number for number, data in self.a.bytes_of.items() if number not in special}
+        return Encoding("merges", pat_str=bpe_tree.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def byte_level(self, text: str) -> np.ndarray:
+        # the compiled encoder takes the square of a long unsplit run, the other one does not
+        if self.fast is None or LONG_RUN.search(text):
+            return np.array(self.a.plain(text), np.int32)
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.int32)
+
+    def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of both sides; none where the text is empty or a side does not give back its bytes."""
+        none = np.empty(0, np.int32)
         if not text:
-            return [], []
+            return none, none
         whole = " " + text
-        a, b = self.a.plain(whole), self.b.encode(text, num_threads=1)
+        a, b = self.byte_level(whole), np.array(self.b.encode(text, num_threads=1), np.int32)
         data = whole.encode("utf-8", "surrogatepass")
-        if b"".join(map(self.bytes_a.__getitem__, a)) != data or b"".join(map(self.bytes_b.__getitem__, b)) != data:
-            return [], []
+        if self.sizes_a[a].sum() != len(data) or self.sizes_b[b].sum() != len(data):
+            return none, none
+        # pieces are the text cut up, with spaces for the sign of a space
+        if "▁" in text and b"".join(map(self.bytes_b.__getitem__, b.tolist())) != data:
+            return none, none
         return a, b
 
-    def ends(self, a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+    def ends(self, a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
         return np.cumsum(self.sizes_a[a]).tolist(), np.cumsum(self.sizes_b[b]).tolist()
 
     def spans(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """All groups of a text as ``i, i_end, j, j_end``; those of a stretch one by one."""
         a, b = self.encode(text)
-        if not a:
-            return []
         ends_a, ends_b = self.ends(a, b)
         out = []
-        for i, i_end, j, j_end in groups(ends_a, ends_b):
+        for i, i_end, j, j_end in align(ends_a, ends_b)[0]:
             if ends_a[i] == ends_b[j]:
                 out += [(i + k, i + k + 1, j + k, j + k + 1) for k in range(i_end - i)]
             else:
@@ -136,24 +167,20 @@ class Sides:
     def digest(self, text: str | None) -> tuple[int, int, int, str, np.ndarray, np.ndarray]:
         """Numbers of tokens and groups, the hash of the written groups, and the ids of all links."""
         a, b = self.encode(text)
-        if not a:
-            return 0, 0, 0, "", np.empty(0, np.int32), np.empty(0, np.int32)
+        if not len(a):
+            return 0, 0, 0, "", a, b
         ends_a, ends_b = self.ends(a, b)
-        names_a = list(map(self.names_a.__getitem__, a))
-        names_b = list(map(self.names_b.__getitem__, b))
-        said, left, right = [], [], []
-        for i, i_end, j, j_end in groups(ends_a, ends_b):
+        bounds, left, right = align(ends_a, ends_b)
+        names_a = list(map(self.names_a.__getitem__, a.tolist()))
+        names_b = list(map(self.names_b.__getitem__, b.tolist()))
+        said = []
+        for i, i_end, j, j_end in bounds:
             if ends_a[i] == ends_b[j]:
                 said += map("|".join, zip(names_a[i:i_end], names_b[j:j_end]))
-                left += a[i:i_end]
-                right += b[j:j_end]
-                continue
-            said.append(",".join(names_a[i:i_end]) + "|" + ",".join(names_b[j:j_end]))
-            for x, y in links(ends_a, ends_b, i, i_end, j, j_end):
-                left.append(a[x])
-                right.append(b[y])
+            else:
+                said.append(f"{','.join(names_a[i:i_end])}|{','.join(names_b[j:j_end])}")
         written_out = hashlib.sha256(";".join(said).encode()).hexdigest()
-        return len(a), len(b), len(said), written_out, np.array(left, np.int32), np.array(right, np.int32)
+        return len(a), len(b), len(said), written_out, a[left], b[right]
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:

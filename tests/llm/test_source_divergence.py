@@ -76,15 +76,18 @@ def test_small_blocks_and_hot_source(spark, monkeypatch):
         return {(r.lang, r.term, r.n_docs, tuple(sorted(zip(r.sources, r.counts)))) for r in frequencies}
 
     assert plain(whole) == plain(cut) and len(whole) == len(cut)
-    monkeypatch.setattr(D, "PAIR_BLOCK", 2)
+    ids = [_array(1, 3, 2, 7, 5), _array(5, 1), _array(9), _array(2, 9, 3)]
     batch = pd.DataFrame(
-        {"lang": ["a", "b", "a"], "ids": [_array(1, 3, 2, 7, 5)] * 3, "ps": [_array(9, 50, 3, 1, 700)] * 3,
-         "nones": [_array(2, 4, 1, 1, 6)] * 3}
+        {"lang": list("abaa"), "ids": ids, "ps": [_array(*range(9, 9 + 50 * len(x), 50)) for x in ids],
+         "nones": [x % 4 + 1 for x in ids]}
     )
-    small = pd.concat(D._corrections(iter([batch])))
-    monkeypatch.setattr(D, "PAIR_BLOCK", 512)
-    pd.testing.assert_frame_equal(small.reset_index(drop=True), pd.concat(D._corrections(iter([batch]))))
-    assert len(small) == 20
+    found = {}
+    for cells, block in ((0, 2), (0, 512), (1 << 24, 512)):
+        monkeypatch.setattr(D, "DENSE_CELLS", cells)
+        monkeypatch.setattr(D, "PAIR_BLOCK", block)
+        sums = pd.concat(D._corrections(iter([batch]))).groupby(["lang", "a", "b"])["value"].sum()
+        found[cells, block] = {k: v for k, v in sums.items() if v}
+    assert found[0, 2] == found[0, 512] == found[1 << 24, 512] and len(found[0, 2]) > 8
 
 
 def _array(*numbers):

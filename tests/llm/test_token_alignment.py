@@ -73,16 +73,17 @@ def test_groups_and_links_equal_brute_force(left, right):
     total = max(sum(left), sum(right))
     ends = [sorted({*(sum(x[: i + 1]) for i in range(len(x))), total} - {0}) for x in (left, right)]
     cuts = sorted(set(ends[0]) & set(ends[1]))
-    found, pairs = [], set()
-    for i, i_end, j, j_end in A.groups(*ends):
+    found = []
+    bounds, left, right = A.align(*ends)
+    for i, i_end, j, j_end in bounds:
         if ends[0][i] == ends[1][j]:
             assert i_end - i == j_end - j
             found += ends[0][i:i_end]
-            pairs |= {(i + k, j + k) for k in range(i_end - i)}
         else:
             found.append(ends[0][i_end - 1])
-            pairs |= set(A.links(*ends, i, i_end, j, j_end))
     assert found == cuts
+    pairs = set(zip(left, right))
+    assert len(pairs) == len(left) == len(right)
     starts = [[0, *x[:-1]] for x in ends]
     assert pairs == {
         (i, j)
