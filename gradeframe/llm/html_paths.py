@@ -2,9 +2,10 @@
 
 A page is read once into blocks of text, each with its root-to-leaf path of tags. Text length, length of link
 text and punctuation are summed per path, smoothed over paths that follow each other in the page, fused into
-one score, and held against a threshold; blocks on paths above it are the main text. Parts that their
-markup names as something else (menus, adverts, comments, ...) take no part in the sums. Paths within an
-article or main element count more, but decide nothing alone.
+one score, and held against a threshold. The paths above it decide which element holds the main text; every
+block in it stays, short ones too (list items, cells, captions, quotes). Parts that their markup names as
+something else (menus, adverts, comments, ...) take no part in this. Paths within an article or main element
+count more, but decide nothing alone.
 """
 
 import re
@@ -50,12 +51,28 @@ NOISE_WORDS = set(
     "dialog".split()
 )
 COMMENT_WORDS = set("comment comments commentlist disqus respond reply replies".split())
+# Words that may follow a noise word in a name (``ad-slot``), and that make it a state of the page
+# (``has-sidebar``).
+PART_WORDS = set(
+    "area bar block box column container content group inner item items left link links list outer panel right section "
+    "slot text title top bottom unit wrap wrapper zone".split()
+)
+STATE_WORDS = set("has have is no non not show shows with without".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+# Tags that stand for text, not for a region of the page.
+TEXT_TAGS = HEADINGS | set(
+    "p ul ol li dl dt dd table caption thead tbody tfoot tr td th colgroup figure figcaption blockquote pre details "
+    "summary center address hgroup".split()
+)
 
 #: Weight of paths within an article or main element.
 MAIN_WEIGHT = 1.25
 
-#: ``framed``: noise by nothing but words of an element around an article.
-Block = namedtuple("Block", "path text linked noise main framed")
+#: ``noise``: by tags, attributes and words that are certain; ``named``: numbers of the elements around that only a
+#: noise word in their name marks; ``main``: number of the innermost article or main element, else 0; ``nodes``:
+#: numbers of the elements of the path.
+Block = namedtuple("Block", "path text linked noise named main nodes")
+Open = namedtuple("Open", "tag noise certain number")
 
 _TAG = re.compile(r"""[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*>""")
 _NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
@@ -64,51 +81,67 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？]")
 
 
+def _names_noise(name: str) -> bool:
+    """Whether one class, id or role names a part beside the main text.
+
+    The noise word ends the name (``page-footer``), or begins it with nothing but words for parts after it
+    (``ad-slot``). A name of another thing with such a word in it (``search-results-page``, ``has-sidebar``) does not.
+    """
+    words = [w.lower() for w in _WORDS.findall(name)]
+    if not words or words[0] in STATE_WORDS:
+        return False
+    return words[-1] in NOISE_WORDS or words[0] in NOISE_WORDS and set(words[1:]) <= PART_WORDS | NOISE_WORDS
+
+
 def _marks(tag: str, rest: str, inside_main: bool) -> tuple[bool, bool]:
-    """Whether a start tag marks noise, and whether it does so for certain, not by a word that a frame may have too."""
+    """Whether a start tag marks noise, and whether it does so for certain, not by a name that a frame may have too."""
     if tag in NOISE_TAGS or tag == "header" and not inside_main:
         return True, True
     if not rest or tag in ("html", "body"):
         return False, False
-    words: set[str] = set()
+    names: list[str] = []
     for name, *values in _ATTRIBUTE.findall(rest):
         name = name.lower()
         if name == "hidden":
             return True, True
         if name in ("class", "id", "role"):
-            words |= {w.lower() for w in _WORDS.findall(" ".join(values))}
-    if words & COMMENT_WORDS:
+            names += " ".join(values).split()
+    if any(w.lower() in COMMENT_WORDS for name in names for w in _WORDS.findall(name)):
         return True, True
-    return bool(words & NOISE_WORDS) and tag not in ("article", "main"), False
+    return tag not in ("article", "main") and any(map(_names_noise, names)), False
 
 
 def blocks_of(html: str | None) -> Iterator[Block]:
     """Blocks of a page in order. Unclosed and misnested tags are taken as browsers take them, in the main."""
     html = html or ""
-    stack: list[tuple[str, bool, bool]] = []  # tag, noise, noise for certain
+    stack: list[Open] = []
     text: list[str] = []
-    linked = at = 0
+    linked = at = opened = 0
     size = len(html)
 
     def block() -> Iterator[Block]:
         nonlocal linked
         words = "".join(text).split()
         if words:
-            path = "/".join(t for t, _, _ in stack if t not in INLINE)
-            inner = max((i for i, s in enumerate(stack) if s[0] in ("article", "main")), default=0)
-            noise = any(s[1] for s in stack)
-            framed = noise and not (any(s[1] for s in stack[inner:]) or any(s[2] for s in stack))
-            main = any(s[0] in ("article", "main") for s in stack)
-            yield Block(path, " ".join(words), linked, noise, main, framed)
+            regions = [s for s in stack if s.tag not in INLINE]
+            yield Block(
+                "/".join(s.tag for s in regions),
+                " ".join(words),
+                linked,
+                any(s.certain for s in stack),
+                [s.number for s in stack if s.noise and not s.certain],
+                max((s.number for s in stack if s.tag in ("article", "main")), default=0),
+                [s.number for s in regions],
+            )
         text.clear()
         linked = 0
 
     def close(tags, scopes=()) -> None:
         for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in tags:
+            if stack[i].tag in tags:
                 del stack[i:]
                 return
-            if stack[i][0] in scopes:
+            if stack[i].tag in scopes:
                 return
 
     while at < size:
@@ -117,7 +150,7 @@ def blocks_of(html: str | None) -> Iterator[Block]:
         if start > at:
             piece = unescape(html[at:start])
             text.append(piece)
-            if any(s[0] == "a" for s in stack):
+            if any(s.tag == "a" for s in stack):
                 linked += len(piece.strip())
         if start == size:
             break
@@ -162,7 +195,7 @@ def blocks_of(html: str | None) -> Iterator[Block]:
             if tag in CLOSED_BY_SAME:
                 close(CLOSED_BY_SAME[tag], SCOPES)
         rest = html[name.end() : end - 1]
-        noise, strong = _marks(tag, rest, any(s[0] in ("article", "main") for s in stack))
+        noise, certain = _marks(tag, rest, any(s.tag in ("article", "main") for s in stack))
         if tag in RAW:
             close_at = re.compile(f"</{tag}", re.IGNORECASE).search(html, at)
             if not close_at:
@@ -171,7 +204,8 @@ def blocks_of(html: str | None) -> Iterator[Block]:
             continue
         if rest.endswith("/") and tag in ("svg", "path", "math"):
             continue
-        stack.append((tag, noise, strong))
+        opened += 1
+        stack.append(Open(tag, noise, certain, opened))
     yield from block()
 
 
@@ -208,19 +242,84 @@ def content_paths(blocks: list[Block], threshold: float) -> set[str]:
     for path, (t, l, _, n) in sums.items():
         parent = around.get("/".join(path.split("/")[:-1]), [0, 1, 0])
         near = weight[path] * parent[0] / parent[1] * (1 + parent[2] / parent[1]) ** 0.5
-        mostly_links = l > 0.8 * t
-        if not mostly_links and max(fused[path], near) >= border:
+        if not _mostly_links(l, t) and max(fused[path], near) >= border:
             chosen.add(path)
     return chosen
 
 
+def _mostly_links(linked: int, length: int) -> bool:
+    return linked > 0.8 * length
+
+
+def not_noise(found: list[Block]) -> list[Block]:
+    """Blocks that are not marked as something else.
+
+    A name marks nothing if its element holds most of the page's text and no article or main element stands outside
+    it. Where nothing is left, articles in elements with such names are read.
+    """
+    found = [b for b in found if not b.noise]
+    held: dict[int, int] = {}
+    for b in found:
+        for number in b.named:
+            held[number] = held.get(number, 0) + len(b.text)
+    whole = sum(len(b.text) for b in found)
+    for number, size in held.items():
+        outside = any(b.main and number not in b.named for b in found)
+        if 2 * size > whole and not outside:
+            found = [b._replace(named=[n for n in b.named if n != number]) for b in found]
+    return [b for b in found if not b.named] or [b for b in found if b.named and max(b.named) < b.main]
+
+
+def _region(b: Block) -> list[int]:
+    """Numbers of the elements around a block, down to the innermost that is a region of the page."""
+    tags = b.path.split("/") if b.path else []
+    while tags and tags[-1] in TEXT_TAGS:
+        tags.pop()
+    return b.nodes[: len(tags)]
+
+
+def _common(lists: list[list[int]]) -> list[int]:
+    low, high = min(lists), max(lists)
+    same = 0
+    while same < min(len(low), len(high)) and low[same] == high[same]:
+        same += 1
+    return low[:same]
+
+
 def main_text(html: str | None, threshold: float = 0.3) -> str:
-    """Blocks of the main text joined by empty lines; empty without any."""
-    found = list(blocks_of(html))
-    # an article in an element named as a frame of the page is read where nothing else is left
-    blocks = [b for b in found if not b.noise] or [b for b in found if b.framed]
+    """Blocks of the main text joined by empty lines; empty without any.
+
+    The innermost region around all blocks on chosen paths holds the main text. Its other blocks stay, as do those of
+    the article around it that text tags enclose; lists of links go. Where the region is the whole body,
+    blocks stay from the heading before the first chosen one to the last.
+    """
+    blocks = not_noise(list(blocks_of(html)))
     chosen = content_paths(blocks, threshold)
-    return "\n\n".join(b.text for b in blocks if b.path in chosen)
+    core = [i for i, b in enumerate(blocks) if b.path in chosen]
+    if not core:
+        return ""
+    region = _common([_region(blocks[i]) for i in core])
+    depth = len(region)
+    tags = blocks[core[0]].path.split("/")[:depth]
+    mains = {blocks[i].main for i in core}
+    article = mains.pop() if len(mains) == 1 else 0
+    first = 0
+    if set(tags) <= {"html", "body"}:
+        first = core[0]
+        while first and blocks[first - 1].path.rpartition("/")[2] in HEADINGS:
+            first -= 1
+
+    def stays(at: int, b: Block) -> bool:
+        if b.path in chosen:
+            return True
+        last = b.path.rpartition("/")[2]
+        if _mostly_links(b.linked, len(b.text)) and last not in HEADINGS:
+            return False
+        if set(tags) <= {"html", "body"}:
+            return first <= at <= core[-1]
+        return b.nodes[:depth] == region or bool(article) and article in b.nodes and last in TEXT_TAGS
+
+    return "\n\n".join(b.text for at, b in enumerate(blocks) if stays(at, b))
 
 
 def plain_text(html: str | None) -> str:

@@ -114,3 +114,55 @@ def test_a_frame_named_by_a_side_keeps_its_article():
 def test_ratios_decide_within_an_article():
     page = f"<article><div><p>{STORY}</p><p>{STORY}</p></div><div><span>v 1</span></div></article>"
     assert H.main_text(page) == f"{STORY}\n\n{STORY}"
+
+
+WHOLE = f"<h1>Soup</h1><p>{STORY}</p><p>{STORY}</p>"
+
+
+@pytest.mark.parametrize(
+    "part, text",
+    [
+        ("<ul><li>salt</li><li>oil</li><li>two eggs</li></ul>", ["salt", "oil", "two eggs"]),
+        ("<table><tr><th>Part</th><td>7</td></tr><tr><td>x</td><td>8 g</td></tr></table>", ["Part", "7", "x", "8 g"]),
+        ("<figure><img src=a><figcaption>A pot</figcaption></figure>", ["A pot"]),
+        ("<blockquote><p>Yes.</p></blockquote>", ["Yes."]),
+        ("<h2><a href=x>How to cook it</a></h2>", ["How to cook it"]),
+        ("<dl><dt>Time</dt><dd>1 h</dd></dl>", ["Time", "1 h"]),
+        ("<pre>a  b</pre>", ["a b"]),
+    ],
+)
+@pytest.mark.parametrize("frame", ["article", "div", "main"])
+@pytest.mark.parametrize("place", ["before", "between", "after"])
+def test_short_parts_of_the_article_stay(part, text, frame, place):
+    story = [f"<p>{STORY}</p>"] * 2
+    at = ("before", "between", "after").index(place)
+    story.insert(at, part)
+    want = [STORY] * at + text + [STORY] * (2 - at)
+    body = f"<body><div class=site-nav>a, b.</div><{frame}><h1>Soup</h1>{''.join(story)}</{frame}><div class='page-footer'>c, d.</div>"
+    assert H.main_text(body).split("\n\n") == ["Soup", *want]
+
+
+@pytest.mark.parametrize(
+    "frame", ['class="page has-sidebar no-header"', 'id="search-results-page"', 'class="with-ads"', 'class="newsletter-archive-page"', 'id="search"', 'class="widget"']
+)
+def test_names_of_the_page_hide_nothing(frame):
+    assert H.main_text(f"<body><div {frame}>{WHOLE}</div></body>") == f"Soup\n\n{STORY}\n\n{STORY}"
+
+
+@pytest.mark.parametrize(
+    "name", ["site-header", "left_sidebar", "adSlot", "ad-slot-3", "cookie-notice", "footer-links", "related", "topNav", "shareBar", "nav wide"]
+)
+def test_names_of_parts_hide_them(name):
+    for holder in ("article", "div"):
+        page = f"<body><{holder}>{WHOLE}<div class='{name}'><p>Other, things. And more, of them.</p></div></{holder}></body>"
+        assert H.main_text(page) == f"Soup\n\n{STORY}\n\n{STORY}"
+
+
+def test_a_long_side_does_not_replace_an_article():
+    side = f"<div class=sidebar>{f'<p>{STORY}</p>' * 9}</div>"
+    assert H.main_text(f"<body><article>{WHOLE}</article>{side}</body>") == f"Soup\n\n{STORY}\n\n{STORY}"
+
+
+def test_lists_of_links_go():
+    links = "<ul><li><a href=x>One other page</a></li><li><a href=y>Another page</a></li></ul>"
+    assert H.main_text(f"<body><article>{WHOLE}{links}</article>{links}</body>") == f"Soup\n\n{STORY}\n\n{STORY}"
