@@ -3,7 +3,8 @@
 The automaton of all licence templates is a few kilobytes and travels with the tasks. Each text is
 streamed through it once: after every word the automaton knows the longest run of words ending there
 that occurs in any template (the matching statistics). Base phrases are read off the states; long
-matches are chained per template, and a chain that covers enough of its template is a labelled span.
+matches are chained per template by dynamic programming, and a chain that covers enough of its template is a
+labelled span.
 """
 
 from collections.abc import Iterator
@@ -47,8 +48,70 @@ TEMPLATES = (
         "provided that the following conditions are met",
     ),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    (
+        "apache",
+        "licensed to the apache software foundation asf under one or more contributor license agreements see the notice "
+        "file distributed with this work for additional information regarding copyright ownership",
+    ),
+    (
+        "bsd",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following "
+        "disclaimer",
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby "
+        "granted provided that the above copyright notice and this permission notice appear in all copies",
+    ),
+    (
+        "epl",
+        "this program and the accompanying materials are made available under the terms of the eclipse public license "
+        "2 0 which is available at",
+    ),
+    (
+        "bsl",
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and "
+        "accompanying documentation covered by this license the software to use reproduce display distribute execute "
+        "and transmit the software",
+    ),
+    ("bsl", "distributed under the boost software license version 1 0"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("public-domain", "this work has been dedicated to the public domain"),
+    (
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held "
+        "liable for any damages arising from the use of this software",
+    ),
+    (
+        "agpl",
+        "under the terms of the gnu affero general public license as published by the free software foundation",
+    ),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related rights to this work"),
 )
 
+# Identifiers of licence tags in normalised words, with their labels.
+TAGS = {
+    "mit": "mit",
+    "apache 2 0": "apache",
+    "gpl 2 0": "gpl",
+    "gpl 3 0": "gpl",
+    "lgpl 2 1": "lgpl",
+    "lgpl 3 0": "lgpl",
+    "agpl 3 0": "agpl",
+    "bsd 2 clause": "bsd",
+    "bsd 3 clause": "bsd",
+    "mpl 2 0": "mpl",
+    "epl 2 0": "epl",
+    "bsl 1 0": "bsl",
+    "isc": "isc",
+    "zlib": "zlib",
+    "unlicense": "unlicense",
+    "cc0 1 0": "cc0",
+    "cc by 4 0": "cc-by",
+    "cc by sa 4 0": "cc-by-sa",
+}
+TAG = "spdx license identifier"
+
 SCHEMA = (
     "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
     "score double, spans array<struct<label:string,template:int,start:long,stop:long,covered:int>>"
@@ -125,12 +188,15 @@ class SuffixAutomaton:
 class Scanner:
     """Reads one text after the other; built once per task from the small templates."""
 
-    def __init__(self, templates, phrases, min_match: int, max_gap: int, min_cover: float):
-        self.labels = [label for label, _ in templates] + list(phrases.values())
-        texts = [words_of(text) for _, text in templates] + [words_of(phrase) for phrase in phrases]
+    def __init__(self, templates, phrases, min_match: int, max_gap: int, min_cover: float, tags=TAGS):
+        tagged = [(label, f"{TAG} {name}") for name, label in tags.items()]
+        self.labels = [label for label, _ in [*templates, *tagged]] + list(phrases.values())
+        texts = [words_of(text) for _, text in [*templates, *tagged]] + [words_of(phrase) for phrase in phrases]
         self.sizes = [len(t) for t in texts]
-        self.n_templates = len(templates)
-        self.min_match, self.max_gap, self.min_cover = min_match, max_gap, min_cover
+        self.n_templates = len(templates) + len(tagged)
+        # words a chain must cover: of a tag all, as its last ones tell the licence
+        self.need = [n * (min_cover if i < len(templates) else 1) for i, n in enumerate(self.sizes)]
+        self.min_match, self.max_gap = min_match, max_gap
         self.automaton = a = SuffixAutomaton(texts)
         own: dict[int, list] = {}
         for phrase, label in phrases.items():
@@ -175,7 +241,7 @@ class Scanner:
         spans = self.chains(matches)
         labels = {label for _, label in base}
         score = 1.0 if base else max((s[4] / self.sizes[s[1]] for s in spans), default=0.0)
-        spans = [s for s in spans if s[4] >= self.min_cover * self.sizes[s[1]]]
+        spans = [s for s in spans if s[4] >= self.need[s[1]]]
         return (
             len(words),
             len(base),
@@ -188,30 +254,40 @@ class Scanner:
         )
 
     def chains(self, matches) -> list[tuple]:
-        """Matches of one template that follow each other with small gaps in both texts, as spans."""
-        done, open_ = [], {}
+        """The chains of matches per template that cover most, as spans that do not overlap.
+
+        Matches of a chain follow each other in the text and in the template, with gaps of at most ``max_gap`` words;
+        what two of them share counts once. Of each template the best chain is given, and others beside it that
+        cover enough.
+        """
+        places: dict[int, list[tuple[int, int, int]]] = {}
         for start, size, state in matches:
             for number, end in self.automaton.ends[state]:
-                if number >= self.n_templates:
-                    continue
-                begin = end - size
-                chain = open_.get(number)
-                if chain:
-                    stop, at = chain["stop"], chain["at"]
-                    skip = max(0, stop - start, at - begin)  # overlap with what the chain has
-                    if (
-                        skip < size
-                        and start + skip - stop <= self.max_gap
-                        and begin + skip - at <= self.max_gap
-                    ):
-                        chain |= {"stop": start + size, "at": end, "covered": chain["covered"] + size - skip}
-                        continue
-                    done.append((number, chain))
-                open_[number] = {"start": start, "stop": start + size, "at": end, "covered": size}
-        done += open_.items()
-        return sorted(
-            (self.labels[n], n, c["start"], c["stop"], c["covered"]) for n, c in done
-        )
+                if number < self.n_templates:
+                    places.setdefault(number, []).append((start, end - size, size))
+        return sorted(span for number, found in places.items() for span in self._best(number, sorted(found)))
+
+    def _best(self, number: int, found: list[tuple[int, int, int]]) -> list[tuple]:
+        best: list[tuple[int, int]] = []  # words covered by the best chain up to a match, and where that begins
+        near: list[int] = []  # matches that end late enough to be followed
+        for i, (start, begin, size) in enumerate(found):
+            near = [j for j in near if found[j][0] + found[j][2] + self.max_gap >= start]
+            covered, first = size, start
+            for j in near:
+                stop, at = found[j][0] + found[j][2], found[j][1] + found[j][2]
+                skip = max(0, stop - start, at - begin)  # what the chain has already
+                gaps = start + skip - stop, begin + skip - at
+                if skip < size and max(gaps) <= self.max_gap and best[j][0] + size - skip > covered:
+                    covered, first = best[j][0] + size - skip, best[j][1]
+            best.append((covered, first))
+            near.append(i)
+        spans: list[tuple] = []
+        for (covered, first), (start, _, size) in sorted(zip(best, found), key=lambda x: (-x[0][0], x[0][1], x[1])):
+            if spans and covered < self.need[number]:
+                break
+            if all(start + size <= s[2] or first >= s[3] for s in spans):
+                spans.append((self.labels[number], number, first, start + size, covered))
+        return spans
 
 
 def license_scan(
@@ -223,18 +299,20 @@ def license_scan(
     max_gap: int = 3,
     min_cover: float = 0.75,
     keep: tuple[str, ...] = ("doc_id",),
+    tags=TAGS,
 ) -> DataFrame:
     """The licences named in each text: one row per input row, with the columns of ``keep``.
 
     ``n_base``, ``first_word``, ``last_word`` and ``base_labels`` speak of the phrases alone; ``labels``
-    also has the labels of templates of which a chain of matches covers ``min_cover`` of the words.
+    also has the labels of templates of which a chain of matches covers ``min_cover`` of the words, and of licence
+    tags (``SPDX-License-Identifier: ...``) that stand whole.
     ``score`` is 1 where a phrase stands, else the largest covered share of any template.
 
     Null and empty texts give no words, no labels and score 0; repeated rows are scanned each on their
     own; an empty table gives an empty table; other columns are not read. A row is streamed word by word,
     so its cost follows its length. Nothing is shuffled.
     """
-    scanner = Scanner(templates, BASE_PHRASES if phrases is None else phrases, min_match, max_gap, min_cover)
+    scanner = Scanner(templates, BASE_PHRASES if phrases is None else phrases, min_match, max_gap, min_cover, tags)
 
     @F.pandas_udf(SCHEMA)
     def scan(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -106,6 +107,75 @@ def test_query_covers_the_whole_table(spark, data):
 
 @pytest.mark.parametrize("gap, label", [(2, "bsd"), (30, "")])
 def test_chains_allow_small_gaps_only(spark, gap, label):
-    text = dict(L.TEMPLATES)["bsd"].split()
+    text = next(t for label, t in L.TEMPLATES if label == "bsd").split()
     cut = text[:11] + ["x"] * gap + text[11:]
     assert by_id(L.license_scan(docs_of(spark, [" ".join(cut)])))[0].labels == label
+
+
+def covered_by_search(words, template, min_match, max_gap):
+    """Most words that any chain of maximal common runs covers, by trying all chains."""
+    n = len(template)
+    runs = []
+    for i in range(len(words)):
+        for j in range(n):
+            if words[i] == template[j] and (i == 0 or j == 0 or words[i - 1] != template[j - 1]):
+                size = 0
+                while i + size < len(words) and j + size < n and words[i + size] == template[j + size]:
+                    size += 1
+                if size >= min_match:
+                    runs.append((i, j, size))
+    runs.sort()
+
+    def grow(at, stop, end, covered):
+        best = covered
+        for k in range(at, len(runs)):
+            i, j, size = runs[k]
+            skip = max(0, stop - i, end - j)
+            if skip < size and i + skip - stop <= max_gap and j + skip - end <= max_gap:
+                best = max(best, grow(k + 1, i + size, j + size, covered + size - skip))
+        return best
+
+    return max((grow(k + 1, i + s, j + s, s) for k, (i, j, s) in enumerate(runs)), default=0)
+
+
+def test_chains_are_the_best_ones():
+    rng = random.Random(3)
+    for _ in range(400):
+        template = [rng.choice("abcdefgh") for _ in range(rng.randrange(3, 12))]
+        words = list(template)
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(words) + 1)
+            words[at : at + rng.randrange(2)] = [rng.choice("abcdefghxyz") for _ in range(rng.randrange(3))]
+        words = [rng.choice("abx") for _ in range(rng.randrange(3))] + words
+        scanner = L.Scanner((("t", " ".join(template)),), {}, 2, 3, 0.75, {})
+        score = scanner.scan(" ".join(words))[6]
+        longest = covered_by_search(words, template, 2, 3) / len(template)
+        # the automaton gives the longest run that ends at a place, so a chain of shorter ones may cover more
+        assert score <= longest + 1e-9
+        spans = scanner.scan(" ".join(words))[7]
+        assert all(a[3] <= b[2] for a, b in zip(spans, spans[1:]))
+        simple = len(set(template)) == len(template)
+        if simple:
+            assert abs(score - longest) < 1e-9
+
+
+def test_words_of_the_template_in_a_gap_do_not_break_a_chain(spark):
+    text = next(t for label, t in L.TEMPLATES if label == "bsd").split()
+    for foreign in ("and use", "x y", "in source", "of conditions"):
+        cut = " ".join([*text[:12], *foreign.split(), *text[12:]])
+        found = by_id(L.license_scan(docs_of(spark, [cut])))[0]
+        assert found.labels == "bsd" and found.score == 1.0
+
+
+@pytest.mark.parametrize("label, text", L.TEMPLATES)
+def test_every_notice_is_labelled(label, text):
+    scanner = L.Scanner(L.TEMPLATES, L.BASE_PHRASES, 2, 3, 0.75)
+    said = text.replace(" ", ", ").title()
+    assert label in scanner.scan(f"Some file. {said}. And more of it.")[5].split(",")
+
+
+@pytest.mark.parametrize("name, label", L.TAGS.items())
+def test_tags_are_labelled_whole(name, label):
+    scanner = L.Scanner(L.TEMPLATES, L.BASE_PHRASES, 2, 3, 0.75)
+    assert label in scanner.scan(f"// SPDX-License-Identifier: {name.replace(' ', '-').upper()}")[5].split(",")
+    assert scanner.scan("// SPDX-License-Identifier: Other")[5] == ""
