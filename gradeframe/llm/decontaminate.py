@@ -17,6 +17,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 23
 BLOCKS = 8
+#: Items with at most this share of different shingles are repetitive.
+REPETITIVE = 0.75
 
 
 def shingles_of(text: str, size: int = SHINGLE) -> Column:
@@ -90,30 +92,44 @@ def block_values(fp: str, blocks: int, near: int) -> Column:
     )
 
 
-def contaminated(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    similarity: float = SIMILARITY,
-    shingle: int = SHINGLE,
-    radius: int = RADIUS,
-    blocks: int = BLOCKS,
-) -> DataFrame:
+def text_key() -> Column:
+    """Two hashes by which a text is known: equal texts have equal windows."""
+    return F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``doc_id, item_id, similarity, start, distance``: the best window of each document for each item.
 
     A window starts at a shingle that the item has: moving it forward to the first such one loses nothing.
     Similarity is the weighted Jaccard similarity of word shingles, a shingle's weight being the number of
     times that it stands in the window or item. Fingerprints within ``radius`` bits differ by at most
     ``radius // blocks`` bits in one of the blocks, so none of them is missed; the default radius is wide
-    enough that windows of the asked similarity stay within it but for odds of about one in 10**5.
+    enough that windows of the asked similarity stay within it but for odds of about one in 10**5, where most
+    shingles of an item are different ones. In a repetitive item a few shingles that stand once more or less often can
+    turn the whole fingerprint: its windows are found by the shingle that they start with instead, which
+    is exact.
 
     Null and empty texts and items of less than ``shingle`` words match nothing. Equal texts are searched once
     and reported for each row; equal items are reported each; rows that are equal in id and text are
     reported once; of equally similar windows the first counts. Empty tables give an empty table;
     other columns are not read.
     """
-    # texts are known by two hashes: equal texts have equal windows
-    key = F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
-    texts = docs.select(key.alias("text_key"), shingles_of("text", shingle).alias("shingles"))
+    best = contaminated_texts(docs, benchmark, **options)
+    # hashes of whole texts only, so that no text is moved
+    rows = docs.select("doc_id", text_key().alias("text_key")).distinct()
+    return rows.join(best, "text_key").select("doc_id", "item_id", "similarity", "start", "distance")
+
+
+def contaminated_texts(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    similarity: float = SIMILARITY,
+    shingle: int = SHINGLE,
+    radius: int = RADIUS,
+    blocks: int = BLOCKS,
+) -> DataFrame:
+    """``text_key, item_id, similarity, start, distance``: the best window of each text for each item."""
+    texts = docs.select(text_key().alias("text_key"), shingles_of("text", shingle).alias("shingles"))
     items = benchmark.select("item_id", shingles_of("text", shingle).alias("shingles"))
     items = written(items.select("item_id", "shingles", F.size("shingles").alias("n")), "benchmark-items")
     items = written(items.where("n > 0").withColumn("fp", simhash("shingles")), "benchmark-prints")
@@ -139,8 +155,13 @@ def contaminated(
         .withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("window_fp"))).cast("int"))
         .where(F.col("distance") <= radius)
         .select("text_key", "n", "start", "item_id", "distance")
-        .distinct()
     )
+    repetitive = items.where(F.size(F.array_distinct("shingles")) <= REPETITIVE * F.col("n"))
+    first = repetitive.select("item_id", "n", "fp", F.explode(F.array_distinct("shingles")).alias("hash"))
+    first = small_side(written(first, "repetitive-items"))
+    exact = windows.withColumn("hash", F.get("window", F.lit(0))).join(first, ["n", "hash"])
+    distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("window_fp"))).cast("int").alias("distance")
+    pairs = pairs.unionByName(exact.select("text_key", "n", "start", "item_id", distance)).distinct()
     shared = overlap("window", "shingles")
     checked = (
         pairs.join(windows.select("text_key", "n", "start", "window"), ["text_key", "n", "start"])
@@ -152,23 +173,22 @@ def contaminated(
     )
     order = F.struct((-F.col("similarity")).alias("less"), "start", "distance")
     best = checked.groupBy("text_key", "item_id").agg(F.min(order).alias("best"))
-    best = best.select(
+    return best.select(
         "text_key",
         "item_id",
         (-F.col("best.less")).alias("similarity"),
         F.col("best.start").alias("start"),
         F.col("best.distance").alias("distance"),
     )
-    # hashes of whole texts only, so that no text is moved
-    rows = docs.select("doc_id", key.alias("text_key")).distinct()
-    return rows.join(best, "text_key").select("doc_id", "item_id", "similarity", "start", "distance")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without a window similar to a benchmark item, with all their columns.
 
-    Rows with a null id are kept. See ``contaminated`` for all other cases.
+    Rows are judged by their text, with or without an id. See ``contaminated`` for all other cases.
     """
-    found = contaminated(docs, benchmark, **options).select("doc_id").distinct()
-    found = written(found, "leaks")
-    return docs.join(small_side(found), "doc_id", "left_anti").select(*docs.columns)
+    found = contaminated_texts(docs, benchmark, **options).select("text_key.*").distinct()
+    found = written(found.select(F.col("a").alias("_a"), F.col("b").alias("_b")), "leaks")
+    rows = docs.select(F.struct("*").alias("_row"), text_key().alias("_key"))
+    rows = rows.select("_row", F.col("_key.a").alias("_a"), F.col("_key.b").alias("_b"))
+    return rows.join(small_side(found), ["_a", "_b"], "left_anti").select("_row.*")
