@@ -24,6 +24,8 @@ from gradeframe.llm.storage import reliable_checkpoint, written
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
+#: Stands with a hash of the text for a null id; ids of documents are smaller.
+NO_ID = 1 << 62
 SHARD_ROWS = 2048
 _CHUNK = 1 << 16
 
@@ -228,17 +230,21 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shard_rows: int = SHA
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The rows of ``docs`` that have the smallest id of their component, with all their columns.
 
-    Of rows that repeat such an id one stays; rows with a null id stay all. See ``near_duplicates`` for the rest.
+    Of rows that repeat such an id one stays. Rows with a null id are judged like others, after all rows with
+    an id: they go if a document with an id is in reach, and of some without one stays. See ``near_duplicates`` for
+    the rest.
     """
-    found = near_duplicates(docs, radius, shard_rows).where("doc_id is not null").groupBy("doc_id")
+    own = F.lit(NO_ID) + F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1))
+    rows = docs.select(F.struct("*").alias("_row"), F.coalesce("doc_id", own).alias("doc_id"), "text")
+    found = near_duplicates(rows, radius, shard_rows).groupBy("doc_id")
     # an id that is repeated with different texts goes if any of its rows has a smaller id in reach
     found = found.agg(F.min("component_id").alias("low"), F.count("*").alias("times"))
     found = written(found.where("low < doc_id or times > 1"), "near-duplicates")
     gone = small_side(found.where("low < doc_id").select("doc_id"))
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = rows.join(gone, "doc_id", "left_anti")
     repeated = found.where("low >= doc_id").select("doc_id")
     if repeated.isEmpty():
-        return kept
+        return kept.select("_row.*")
     repeated = small_side(repeated)
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("_row.*")
+    return kept.join(repeated, "doc_id", "left_anti").select("_row.*").unionByName(once)
