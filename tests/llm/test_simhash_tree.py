@@ -113,9 +113,10 @@ def test_edge_cases(spark):
     assert S.drop_near_duplicates(empty).count() == 0
     kept = S.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
-    assert sorted(kept.collect(), key=str) == sorted(
-        [(10, "same words in all", 1, 2), (11, None, 1, 2), (None, "same words in all", 1, 2)], key=str
-    )
+    # the copy without an id goes as well
+    assert sorted(kept.collect(), key=str) == sorted([(10, "same words in all", 1, 2), (11, None, 1, 2)], key=str)
+    alone = spark.createDataFrame([(None, "own words of it"), (None, "own words of it")], "doc_id long, text string")
+    assert S.drop_near_duplicates(alone).count() == 1
 
 
 def test_all_null_ids(spark):
