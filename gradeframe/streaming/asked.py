@@ -2,45 +2,26 @@
 
 import json
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
+from gradeframe.operators.joins import is_small
 from gradeframe.sources import snapshots as P
 
-ASKED, FAILED, GOOD = 0, 1, 2
-STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+_OUTCOMES = "_outcomes"
+#: Where a result was kept; the outcomes of one folder may be told more than once.
+_PLACE = [StructField("run", LongType()), StructField("origin", StringType()), StructField("part", LongType())]
 
 
-class AskOnce(StatefulProcessor):
-    """Lets the first row of a key through, and later ones only after its answer was found to have failed."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.status = handle.getValueState("status", StructType([StructField("status", IntegerType())]))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        status = self.status.get()[0] if self.status.exists() else None
-        before, first = status, None
-        for row in rows:
-            if row["good"] is None:
-                first = first or row["input"]
-            elif status != GOOD:
-                status = GOOD if row["good"] else FAILED
-        if first is not None and status in (None, FAILED):
-            status = ASKED
-            yield Row(**first)  # a struct arrives as a dict
-        if status is not None and status != before:
-            self.status.update((status,))
-
-    def close(self) -> None:
-        pass
-
-
-def record_outcomes(spark: SparkSession, path: str, key: Sequence[str], is_open) -> str:
-    """Narrow rows (key, good) of the result folders that were not recorded before; returns where all of them are.
+def record_outcomes(spark: SparkSession, path: str, key: Sequence[str], is_open) -> None:
+    """Narrow rows (key, good, place) of the result folders that were not recorded before.
 
     Every result folder is read for this once, when a stream starts and not by its batches. A run that dies
     between the two writes records some outcomes twice, which changes nothing.
@@ -54,42 +35,60 @@ def record_outcomes(spark: SparkSession, path: str, key: Sequence[str], is_open)
     if new:
         rows = P.read_snapshot(spark, path, new)
         mark = uuid.uuid4().hex
-        rows.select(*key, (~is_open(rows)).alias("good")).write.parquet(f"{path}/_outcomes/{mark}")
+        place = [F.col(f.name).cast(f.dataType).alias(f"_{f.name}") for f in _PLACE]
+        told = rows.select(*key, (~is_open(rows)).alias("_good"), *place)
+        told.write.parquet(f"{path}/{_OUTCOMES}/{mark}")
         files.put_new(f"_seen/{mark}.json", json.dumps(new))
-    return f"{path}/_outcomes/*"
 
 
-def to_ask(rows: DataFrame, outcomes: str, key: Sequence[str]) -> DataFrame:
-    """Rows of a stream whose key was not asked yet, or failed; ``outcomes`` are read as a stream beside it.
+def known_keys(schema: StructType, path: str, key: Sequence[str], spark: SparkSession, kept: str) -> DataFrame | None:
+    """``key, _good, _round`` of every key with a recorded outcome: whether any was good, and how many folders hold a
+    failure of it. Written to ``kept``, as all batches of a start read it; none where nothing was recorded."""
+    if not P.files_of(spark, path).find(f"{_OUTCOMES}/*"):
+        return None
+    place = [StructField(f"_{f.name}", f.dataType) for f in _PLACE]
+    kind = StructType([*(schema[k] for k in key), StructField("_good", BooleanType()), *place])
+    told = spark.read.schema(kind).parquet(f"{path}/{_OUTCOMES}/*")
+    folder = F.struct(*(F.coalesce(F.col(f.name).cast("string"), F.lit("")).alias(f.name) for f in place))
+    known = told.groupBy(*key).agg(
+        F.bool_or("_good").alias("_good"), F.count_distinct(F.when(~F.col("_good"), folder)).alias("_round")
+    )
+    known.write.mode("overwrite").parquet(kept)
+    return spark.read.schema(known.schema).parquet(kept)
+
 
-    All columns must be of types that rows carry to Python unchanged. The state is a small number per key.
+def to_ask(rows: DataFrame, known: DataFrame | None, key: Sequence[str]) -> DataFrame:
+    """Rows of a stream whose key was not asked yet, or failed.
+
+    A key is asked once a round, and every failure that is known opens a new round. The state is the key and the
+    number of its round; what is known is joined to the rows of a batch.
     """
-    spark, key = rows.sparkSession, list(key)
-    known = StructType([rows.schema[k] for k in key] + [StructField("good", BooleanType())])
-    inputs = rows.select(*key, F.struct(*rows.columns).alias("input"), F.lit(None).cast("boolean").alias("good"))
-    told = spark.readStream.schema(known).parquet(outcomes)
-    told = told.select(*key, F.lit(None).cast(inputs.schema["input"].dataType).alias("input"), "good")
-    return (
-        inputs.unionByName(told.where("good IS NOT NULL"))
-        .groupBy(*key)
-        .transformWithState(
-            statefulProcessor=AskOnce(), outputStructType=rows.schema, outputMode="append", timeMode="none"
-        )
-    )
+    key = list(key)
+    if known is None:
+        dealt = rows.withColumn("_round", F.lit(0).cast("long"))
+    else:
+        told = known.select(*(F.col(k).alias(f"_known_{k}") for k in key), "_good", F.col("_round").alias("_failures"))
+        told = F.broadcast(told) if is_small(told) else told.hint("merge")
+        same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_known_{k}")) for k in key))
+        open_ = rows.join(told, same, "left").where(~F.coalesce("_good", F.lit(False)))
+        dealt = open_.select(*rows.columns, F.coalesce("_failures", F.lit(0).cast("long")).alias("_round"))
+    return dealt.dropDuplicates([*key, "_round"]).select(*rows.columns)
 
 
 class state_in_rocks:
-    """The state store that keyed state needs, set while a query is started."""
+    """The state store that keeps large state on disk and commits what a batch changed, set while a query is started."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
 
     def __enter__(self) -> None:
-        self.before = self.spark.conf.get(STATE_STORE, None)
-        self.spark.conf.set(STATE_STORE, ROCKS)
+        self.before = {name: self.spark.conf.get(name, None) for name in STATE_STORE}
+        for name, value in STATE_STORE.items():
+            self.spark.conf.set(name, value)
 
     def __exit__(self, *_) -> None:
-        if self.before is None:
-            self.spark.conf.unset(STATE_STORE)
-        else:
-            self.spark.conf.set(STATE_STORE, self.before)
+        for name, value in self.before.items():
+            if value is None:
+                self.spark.conf.unset(name)
+            else:
+                self.spark.conf.set(name, value)

@@ -15,7 +15,7 @@ from gradeframe.operators.rollouts import reward_report, with_reward
 from gradeframe.schemas import require_columns
 from gradeframe.sources import snapshots
 from gradeframe.sources.tables import append_results, read_results
-from gradeframe.streaming.asked import record_outcomes, state_in_rocks, to_ask
+from gradeframe.streaming.asked import known_keys, record_outcomes, state_in_rocks, to_ask
 
 Job = Callable[[DataFrame], DataFrame]
 
@@ -112,11 +112,13 @@ def stream_incremental(
     Each micro-batch has a folder of its own, named after the checkpoint; a batch that is replayed after its
     folder was kept is not asked again, and touches no other run. With ``key`` and ``output`` the stream keeps a state
     per key: a key is asked once, and again in a later start if its answer failed; keys with a good result from
-    another run are not asked. What the results say is read when the stream starts, by its batches never. A
-    key that ``job`` gives no row for counts as asked. Start it again with the same checkpoint for later files.
+    another run are not asked. Results are read when the stream starts, by its batches never; these join one
+    narrow row for each key that had a result then. A key that ``job`` gives no row for counts as asked. Start it
+    again with the same checkpoint for later files.
     """
     keyed = bool(key and output)
-    outcomes = record_outcomes(spark, path, key, lambda rows: _open(rows, output, retry)) if keyed else ""
+    if keyed:
+        record_outcomes(spark, path, key, lambda rows: _open(rows, output, retry))
     stream = (
         spark.readStream.schema(schema)
         .option("pathGlobFilter", pattern)
@@ -125,12 +127,14 @@ def stream_incremental(
     )
     rows = ready(stream) if ready else stream
     if keyed:
-        rows = to_ask(rows, outcomes, key)
+        rows = to_ask(rows, known_keys(rows.schema, path, key, spark, f"{checkpoint}/_known"), key)
     origin = f"stream-{sha256(checkpoint.encode()).hexdigest()[:32]}"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         if f"run={batch_id}/origin={origin}/part=0" not in (snapshots.folders(spark, path) or []):
-            append_results(job(batch), path, batch_id, origin)
+            # a task takes up several partitions of the state: each task starts a model, and a batch may be small
+            rows = batch.coalesce(spark.sparkContext.defaultParallelism) if keyed else batch
+            append_results(job(rows), path, batch_id, origin)
 
     with state_in_rocks(spark):
         return (

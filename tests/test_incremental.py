@@ -231,3 +231,38 @@ def test_a_batch_that_was_kept_is_not_asked_again(spark, tmp_path):
         shutil.move(tmp_path / "progress" / "commits" / name, tmp_path / f"moved{name}")
     keyed_stream(spark, tmp_path, table.schema, job)
     assert sum(asked) == 1 and I.newest(spark, path, ["k"], "g").count() == 1
+
+
+def test_keys_are_told_apart_without_python_and_failures_open_one_round_each(spark, tmp_path, capsys):
+    from conftest import plan_of
+
+    from gradeframe.streaming import asked as A
+
+    table = spark.createDataFrame([(None, "p"), (1, "p"), (2, "p"), (3, "p")], "k int, p string")
+    source, path = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def some(df):
+        return df.select("k", F.when(F.col("k") == 1, "Error: x").otherwise("ok").alias("g"))
+
+    I.run_incremental(table.filter("k IS NULL OR k = 1"), path, some, ["k"], "g")
+    # a run that died between its two writes tells its outcomes again
+    A.record_outcomes(spark, path, ["k"], lambda rows: F.col("g").startswith("Error"))
+    for marker in (tmp_path / "out" / "_seen").iterdir():
+        marker.rename(tmp_path / marker.name)
+    rounds = []
+    for _ in range(3):
+        asked = []
+
+        def job(df):
+            asked.extend(r.k for r in df.collect())
+            return df.select("k", F.lit("Error: x" if len(rounds) == 0 else "ok").alias("g"))
+
+        table.write.mode("append").parquet(source)
+        keyed_stream(spark, tmp_path, table.schema, job)
+        rounds.append(sorted(asked))
+    assert rounds == [[1, 2, 3], [1, 2, 3], []]
+    known = A.known_keys(table.schema, path, ["k"], spark, str(tmp_path / "known"))
+    assert {r.k: (r._good, r._round) for r in known.collect()} == {None: (True, 0), 1: (True, 2), 2: (True, 1), 3: (True, 1)}
+    stream = spark.readStream.schema(table.schema).parquet(source)
+    plan = plan_of(A.to_ask(stream, known, ["k"]), capsys)
+    assert "StreamingDeduplicate" in plan and "Python" not in plan and "TransformWithState" not in plan
