@@ -25,14 +25,20 @@ def prompt_id(prompt: Column) -> Column:
 
 def stored_answers(spark: SparkSession, store: str, model: str) -> DataFrame | None:
     """``prompt_id, sample, generation, elapsed`` of a model: the newest good answer of each, else its newest error."""
-    rows = snapshots.read_snapshot(spark, store)
-    if rows is None:
+    own = _own_rows(spark, store, model)
+    if own is None:
         return None
-    own = rows.where(F.col("model") == model)
-    found = latest_results(own, STORE_KEY, is_error(F.col("generation")), snapshots.PLACE)
+    # dealt by prompt once: the newest of each sample, the samples of a prompt and joins by prompt need no other shuffle
+    dealt = own.repartition("prompt_id")
+    found = latest_results(dealt, STORE_KEY, is_error(F.col("generation")), snapshots.PLACE)
     return found.select("prompt_id", "sample", "generation", "elapsed")
 
 
+def _own_rows(spark: SparkSession, store: str, model: str) -> DataFrame | None:
+    rows = snapshots.read_snapshot(spark, store)
+    return None if rows is None else rows.where(F.col("model") == model)
+
+
 def compact_answers(spark: SparkSession, store: str) -> None:
     """The store as one folder with the newest good answer of each prompt, model and sample."""
     snapshots.compact(spark, store, STORE_KEY, lambda rows: is_error(F.col("generation")))
@@ -92,7 +98,9 @@ def ask_once(
     found = stored_answers(spark, store, model).where(F.col("sample") < n)
     texts = F.sort_array(F.collect_list(F.struct("sample", "generation")))["generation"]
     arrays = found.groupBy("prompt_id").agg(texts.alias(out)).withColumnRenamed("prompt_id", "_prompt_id")
-    return lookup_join(keyed.drop(out), arrays, ["_prompt_id"], "left").drop("_prompt_id")
+    # the rows behind the arrays are measured, which shuffles nothing
+    rows = _own_rows(spark, store, model).where(F.col("sample") < n).select("prompt_id", "generation")
+    return lookup_join(keyed.drop(out), arrays, ["_prompt_id"], "left", measure=rows).drop("_prompt_id")
 
 
 def _next_run(spark: SparkSession, store: str) -> int:

@@ -86,3 +86,16 @@ def test_generation_with_balanced_tasks(spark):
     plain = generate(table, "p", model, 2)
     spread = generate(table, "p", model, 2, partitions=5, balance=True)
     assert rows(plain.select("id", "generation")) == rows(spread.select("id", "generation"))
+
+
+def test_stored_answers_are_shuffled_once(spark, tmp_path, capsys):
+    from conftest import plan_of
+
+    from gradeframe.catalog import stubs
+
+    store = str(tmp_path / "once")
+    df = spark.createDataFrame([(i, f"p{i % 7}") for i in range(20)], "k int, p string")
+    got = A.ask_once(df, "p", stubs.number_model, store, "stub", 2)
+    assert got.count() == 20 and got.where("size(generation) = 2").count() == 20
+    arrays = A.stored_answers(spark, store, "stub").groupBy("prompt_id").agg(F.collect_list("generation"))
+    assert plan_of(arrays, capsys).count("Exchange hashpartitioning") == 1
