@@ -256,3 +256,46 @@ def test_main_path_runs_no_python(spark, data, capsys):
 
     plan = plan_of(entry.queries()["op8_line_dedup"](spark, data), capsys)
     assert "Python" not in plan and "Pandas" not in plan and "Nested" not in plan and "Cartesian" not in plan
+
+
+def scattered(line, rng, share=0.1):
+    """As many letters changed as the similarity allows, over the whole line, so that hardly a word stays."""
+    out, most = list(line), int(share * len(line))
+    for k in range(most):
+        out[k * len(line) // most + rng.randrange(2)] = rng.choice("0123456789")
+    return "".join(out).strip(" ")
+
+
+def test_alike_lines_without_a_common_bucket(spark):
+    rng = random.Random(12)
+    lines = [norm(" ".join(words(n, n, 3000))) for n in (2, 3, 4, 6, 9, 15, 30, 60, 110, 140, 400)]
+    lines += ["".join(chr(0x4E00 + rng.randrange(500)) for _ in range(n)) for n in (12, 45, 300, 700)]
+    pairs = [(l, scattered(l, rng)) for l in lines]
+    pairs = [(a, b) for a, b in pairs if a != b and edit_distance(a, b) <= int(0.1 * max(len(a), len(b)) + 1e-9)]
+    assert len(pairs) >= 13 and not all(meeting(spark, pairs))
+    rows = [(i, text) for i, text in enumerate(t for pair in pairs for t in pair)]
+    got = found(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r[0]: r[3] for r in got} == {i: i % 2 for i in range(len(rows))}
+
+
+def test_removed_lines_are_those_of_all_pairs(spark, data):
+    """Exactly the lines that edit similarity of all pairs and nothing else removes."""
+    rows = varied(5, 40)
+    rng = random.Random(13)
+    rows += [(100 + i, "\n".join(scattered(norm(l), rng) for l in t.split("\n"))) for i, t in rows[:15]]
+    for similarity in (0.9, 0.7):
+        want = restated(rows, groups_of(lines_in(rows), similarity))
+        got = found(spark.createDataFrame(rows, "doc_id long, text string"), similarity=similarity)
+        assert [(r[0], r[2], r[3]) for r in sorted(got)] == [(r[0], r[2], r[3]) for r in want]
+    docs = spark.read.parquet(f"{data}/documents.parquet").where("doc_id < 60 and length(text) < 3000").cache()
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    removed, wanted = check_against(rows, found(docs))
+    assert removed == wanted
+
+
+def test_pairs_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(L, "BLOCK_ROWS", 7)
+    rows = varied(6, 30)
+    want = restated(rows, groups_of(lines_in(rows)))
+    got = found(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [(r[0], r[3]) for r in sorted(got)] == [(r[0], r[3]) for r in want]
