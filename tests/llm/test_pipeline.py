@@ -89,3 +89,11 @@ def test_rows_without_ids_and_clashing_columns(spark, data):
     long = spark.createDataFrame([(i, "word " * 5_000 + str(i), "en", "s", 1) for i in range(2)], docs.schema)
     for name, stage in pipeline.STAGES[:4]:
         assert written(stage(spark, long, data), f"test-long-{name}").count() <= 2
+
+
+def test_line_stage_leaves_out_no_alike_line(spark):
+    """Lines with a changed letter in nearly every word share no bucket."""
+    line = " ".join(f"word{i}x{i * 7919 % 1000}" for i in range(40))
+    other = "".join("q" if i % 11 == 5 and c != " " else c for i, c in enumerate(line))
+    docs = docs_of(spark, [line, f"{other}\nanother line of this text"])
+    assert texts(pipeline.without_repeated_lines(spark, docs, "")) == {0: line, 1: "another line of this text"}
