@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LEAF_BYTES = 512
 PART_CHARS = 1 << 16
+#: Pre-tokens up to this are merged without a heap.
+SHORT_BYTES = 48
 
 
 def _byte_letters() -> dict[str, int]:
@@ -51,6 +53,10 @@ class Encoder:
         for order, pair in enumerate(file["model"]["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             self.rank[ids[left], ids[right]] = (order, ids[left + right])
+        #: The same by their order alone, and what the merge of each order makes.
+        self.order = {pair: order for pair, (order, _) in self.rank.items()}
+        self.merged = dict(self.rank.values())
+        self.no_order = 1 + max(self.merged, default=0)
         self.added = {t["content"]: t["id"] for t in file.get("added_tokens") or []}
         self.bytes_of |= {number: text.encode() for text, number in self.added.items()}
         longest = sorted(self.added, key=len, reverse=True)
@@ -59,8 +65,28 @@ class Encoder:
         self.leaf_bytes, self.window = max(2, leaf_bytes), max(2, window)
         self.known = _Words(self)
 
+    def merge_short(self, data: bytes) -> list[int]:
+        """Merges applied by rank, leftmost first, with the orders of all joins in a list: cheaper for few bytes."""
+        get, merged, none = self.order.get, self.merged, self.no_order
+        ids = [self.byte_id[b] for b in data]
+        orders = [get(pair, none) for pair in zip(ids, ids[1:])]
+        while orders:
+            low = min(orders)
+            if low == none:
+                break
+            at = orders.index(low)
+            ids[at : at + 2] = [merged[low]]
+            del orders[at]
+            if at:
+                orders[at - 1] = get((ids[at - 1], ids[at]), none)
+            if at < len(orders):
+                orders[at] = get((ids[at], ids[at + 1]), none)
+        return ids
+
     def merge(self, data: bytes) -> list[int]:
         """Merges applied by rank, leftmost first, with a heap over the joins of a linked list."""
+        if len(data) <= SHORT_BYTES:
+            return self.merge_short(data)
         ids = [self.byte_id[b] for b in data]
         n, rank = len(ids), self.rank
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -176,16 +202,20 @@ class Encoder:
 
 
 class _Words(dict):
-    """Encodings of pre-tokens, kept up to a bounded number."""
+    """Encodings of pre-tokens, kept up to a bounded number; those used since the last bound stay for another one."""
 
     def __init__(self, encoder: Encoder):
         super().__init__()
         self.encoder = encoder
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = tuple(self.encoder.tree(word.encode("utf-8", "surrogatepass")))
+        ids = self.older.get(word)
+        if ids is None:
+            ids = tuple(self.encoder.tree(word.encode("utf-8", "surrogatepass")))
         if len(word) <= 64:
             if len(self) >= 100_000:
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids

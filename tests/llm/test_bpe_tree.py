@@ -85,3 +85,18 @@ def test_long_texts_and_edge_cases(spark, part_chars):
     for r in rows:
         assert list(r.ids) == public(r.text) and r.again == (r.text or "") and r.part == 1
     assert tokenizer.encode(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_short_merges_equal_those_by_heap(monkeypatch):
+    rng = random.Random(9)
+    data = [t.encode()[: rng.randrange(1, 60)] for t in samples(400, 9)] + [b"aaaaaaa", b" the", b""]
+    short = [ENCODER.merge_short(d) for d in data]
+    monkeypatch.setattr(B, "SHORT_BYTES", 0)
+    assert short == [ENCODER.merge(d) for d in data]
+
+
+def test_words_in_use_outlive_the_bound():
+    own = B.Encoder(CONTENT)
+    own.plain("often")
+    own.plain(" ".join(f"x{i}" for i in range(100_001)))
+    assert "often" in own.known.older and len(own.known) <= 100_000
