@@ -24,12 +24,20 @@ from gradeframe.llm.storage import written
 HOT_SHARE = 200_000
 LINKS_PER_BATCH = 500_000
 FIRST_STEPS = 8
-LONG_RUN = re.compile(r"\S{1000}|\s{1000}")
+LONG_RUN = 1000
+LONG_SPACE = re.compile(r"\s{%d}" % LONG_RUN)
 
 _COUNTS = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 _PAIRS = "a array<int>, b array<int>, n array<int>"
 
 
+def has_long_run(text: str) -> bool:
+    """Whether ``text`` holds ``LONG_RUN`` characters without white space, or of white space, in a row."""
+    if len(text) < LONG_RUN:
+        return False
+    return max(map(len, text.split()), default=0) >= LONG_RUN or LONG_SPACE.search(text) is not None
+
+
 def first_difference(x: list, y: list, i: int, j: int) -> int:
     """How many elements of ``x`` from ``i`` on equal those of ``y`` from ``j`` on: slices are doubled, then halved."""
     most = min(len(x) - i, len(y) - j)
@@ -116,6 +124,9 @@ class Sides:
         self.sizes_b = np.array([len(data) for data in self.bytes_b])
         self.names_a = list(map(str, range(len(self.bytes_a))))
         self.names_b = list(map(str, range(len(self.bytes_b))))
+        # with the sign that follows them where tokens stand one to one
+        self.ended_a = [f"{name}|" for name in self.names_a]
+        self.ended_b = [f"{name};" for name in self.names_b]
 
     def _as_ranks(self):
         """A compiled encoder with the same merges, where the ids of merged tokens rise as their merges do."""
@@ -130,7 +141,7 @@ class Sides:
 
     def byte_level(self, text: str) -> np.ndarray:
         # the compiled encoder takes the square of a long unsplit run, the other one does not
-        if self.fast is None or LONG_RUN.search(text):
+        if self.fast is None or has_long_run(text):
             return np.array(self.a.plain(text), np.int32)
         return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.int32)
 
@@ -171,16 +182,21 @@ class Sides:
             return 0, 0, 0, "", a, b
         ends_a, ends_b = self.ends(a, b)
         bounds, left, right = align(ends_a, ends_b)
-        names_a = list(map(self.names_a.__getitem__, a.tolist()))
-        names_b = list(map(self.names_b.__getitem__, b.tolist()))
-        said = []
+        ids_a, ids_b = a.tolist(), b.tolist()
+        ended_a, ended_b = self.ended_a, self.ended_b
+        said, n_groups = [], 0
         for i, i_end, j, j_end in bounds:
             if ends_a[i] == ends_b[j]:
-                said += map("|".join, zip(names_a[i:i_end], names_b[j:j_end]))
+                n_groups += i_end - i
+                for x, y in zip(ids_a[i:i_end], ids_b[j:j_end]):
+                    said.append(ended_a[x])
+                    said.append(ended_b[y])
             else:
-                said.append(f"{','.join(names_a[i:i_end])}|{','.join(names_b[j:j_end])}")
-        written_out = hashlib.sha256(";".join(said).encode()).hexdigest()
-        return len(a), len(b), len(said), written_out, a[left], b[right]
+                n_groups += 1
+                left_names = ",".join(map(self.names_a.__getitem__, ids_a[i:i_end]))
+                said.append(f"{left_names}|{','.join(map(self.names_b.__getitem__, ids_b[j:j_end]))};")
+        written_out = hashlib.sha256("".join(said)[:-1].encode()).hexdigest()
+        return len(a), len(b), n_groups, written_out, a[left], b[right]
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:

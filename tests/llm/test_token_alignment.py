@@ -147,3 +147,9 @@ def test_groups_of_a_text(spark):
     assert sum(g.end_a - g.first_a for g in rows[0].groups) == len(a)
     assert len(rows[0].groups) == brute(texts)[0][2] and rows[0]["_row"] == 2
     assert not rows[1].groups and not rows[2].groups
+
+
+def test_long_runs_are_told_apart():
+    long = ["a" * 1000, "b c " + "é" * 1000 + " d", "a" + " " * 1000 + "b", "\n\x1c" * 500]
+    assert all(map(A.has_long_run, long))
+    assert not any(map(A.has_long_run, ["", "a" * 999, "a" * 999 + " " + "b" * 999, " " * 999 + "x" + " " * 999]))
