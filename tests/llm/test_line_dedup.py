@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from itertools import combinations
@@ -299,3 +300,62 @@ def test_pairs_of_many_blocks(spark, monkeypatch):
     want = restated(rows, groups_of(lines_in(rows)))
     got = found(spark.createDataFrame(rows, "doc_id long, text string"))
     assert [(r[0], r[3]) for r in sorted(got)] == [(r[0], r[3]) for r in want]
+
+
+def test_cells_outnumber_edits():
+    """A line in a band of cells has more of them than edits allowed, and lines below are short ones."""
+    for similarity in (0.89, 0.9, 0.92, 0.95, 0.99):
+        step, first, seeds = L._step(similarity), L._first_band(similarity), L._seeds(similarity)
+        for n in range(2, 5000):
+            band = math.floor(math.log(n) / step)
+            for own in (band, band - 1):
+                if own >= first:
+                    least = math.ceil(math.exp(own * step) - 1e-6)
+                    cell = next(s.letters for s in seeds if least >= s.from_size)
+                    assert n // cell > math.floor((1 - similarity) * n + 1e-9)
+    assert not L._seeds(0.85)
+
+
+def test_cells_find_the_pairs_that_edit_similarity_allows(spark):
+    """Edits at the start, at the end, at equal distances, in a heap and mixed; cells alone, against edit similarity."""
+    rng = random.Random(21)
+
+    def edited(line, where):
+        out = list(line)
+        for at in sorted(where, reverse=True):
+            kind = rng.randrange(3)
+            out[at : at + (kind != 0)] = [rng.choice("xyz0")] * (kind != 2)
+        return "".join(out)
+
+    lines = []
+    for n in (28, 30, 39, 40, 55, 89, 90, 91, 150, 299, 300):
+        line = "".join(rng.choice("aeinrst ") for _ in range(n))
+        most = n // 10
+        places = [range(most), range(n - most, n), range(4, n, 10), range(9, n, 10), range(n // 2, n // 2 + most)]
+        places += [sorted(rng.sample(range(n), most)) for _ in range(6)]
+        lines += [line, *(edited(line, list(p)[:most]) for p in places)]
+    rows = [(i, len(l), i, l) for i, l in enumerate(lines)]
+    df = spark.createDataFrame(rows, "key long, size int, part long, norm string")
+    with L.setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
+        got = {(r.left, r.right) for r in L._by_cells(df, 0.9).collect()}
+    first = L._first_band(0.9) * L._step(0.9)
+    want = set()
+    for (i, a), (k, b) in combinations(enumerate(lines), 2):
+        most = max(len(a), len(b)) // 10
+        if abs(len(a) - len(b)) <= most and math.log(min(len(a), len(b))) >= first and edit_distance(a, b, most) <= most:
+            want.add((i, k))
+    assert len(want) > 100 and want <= got
+
+
+def test_pieces_stay_where_they_were_dealt(spark, tmp_path, capsys):
+    """Lines are shuffled as pieces, cells and places are not; far fewer pairs than those of about a length are left."""
+    from conftest import plan_of
+
+    rows = [(i, 300, i, " ".join(words(60, i, 3000))[:300]) for i in range(400)]
+    df = spark.createDataFrame(rows, "key long, size int, part long, norm string")
+    with L.setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
+        found = L._by_cells(df, 0.9)
+        plan = plan_of(found, capsys)
+        assert found.count() < 40
+    assert plan.count("REPARTITION_BY_COL") == 2 and plan.count("ENSURE_REQUIREMENTS") == 1
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
