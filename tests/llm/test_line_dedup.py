@@ -357,5 +357,19 @@ def test_pieces_stay_where_they_were_dealt(spark, tmp_path, capsys):
         found = L._by_cells(df, 0.9)
         plan = plan_of(found, capsys)
         assert found.count() < 40
-    assert plan.count("REPARTITION_BY_COL") == 2 and plan.count("ENSURE_REQUIREMENTS") == 1
+    assert plan.count("REPARTITION_BY_NUM") == 2 and plan.count("ENSURE_REQUIREMENTS") == 1
     assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
+def test_more_cells_are_shared_by_more_tasks(spark, monkeypatch, capsys):
+    from conftest import plan_of
+
+    rows = [(i, 300, i, " ".join(words(60, i // 2, 3000))[: 300 - i % 2]) for i in range(200)]
+    df = spark.createDataFrame(rows, "key long, size int, part long, norm string")
+    with L.setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
+        whole = sorted(map(tuple, L._by_cells(df, 0.9).collect()))
+        monkeypatch.setattr(L, "TASK_CELLS", 1000)
+        dealt = L._by_cells(df, 0.9)
+        assert sorted(map(tuple, dealt.collect())) == whole
+        assert "place#" in (plan := plan_of(dealt, capsys)) and ", 14), REPARTITION_BY_NUM" in plan
+    assert {(i, i + 1) for i in range(0, 200, 2)} <= set(whole)
