@@ -3,8 +3,9 @@
 Both encodings are kept as arrays of byte ends. From a common end on, exponentially growing slices of both arrays
 are compared at the current shift between their indexes, which jumps whole stretches of tokens that stand one to
 one; where a slice differs, halving finds the first difference. The tokens there are walked to the next common
-end, and the shift follows. How often tokens are linked over the whole corpus is then counted, and every
-document's links are valued by these counts.
+end, and the shift follows. Tokens of either side never cross a single space between two words, so what is known of
+a word from an earlier text is kept, and only the other words of a text are encoded and aligned. How often tokens are
+linked over the whole corpus is then counted, and every document's links are valued by these counts.
 """
 
 import hashlib
@@ -26,6 +27,13 @@ LINKS_PER_BATCH = 500_000
 FIRST_STEPS = 8
 LONG_RUN = 1000
 LONG_SPACE = re.compile(r"\s{%d}" % LONG_RUN)
+#: Words that a worker keeps, in two halves, and the letters of the longest one.
+KEPT_WORDS = 80_000
+KEPT_LETTERS = 48
+#: A space that has no more white space beside it.
+BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+#: White space beside a space.
+WIDE = re.compile(r" \s|[^\S ] ")
 
 _COUNTS = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 _PAIRS = "a array<int>, b array<int>, n array<int>"
@@ -103,6 +111,11 @@ def align(ends_a: list[int], ends_b: list[int]) -> tuple[list[tuple[int, int, in
     return bounds, left, right
 
 
+#: What the tokens of a word and the space before it add to a text's digest: its groups as they are written, its links
+#: as bytes, and the numbers of its tokens on both sides and of its groups.
+Word = tuple[str, bytes, int, int, int]
+
+
 class Sides:
     """Both tokenizers, as ids and byte ends of a text."""
 
@@ -115,6 +128,13 @@ class Sides:
         self.bytes_a = [b""] * (1 + max(self.a.bytes_of))
         for number, data in self.a.bytes_of.items():
             self.bytes_a[number] = data
+        # pieces start at spaces or hold none, and merges by rank (whole scores) go on alike on both sides of a space
+        pieces = range(self.b.get_piece_size())
+        self.by_words = all("▁" not in self.b.id_to_piece(n).lstrip("▁") for n in pieces) and all(
+            self.b.get_score(n).is_integer() for n in pieces
+        )
+        self.used: dict[str, Word] = {}
+        self.before: dict[str, Word] = {}
         self.bytes_b = []
         for number in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(number)
@@ -124,10 +144,6 @@ class Sides:
         self.sizes_b = np.array([len(data) for data in self.bytes_b])
         self.names_a = list(map(str, range(len(self.bytes_a))))
         self.names_b = list(map(str, range(len(self.bytes_b))))
-        # with the sign that follows them where tokens stand one to one
-        self.ended_a = [f"{name}|" for name in self.names_a]
-        self.ended_b = [f"{name};" for name in self.names_b]
-
     def _as_ranks(self):
         """A compiled encoder with the same merges, where the ids of merged tokens rise as their merges do."""
         from tiktoken import Encoding
@@ -175,28 +191,86 @@ class Sides:
                 out.append((i, i_end, j, j_end))
         return out
 
-    def digest(self, text: str | None) -> tuple[int, int, int, str, np.ndarray, np.ndarray]:
-        """Numbers of tokens and groups, the hash of the written groups, and the ids of all links."""
-        a, b = self.encode(text)
-        if not len(a):
-            return 0, 0, 0, "", a, b
+    def _groups(self, a: np.ndarray, b: np.ndarray) -> tuple[list[str], list[int], list[int], list[int]]:
+        """The groups of a text as they are written, their byte ends, and the indexes of all linked tokens."""
         ends_a, ends_b = self.ends(a, b)
         bounds, left, right = align(ends_a, ends_b)
         ids_a, ids_b = a.tolist(), b.tolist()
-        ended_a, ended_b = self.ended_a, self.ended_b
-        said, n_groups = [], 0
+        names_a, names_b = self.names_a, self.names_b
+        said, cuts = [], []
         for i, i_end, j, j_end in bounds:
             if ends_a[i] == ends_b[j]:
-                n_groups += i_end - i
-                for x, y in zip(ids_a[i:i_end], ids_b[j:j_end]):
-                    said.append(ended_a[x])
-                    said.append(ended_b[y])
+                said += [names_a[x] + "|" + names_b[y] for x, y in zip(ids_a[i:i_end], ids_b[j:j_end])]
+                cuts += ends_a[i:i_end]
             else:
-                n_groups += 1
-                left_names = ",".join(map(self.names_a.__getitem__, ids_a[i:i_end]))
-                said.append(f"{left_names}|{','.join(map(self.names_b.__getitem__, ids_b[j:j_end]))};")
-        written_out = hashlib.sha256("".join(said)[:-1].encode()).hexdigest()
-        return len(a), len(b), n_groups, written_out, a[left], b[right]
+                left_names = ",".join(map(names_a.__getitem__, ids_a[i:i_end]))
+                said.append(f"{left_names}|{','.join(map(names_b.__getitem__, ids_b[j:j_end]))}")
+                cuts.append(ends_a[i_end - 1])
+        return said, cuts, left, right
+
+    def _words(self, words: list[str]) -> list[Word] | None:
+        """What is to be known of some words, aligned as one text; none where a side does not give back its bytes."""
+        a, b = self.encode(" ".join(words))
+        if not len(a):
+            return None
+        said, cuts, left, right = self._groups(a, b)
+        left = np.array(left)
+        data = (a[left].astype(np.int64) << 32 | b[right]).tobytes()
+        ends = np.cumsum([1 + (len(w) if w.isascii() else len(w.encode())) for w in words])
+        to_a = 1 + np.searchsorted(np.cumsum(self.sizes_a[a]), ends)
+        to_b = 1 + np.searchsorted(np.cumsum(self.sizes_b[b]), ends)
+        to_link = 8 * np.searchsorted(left, to_a)
+        to_group = 1 + np.searchsorted(np.array(cuts), ends)
+        out, x, g = [], 0, 0
+        sizes = (np.diff(to, prepend=0).tolist() for to in (to_a, to_b, to_group))
+        for n_a, n_b, n_groups, x_end in zip(*sizes, to_link.tolist()):
+            out.append((";".join(said[g : g + n_groups]), data[x:x_end], n_a, n_b, n_groups))
+            x, g = x_end, g + n_groups
+        return out
+
+    def _known(self, words: list[str]) -> list[Word] | None:
+        """All words of a text in order. Those that are met stay when there are too many."""
+        used, before = self.used, self.before
+        known = list(map(used.get, words))
+        places = [at for at, word in enumerate(known) if word is None]
+        missing = []
+        for word in dict.fromkeys([words[at] for at in places]):
+            if word in before:
+                used[word] = before[word]
+            else:
+                missing.append(word)
+        new = {}
+        if missing:
+            found = self._words(missing)
+            if found is None:
+                return None
+            new = dict(zip(missing, found))
+            used.update(new if max(map(len, missing)) <= KEPT_LETTERS else {w: x for w, x in new.items() if len(w) <= KEPT_LETTERS})
+        for at in places:
+            word = words[at]
+            known[at] = used.get(word) or new[word]
+        if len(used) >= KEPT_WORDS // 2:
+            self.used, self.before = {}, used
+        return known
+
+    def digest(self, text: str | None) -> tuple[int, int, int, str, np.ndarray]:
+        """Numbers of tokens and groups, the hash of the written groups, and all links, each as one number."""
+        none = 0, 0, 0, "", np.empty(0, np.int64)
+        if not text:
+            return none
+        if not self.by_words or "▁" in text or text != text.strip():
+            a, b = self.encode(text)
+            if not len(a):
+                return none
+            said, _, left, right = self._groups(a, b)
+            written_out = hashlib.sha256(";".join(said).encode()).hexdigest()
+            return len(a), len(b), len(said), written_out, a[left].astype(np.int64) << 32 | b[right]
+        words = self._known(text.split(" ") if WIDE.search(text) is None else BETWEEN.split(text))
+        if words is None:
+            return none
+        said, links, n_a, n_b, n_groups = zip(*words)
+        written_out = hashlib.sha256(";".join(said).encode()).hexdigest()
+        return sum(n_a), sum(n_b), sum(n_groups), written_out, np.frombuffer(b"".join(links), np.int64)
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -261,9 +335,9 @@ class TokenAligner:
             for batch in batches:
                 start, counts, pairs, held = 0, [], [], 0
                 for at, value in enumerate(batch.column("_text")):
-                    n_a, n_b, n_groups, sha, a, b = sides().digest(value.as_py())
-                    known, n = np.unique(a.astype(np.int64) << 32 | b, return_counts=True)
-                    counts.append((n_a, n_b, n_groups, len(a), sha))
+                    n_a, n_b, n_groups, sha, linked = sides().digest(value.as_py())
+                    known, n = np.unique(linked, return_counts=True)
+                    counts.append((n_a, n_b, n_groups, len(linked), sha))
                     pairs.append((known >> 32, known & 0xFFFFFFFF, n))
                     held += len(known)
                     if held >= LINKS_PER_BATCH or at + 1 == batch.num_rows:

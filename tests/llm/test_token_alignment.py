@@ -153,3 +153,21 @@ def test_long_runs_are_told_apart():
     long = ["a" * 1000, "b c " + "é" * 1000 + " d", "a" + " " * 1000 + "b", "\n\x1c" * 500]
     assert all(map(A.has_long_run, long))
     assert not any(map(A.has_long_run, ["", "a" * 999, "a" * 999 + " " + "b" * 999, " " * 999 + "x" + " " * 999]))
+
+
+def test_known_words_are_not_encoded_again(monkeypatch):
+    sides = A.Sides(open(TOKENIZER, encoding="utf-8").read(), open(PIECES, "rb").read())
+    assert sides.by_words
+    monkeypatch.setattr(A, "KEPT_WORDS", 60)
+    rng = random.Random(2)
+    parts = ["a", "the", "ing", "é", "中", "'s", "12", "...", "\U0001f600", "<s>", " ", " ", " ", "  ", "\n", "\t", "\x1c", "▁"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(2_000)]
+    for text, (n_a, n_b, n_groups, n_links, *_, sha) in zip(texts, brute(texts)):
+        found = sides.digest(text)
+        assert (*found[:3], len(found[4]), found[3]) == (n_a, n_b, n_groups, n_links, sha)
+    asked = []
+    monkeypatch.setattr(A, "KEPT_WORDS", 1_000)
+    monkeypatch.setattr(sides, "encode", lambda text, encode=sides.encode: asked.append(text) or encode(text))
+    for text in ("some words stand here", "here some other words\nstand", "some other words", "here words stand"):
+        sides.digest(text)
+    assert asked == ["some words stand here", "other words\nstand"]
