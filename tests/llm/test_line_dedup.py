@@ -373,3 +373,42 @@ def test_more_cells_are_shared_by_more_tasks(spark, monkeypatch, capsys):
         assert sorted(map(tuple, dealt.collect())) == whole
         assert "place#" in (plan := plan_of(dealt, capsys)) and ", 14), REPARTITION_BY_NUM" in plan
     assert {(i, i + 1) for i in range(0, 200, 2)} <= set(whole)
+
+
+def test_pieces_of_lines_meet_in_passes(spark, monkeypatch):
+    """Each pass shuffles a part of the pieces only, so less than all pieces are on disk at a time."""
+    lines = [" ".join(words(80, i // 2, 3000))[: 40 + i // 2 % 300 - i % 2] for i in range(600)]
+    df = spark.createDataFrame([(i, len(l), i, l) for i, l in enumerate(lines)], "key long, size int, part long, norm string")
+    passes = []
+
+    def counted(table, label, written=L.written):
+        if label == "pairs-of-pass":
+            passes.append(table)
+        return written(table, label)
+
+    monkeypatch.setattr(L, "written", counted)
+    with L.setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
+        whole = sorted(map(tuple, L._by_cells(df, 0.9).collect()))
+        assert not passes
+        monkeypatch.setattr(L, "PASS_LETTERS", 1000)
+        assert sorted(map(tuple, L._by_cells(df, 0.9).collect())) == whole
+    assert len(passes) == 2 * L.PASSES and len(whole) > 250
+    found = [p.count() for p in passes]
+    assert max(found) < len(whole) / 2
+
+
+def test_tables_of_buckets_are_gone_before_cells_meet(spark, monkeypatch):
+    from gradeframe.llm import storage
+
+    there = []
+
+    def alike(docs, groups, similarity, all_alike=L.all_alike):
+        there.extend(path.rpartition("/")[2].rpartition("-")[0] for _, path in storage._WRITTEN)
+        return all_alike(docs, groups, similarity)
+
+    before = len(storage._WRITTEN)
+    monkeypatch.setattr(L, "all_alike", alike)
+    line = " ".join(words(40, 1, 3000))
+    docs = docs_of(spark, [line, line + " x"])
+    assert L.dedup_lines(docs).selectExpr("sum(n_removed)").first()[0] == 1
+    assert set(there[before:]) == {"lines", "line-classes", "line-links", "line-groups"}
