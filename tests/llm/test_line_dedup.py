@@ -412,3 +412,70 @@ def test_tables_of_buckets_are_gone_before_cells_meet(spark, monkeypatch):
     docs = docs_of(spark, [line, line + " x"])
     assert L.dedup_lines(docs).selectExpr("sum(n_removed)").first()[0] == 1
     assert set(there[before:]) == {"lines", "line-classes", "line-links", "line-groups"}
+
+
+def test_rows_of_buckets_are_those_of_each_line(spark, monkeypatch):
+    """Words that are counted as rows make the buckets that a line makes of its own list, for lines of all lengths."""
+    rng = random.Random(31)
+    sizes = [1, 2, 5, 6, 11, 12, 13, 18, 23, 24, 25, 40, 66, 90, 150, 300, 700]
+    lines = [" ".join(words(n, rng.random(), 4000)) for n in sizes] + ["a b " * 40 + "c", "中" * 50, "x " * 30]
+    df = spark.createDataFrame([(i, len(l), l) for i, l in enumerate(lines)], "key long, size int, norm string")
+    want = {tuple(r) for r in df.select("key", "size", F.explode(L.buckets_of(F.col("norm")))).collect()}
+    assert {tuple(r) for r in L.bucket_rows(df).collect()} == want
+    monkeypatch.setattr(L, "MOST_WORDS", 100)
+    assert {tuple(r) for r in L.bucket_rows(df).collect()} == want
+
+
+def test_cells_of_letters_of_four_bytes(spark):
+    """Letters of one to four bytes take the same place; the pairs are those of edit similarity at least."""
+    rng = random.Random(32)
+    lines = []
+    for n in (40, 95, 130, 400):
+        line = "".join(rng.choice("aeinrst é中𠀀𠀁😀") for _ in range(n)).strip()
+        for at in (0, n // 2, n - 3):
+            lines.append(line[:at] + "𠀂" + line[at + 1 :])
+    df = spark.createDataFrame([(i, len(l), i, l) for i, l in enumerate(lines)], "key long, size int, part long, norm string")
+    with L.setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
+        got = {(r.left, r.right) for r in L._by_cells(df, 0.9).collect()}
+    want = {(i, k) for i, k in combinations(range(len(lines)), 2) if edit_distance(lines[i], lines[k]) <= len(lines[k]) // 10}
+    assert len(want) >= 12 and want <= got
+
+
+def test_chance_cells_are_no_pairs(spark):
+    """Lines that share every cell of nine letters with others, but not what follows it, are left before texts are read."""
+    rng = random.Random(33)
+    cells = ["".join(rng.choice("aeinrst") for _ in range(9)) for _ in range(12)]
+    lines = ["".join(rng.choice(cells) for _ in range(20)) for _ in range(150)]
+    df = spark.createDataFrame([(i, len(l), i, l) for i, l in enumerate(lines)], "key long, size int, part long, norm string")
+    with L.setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
+        assert L._by_cells(df, 0.9).count() < 3000  # of 11,175
+
+
+def test_cells_of_a_place_are_dealt_by_hash(spark, monkeypatch, capsys):
+    """A band whose cells are too many for one task's memory is met in blocks; cells of one hash stay together."""
+    from conftest import plan_of
+
+    lines = [" ".join(words(80, i // 2, 3000))[: 300 - i % 2] for i in range(120)]
+    df = spark.createDataFrame([(i, len(l), i, l) for i, l in enumerate(lines)], "key long, size int, part long, norm string")
+    with L.setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
+        whole = sorted(map(tuple, L._by_cells(df, 0.9).collect()))
+        monkeypatch.setattr(L, "BLOCK_ROWS", 50)
+        monkeypatch.setattr(L, "BLOCK_CELLS", 5)
+        found = L._by_cells(df, 0.9)
+        assert sorted(map(tuple, found.collect())) == whole and len(whole) >= 60
+        assert "pmod(hash(" in plan_of(found, capsys)
+
+
+def test_long_lines_of_few_and_many_edits(spark):
+    rng = random.Random(34)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(600))
+    pairs = []
+    for edits in (1, 6, 7, 8, 30, 59, 60, 61, 90):
+        other = list(line)
+        for at in rng.sample(range(600), edits):
+            other[at] = "z"
+        pairs.append((line, "".join(other)))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    got = [r.d for r in df.select(L.edit_distance(F.col("a"), F.col("b"), F.lit(60)).alias("d")).collect()]
+    want = [edit_distance(a, b) for a, b in pairs]
+    assert got == [d if d <= 60 else -1 for d in want] and -1 in got
