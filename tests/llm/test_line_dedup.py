@@ -479,3 +479,24 @@ def test_long_lines_of_few_and_many_edits(spark):
     got = [r.d for r in df.select(L.edit_distance(F.col("a"), F.col("b"), F.lit(60)).alias("d")).collect()]
     want = [edit_distance(a, b) for a, b in pairs]
     assert got == [d if d <= 60 else -1 for d in want] and -1 in got
+
+
+def test_cells_of_a_task_fit_its_memory(spark, monkeypatch):
+    """No place of a band has more cells than a quarter of what 256 MB of a hash table hold, however many its lines are."""
+    assert L.BLOCK_ROWS * L.BLOCK_CELLS * 150 <= 64 << 20
+    rows = [(i, 300, i, " ".join(words(60, i, 3000))[:300]) for i in range(400)]
+    df = spark.createDataFrame(rows, "key long, size int, part long, norm string")
+    blocks = []
+
+    def seen(table, label, written=L.written):
+        out = written(table, label)
+        if label == "line-bands":
+            blocks.extend((r.blocks, r.s, r.width) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(L, "written", seen)
+    monkeypatch.setattr(L, "BLOCK_ROWS", 100)
+    with L.setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
+        L._by_cells(df, 0.9)
+    # 400 lines of a band with up to 25 cells of a stretch and the places around it
+    assert blocks and all(b >= 400 * 20 / (100 * L.BLOCK_CELLS) for b, _, _ in blocks)
